@@ -284,7 +284,7 @@ class StreamingEncoder:
             if final and found.end() <= stop or found.end() <= limit:
                 yield from enc._one(found.group())
                 self.buffer = self.buffer[found.end() :]
-            elif len(self.buffer) > self.hold:
+            elif len(self.buffer) > self.hold and found.end() > self.guard:
                 head = 1 if self.buffer[0] == " " and len(self.buffer) > 1 and not self.buffer[1].isspace() else 0
                 self.run = next(k for k in self.KINDS if k.match(self.buffer, head))
                 yield from map(enc.m.ids.__getitem__, enc.bytes.feed(self.buffer[: head + 1].encode()))
