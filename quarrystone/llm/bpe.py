@@ -19,6 +19,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ from quarrystone.llm.tables import two_columns
 # The published split pattern of byte-level BPE vocabularies of this family.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 700_000
 MEMO_BYTES = 64
 SLICE = 1 << 16
 
@@ -64,6 +65,10 @@ class Merges:
         self._whole: dict[bytes, bool] = {}
         self.usable = {token: i for token, i in self.ids.items() if self.whole(token)}
         self.longest = max(map(len, self.usable))
+        self.by_tail: dict[bytes, int] = {}  # longest token with these last three bytes
+        for token in self.usable:
+            if len(token) > 2:
+                self.by_tail[token[-3:]] = max(len(token), self.by_tail.get(token[-3:], 0))
 
     def neighbours(self, left: bytes, right: bytes) -> bool:
         """Whether two canonical tokens stay apart when they meet."""
@@ -145,12 +150,12 @@ class ByteTransducer:
         self.back: dict[int, tuple[int, bytes]] = {}  # end -> (start, token) of the last token
 
     def feed(self, data: bytes) -> Iterator[bytes]:
-        m, back, usable, apart = self.m, self.back, self.m.usable, self.m.neighbours
+        m, back, usable, apart, by_tail = self.m, self.back, self.m.usable, self.m.neighbours, self.m.by_tail
         data, read = self.tail + data, len(self.tail)
         shift = self.at - read  # where data starts in the pre-token
         for stop in range(read + 1, len(data) + 1):
             at = stop + shift
-            for start in range(max(0, stop - m.longest, self.base - shift), stop):
+            for start in range(max(0, stop - by_tail.get(data[stop - 3 : stop], 2), self.base - shift), stop):
                 token = data[start:stop]
                 if token in usable and (start + shift == 0 or apart(back[start + shift][1], token)):
                     back[at] = (start + shift, token)
@@ -316,6 +321,12 @@ class StreamingDecoder:
         return self.state.decode(b"", True)
 
 
+@lru_cache(maxsize=2)
+def encoder_for(source: str) -> Encoder:
+    """An encoder that a Python worker keeps from task to task, with what it remembers."""
+    return Encoder(Merges(source))
+
+
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -333,7 +344,7 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     shipped = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))  # one vocabulary file: its size doesn't follow the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(Merges(shipped.value))
+        enc = encoder_for(shipped.value)
         for batch in batches:
             ids = [list(enc.ids(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
@@ -364,8 +375,8 @@ def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(shipped.value)
-        enc = Encoder(merges)
+        enc = encoder_for(shipped.value)
+        merges = enc.m
         name = {i: str(i) for i in merges.bytes_of}
         for batch in batches:
             count, of_ids, of_text = [], [], []

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import bpe
+from quarrystone.llm import bpe, substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
+}
