@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import bpe, substring_dedup
+from quarrystone.llm import bpe, jaccard_join, substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
 }
