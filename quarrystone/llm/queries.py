@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import bpe, jaccard_join, substring_dedup
+from quarrystone.llm import bpe, jaccard_join, mixing, pii, quality, substring_dedup
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op7_mixing": mixing.op7_mixing,
     "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pii": pii.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+    "op7_mixing": mixing.ORACLE,
 }
