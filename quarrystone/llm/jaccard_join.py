@@ -45,17 +45,18 @@ SLOTS_PER_SHINGLE = 1.0
 CAP_BITS = 28  # two bits a slot: at most 64 MB
 BLOCK_SHINGLES = 600_000
 HELD_SHINGLES = 3_000_000
+GROUP_BYTES = 12_000_000
 LEADERS = 8  # growth of the number of leaders of a list from round to round
 BROADCAST_NODES = 200_000  # 200,000 ids of 8 bytes: under 10 MB as a hash table
 HISTOGRAM = 64
 
 
 def _levels(mean: float):
-    """Two bits a slot: how much more often a slot was hit than the mean load explains."""
-    steps = np.array([mean + 2 + 2 * mean**0.5, 4 * (mean + 4), 32 * (mean + 4)])
+    """Two bits a slot: hit once, so by one document; about the mean load; several times that; far above."""
+    steps = np.array([1, max(1, 2 * mean + 4), 16 * (mean + 4)])
 
     def level(total: np.ndarray) -> bytes:
-        v = np.searchsorted(steps, total).astype(np.uint8).reshape(-1, 4)
+        v = np.searchsorted(steps, total, side="left").astype(np.uint8).reshape(-1, 4)
         return (v[:, 0] | v[:, 1] << 2 | v[:, 2] << 4 | v[:, 3] << 6).tobytes()
 
     return level
@@ -89,8 +90,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     width = S.width_for(shingles, SLOTS_PER_SHINGLE, cap_bits)
     blocks = min(width >> 3, 1 << max(4, int(np.ceil(np.log2(shingles / BLOCK_SHINGLES + 1)))))
 
+    doc_groups = max(16, size // GROUP_BYTES)
+
     # One pass for sizes, fingerprints and shingle counts.
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of documents travel with the sketch's messages, in groups of negative numbers.
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("block", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
         sketch = S.PartitionSketch(width, 1, blocks)
 
@@ -104,16 +108,29 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 rows, hashes = shingle_sets(words, shingle)
                 n, a, b = _nodes(rows, hashes, words.n_rows)
                 none = [None] * words.n_rows
+                group = (-1 - (words.first_row + np.arange(words.n_rows)) % doc_groups).astype(np.int32)
                 node = [x if k else None for x, k in zip(_name(a, b), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0)[words.first_row : words.first_row + words.n_rows], "n": n, "node": node, "block": none, "slots": none, "counts": none}, schema)
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0)[words.first_row : words.first_row + words.n_rows], "n": n, "node": node, "block": group, "slots": none, "counts": none}, schema)
                 sketch.add(hashes)
                 if sketch.full(HELD_SHINGLES):
                     yield drained()
         yield drained()
 
-    first = cut_lineage(src.mapInArrow(first_pass, "id long, n long, node string, block int, slots binary, counts binary"))
+    level = _levels(shingles / width)
+    span = width // blocks
+
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        if block < 0:
+            return table.select(["id", "n", "node"]).append_column("block", pa.nulls(len(table), pa.int32())).append_column("packed", pa.nulls(len(table), pa.binary()))
+        none = [None]
+        packed = level(S.added(table, span))
+        return pa.table({"id": pa.array(none, pa.int64()), "n": pa.array(none, pa.int64()), "node": pa.array(none, pa.string()), "block": pa.array([block], pa.int32()), "packed": pa.array([packed], pa.binary())})
+
+    messages = src.mapInArrow(first_pass, "id long, n long, node string, block int, slots binary, counts binary")
+    first = cut_lineage(messages.groupBy("block").applyInArrow(merged, "id long, n long, node string, block int, packed binary"))
     docs = first.where("block is null").select("id", "n", "node")
-    packed = S.gather(S.merge(first.where("block is not null"), width, blocks, _levels(shingles / width)), blocks, 1, width // blocks // 4)[0]
+    packed = S.gather(first.where("block is not null").select("block", "packed"), blocks, 1, span // 4)[0]
     shared = spark.sparkContext.broadcast(packed)  # width / 4 bytes, bounded by cap_bits
 
     def level_of(hashes: np.ndarray) -> np.ndarray:
@@ -151,18 +168,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for words in scan_words(batch.column(1), lower=True):
                 rows, hashes = shingle_sets(words, shingle)
                 n, a, b = _nodes(rows, hashes, words.n_rows)
-                order = np.lexsort((hashes, level_of(hashes), rows))
-                rows, hashes = rows[order], hashes[order]
+                levels = level_of(hashes)
+                order = np.lexsort((hashes, levels, rows))
+                rows, hashes, levels = rows[order], hashes[order], levels[order]
                 begin = np.concatenate(([0], np.cumsum(n)))[:-1]
                 pos = np.arange(len(rows)) - begin[rows]
-                keep = pos < _prefix_length(n, percent)[rows]
+                # A shingle of one document only takes its place in the prefix, but meets nothing.
+                keep = (pos < _prefix_length(n, percent)[rows]) & (levels > 0)
                 rows = rows[keep]
                 held.append((hashes[keep], a[rows], b[rows], n[rows].astype(np.uint32), pos[keep]))
                 count += len(rows)
-                if count >= HELD_SHINGLES:
+                if held and count >= HELD_SHINGLES:
                     yield drain()
                     count = 0
-        if held:
+        if count:
             yield drain()
 
     # Prefix shingles of two nodes or more: (token, node, n, pos).
@@ -212,8 +231,10 @@ def _sets_of(src: DataFrame, docs: DataFrame, lists: DataFrame, shingle: int) ->
                 raw, bounds = hashes.tobytes(), np.concatenate(([0], np.cumsum(n)))
                 yield pa.RecordBatch.from_pydict({"node": _name(a, b), "shingles": [raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]})
 
-    found = texts.mapInArrow(run, "node string, shingles binary").join(involved, "node", "left_semi")
-    return cut_lineage(found.groupBy("node").agg(F.min("shingles").alias("shingles")))
+    found = texts.mapInArrow(run, "node string, shingles binary")
+    if docs.groupBy("id").count().where("count > 1").limit(1).count():  # repeated ids may bring a set twice, or one that nobody asked for
+        found = found.join(involved, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    return cut_lineage(found)
 
 
 def _verifier(percent: int):

@@ -99,15 +99,20 @@ class PartitionSketch:
         return out
 
 
+def added(table: pa.Table, span: int) -> np.ndarray:
+    """The sum of the messages for one block."""
+    total = np.zeros(span, np.int64)
+    for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        total[unpack_sorted(slots, "uint32")] += unpack(counts, "uint16")
+    return total
+
+
 def merge(partials: DataFrame, width: int, blocks: int, level) -> DataFrame:
     """Add up partial sketches by block and apply ``level`` to the counts of a block: (block, packed binary)."""
     span = width // blocks
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(span, np.int64)
-        for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            total[unpack_sorted(slots, "uint32")] += unpack(counts, "uint16")
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([level(total)], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([level(added(table, span))], pa.binary())})
 
     return partials.select("block", "slots", "counts").groupBy("block").applyInArrow(run, "block int, packed binary")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +15,17 @@ def two_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so a lost executor costs nothing that came before.
+    """Write a table to the shared checkpoint folder and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
-    where that is unset, as in tests, a folder of this machine is set.
+    What came before isn't needed any more, so a lost executor costs nothing that
+    is written; and the table's size is known, so joins with it are planned on
+    that.  The folder is the one the session names in ``spark.checkpoint.dir``.
+    Only where that is unset, as in tests, a folder of this machine is set.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
