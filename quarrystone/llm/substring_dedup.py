@@ -33,11 +33,11 @@ from quarrystone.llm.textblocks import scan_words, window_hashes
 WINDOW = 13
 BYTES_PER_WORD = 6  # only to size the sketch and the groups
 DEPTH = 2
-SLOTS_PER_WINDOW = 2.0
+SLOTS_PER_WINDOW = 1.0
 CAP_BITS = 29  # at most 2 ** 29 slots a row: two rows of 64 MB, as one bit a slot
 GROUP_WINDOWS = 400_000
 GROUP_BYTES = 12_000_000
-HELD_WINDOWS = 4_000_000
+HELD_WINDOWS = 3_000_000
 
 _EXACT = "part int, h1 binary, h2 binary, doc binary"
 _BACK = "part int, doc binary, h1 binary"
