@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import bpe, jaccard_join, mixing, pii, quality, substring_dedup
+from quarrystone.llm import bpe, fingerprint, jaccard_join, licenses, mixing, pii, quality, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_secrets": secret_scan.op2_secrets,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_bpe": bpe.op9_bpe,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES: dict[str, str] = {

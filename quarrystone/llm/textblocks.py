@@ -114,7 +114,7 @@ def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np
     return mix64(out)
 
 
-def scan_words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def scan_words(column: pa.Array, lower: bool = False, delimiter: np.ndarray = _DELIMITER) -> Iterator[Words]:
     """Yield the words of a text column, a bounded number of rows at a time."""
     data, offsets = text_buffers(column)
     values = _LOWER_VALUE if lower else _BYTE_VALUE
@@ -123,7 +123,7 @@ def scan_words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, side="right")) - 1)
         lo, hi = int(offsets[row]), int(offsets[stop])
         piece, offs = data[lo:hi], offsets[row : stop + 1] - lo
-        inside = ~_DELIMITER[piece]
+        inside = ~delimiter[piece]
         opens = inside.copy()
         opens[1:] &= ~inside[:-1]
         breaks = offs[:-1][offs[:-1] < hi - lo]
