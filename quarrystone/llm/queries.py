@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import bpe, fingerprint, jaccard_join, licenses, mixing, pii, quality, secret_scan, substring_dedup
+from quarrystone.llm import bpe, fingerprint, jaccard_join, licenses, maxent_lm, mixing, pii, quality, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_lm_scoring": maxent_lm.op6_lm_scoring,
     "op7_mixing": mixing.op7_mixing,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_bpe": bpe.op9_bpe,
