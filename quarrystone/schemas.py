@@ -1,0 +1,7 @@
+"""Schemas of the engine's tables, in one place."""
+
+from __future__ import annotations
+
+FILES = "project_id string, file_type string, filename string, content binary"
+LINES = "project_id string, file_type string, filename string, line_no int, text string"
+EDGES = "src string, dst string, type string, weight int"
