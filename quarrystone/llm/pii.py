@@ -115,7 +115,8 @@ def mask_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col), F.lit(""))
     for kind in KINDS[:4]:
         found = F.array_distinct(F.transform(_spans(F.col(text_col), kind), lambda s: s["value"]))
-        text = F.aggregate(F.array_sort(found, lambda a, b: F.char_length(b) - F.char_length(a)), text, lambda acc, v, k=kind: F.replace(acc, v, F.lit(f"[{k.name}]")))
+        label = F.lit(f"[{kind.name}]")
+        text = F.aggregate(F.array_sort(found, lambda a, b: F.char_length(b) - F.char_length(a)), text, lambda acc, v: F.replace(acc, v, label))  # noqa: B023
     return two_columns(df, id_col, text_col).select(id_col, text.alias("masked"))
 
 
