@@ -9,7 +9,7 @@ share one node, so copies are never compared.  Per node:
 2. Two sets as similar as asked share a shingle within their prefixes.  Prefix
    shingles meet in groups of a range of their hash; those of one node only drop out.
 3. Pairs come from each list of nodes with the same prefix shingle in rounds:
-   first against one leader, then against the next eight, then the next 64, and
+   first against one leader, then against the next 16, then the next 256, and
    so on until every list is done.  Pairs that earlier rounds have put into one
    component are not needed any more, so a large group of near copies costs about
    one comparison a member, not one for each pair.  Length and positional filters
@@ -26,7 +26,7 @@ unless all ids there are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,12 @@ SHINGLE = 5
 PERCENT = 80
 BYTES_PER_SHINGLE = 7  # only to size the sketch and the groups
 SLOTS_PER_SHINGLE = 1.0
-CAP_BITS = 28  # two bits a slot: at most 64 MB
+CAP_BITS = 27  # two bits a slot: at most 32 MB
+OWN_CAP_BITS = 27  # three rows of one bit a slot: at most 48 MB
 BLOCK_SHINGLES = 600_000
-HELD_SHINGLES = 3_000_000
+HELD_SHINGLES = 800_000
 GROUP_BYTES = 12_000_000
-LEADERS = 8  # growth of the number of leaders of a list from round to round
+LEADERS = 16  # growth of the number of leaders of a list from round to round
 BROADCAST_NODES = 200_000  # 200,000 ids of 8 bytes: under 10 MB as a hash table
 HISTOGRAM = 64
 
@@ -132,6 +133,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = first.where("block is null").select("id", "n", "node")
     packed = S.gather(first.where("block is not null").select("block", "packed"), blocks, 1, span // 4)[0]
     shared = spark.sparkContext.broadcast(packed)  # width / 4 bytes, bounded by cap_bits
+    del packed
 
     def level_of(hashes: np.ndarray) -> np.ndarray:
         slots = S.slots_of(hashes, width, 0)
@@ -204,11 +206,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     messages = src.mapInArrow(prefixes, "part int, token binary, a binary, b binary, n binary, pos binary")
     lists = messages.groupBy("part").applyInArrow(shared_tokens, "token long, node string, n int, pos int")
-    # Members of a list in one order that all lists share, by a hash of the node.
-    order = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
-    lists = cut_lineage(lists.withColumn("rank", F.row_number().over(order) - 1))
-
+    lists = cut_lineage(lists)
     sets = _sets_of(src, docs, lists, shingle)
+    lists = _sharper_lists(sets, level_of, percent)
+    shared.destroy()
     links = _link_rounds(spark, lists, sets, percent)
     return _labelled(docs, links, id_col)
 
@@ -237,6 +238,59 @@ def _sets_of(src: DataFrame, docs: DataFrame, lists: DataFrame, shingle: int) ->
     return cut_lineage(found)
 
 
+def _sharper_lists(sets: DataFrame, level_of: Callable[[np.ndarray], np.ndarray], percent: int) -> DataFrame:
+    """Lists of nodes by prefix shingle again, without shingles that no other of these nodes has.
+
+    Only nodes that share a prefix shingle at all can link, so a sketch of their sets
+    alone says which shingles can be in common: ``most`` of a node's.  Without the
+    others prefixes are shorter, and a pair needs a shingle in common within the first
+    ``most - overlap + 1`` of both.  Wrongly kept shingles only make this weaker.
+    Members of a list are in one order that all lists share, those that can overlap
+    most first: they make the best leaders.
+    """
+    total = (sets.agg(F.sum(F.octet_length("shingles")).alias("b")).first()["b"] or 0) // 8
+    width, depth = S.width_for(total, 4.0, OWN_CAP_BITS), 3
+    blocks = min(width >> 3, 1 << max(3, int(np.ceil(np.log2(total / BLOCK_SHINGLES + 1)))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = S.PartitionSketch(width, depth, blocks)
+        for batch in batches:
+            for one in batch.column(0):
+                sketch.add(np.frombuffer(one.as_py(), np.uint64))
+                if sketch.full(HELD_SHINGLES):
+                    yield pa.RecordBatch.from_pydict(sketch.drain(), sketch.SCHEMA)
+        yield pa.RecordBatch.from_pydict(sketch.drain(), sketch.SCHEMA)
+
+    partials = sets.select("shingles").mapInArrow(count, "block int, slots binary, counts binary")
+    shared = sets.sparkSession.sparkContext.broadcast(S.gather(S.merge(partials, width, blocks, S.at_least_two), blocks, depth, width // blocks // 8))
+    schema = pa.schema([("token", pa.int64()), ("node", pa.string()), ("n", pa.int32()), ("pos", pa.int32()), ("most", pa.int32())])
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, names, size, most_ = [], [], [], []
+            for node, one in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(one.as_py(), np.uint64)
+                common = own[S.repeated(shared.value, width, own)]
+                length = len(common) - (len(own) * percent + 99) // 100 + 1
+                if length > 0:
+                    order = np.lexsort((common, level_of(common)))[:length]
+                    tokens.append(common[order].view(np.int64))
+                    names.append(node)
+                    size.append(len(own))
+                    most_.append(len(common))
+            count_ = [len(t) for t in tokens]
+            if tokens:
+                pos = np.concatenate([np.arange(k) for k in count_])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), count_))), *(pa.array(np.asarray(x, np.int32)) for x in (np.repeat(size, count_), pos, np.repeat(most_, count_)))], schema=schema)
+
+    rows = sets.select("node", "shingles").mapInArrow(prefix, "token long, node string, n int, pos int, most int")
+    order = Window.partitionBy("token").orderBy(F.col("n") - F.col("most"), F.xxhash64("node"), "node")
+    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy("token")))
+    out = cut_lineage(ranked.where("size > 1"))
+    shared.destroy()
+    return out
+
+
 def _verifier(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,19 +320,24 @@ def _link_rounds(spark: SparkSession, lists: DataFrame, sets: DataFrame, percent
     components: DataFrame | None = None
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    longest = lists.agg(F.max("rank").alias("r")).first()["r"]
     lo, hi = 0, 1
-    while longest is not None and lo < longest:
-        rows = lists.withColumn("component", F.col("node"))
-        if components is not None:
-            rows = lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = rows.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-        rows = cut_lineage(rows.join(split, "token", "left_semi"))
-        lead = rows.where(F.col("rank").between(lo, hi - 1)).select("token", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "rank", "component")))
+    while True:
+        rows = lists.where(F.col("size") > lo + 1)
+        if components is None:
+            rows = rows.withColumn("component", F.col("node"))
+        else:  # only lists that still hold two components go on
+            rows = rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            split = rows.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+            rows = cut_lineage(rows.join(split, "token", "left_semi"))
+            lists = rows.drop("component")
+        if not rows.limit(1).count():
+            break
+        lead = rows.where(F.col("rank").between(lo, hi - 1)).select("token", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "most", "rank", "component")))
         total = F.col("l_n") + F.col("n")
         needed = F.ceil(total * percent / (100 + percent) - 1e-9)
-        room = F.least("pos", "l_pos") + 1 + F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos")) - 1
-        close = (F.col("rank") > F.col("l_rank")) & (F.col("component") != F.col("l_component")) & (F.least("n", "l_n") * 100 >= F.greatest("n", "l_n") * percent) & (room >= needed)
+        # From the first shingle in common on, both must have enough that can be in common.
+        follows = F.least(F.col("most") - F.col("pos"), F.col("l_most") - F.col("l_pos"))
+        close = (F.col("rank") > F.col("l_rank")) & (F.col("component") != F.col("l_component")) & (F.least("n", "l_n") * 100 >= F.greatest("n", "l_n") * percent) & (follows >= needed)
         pairs = rows.join(lead, "token").where(close).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

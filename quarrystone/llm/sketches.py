@@ -123,3 +123,17 @@ def gather(merged: DataFrame, blocks: int, depth: int, size: int) -> np.ndarray:
     for block, packed in merged.collect():
         out[block // blocks, (block % blocks) * size : (block % blocks + 1) * size] = np.frombuffer(packed, np.uint8)
     return out
+
+
+def at_least_two(total: np.ndarray) -> bytes:
+    """One bit a slot: hit twice or more."""
+    return np.packbits(total >= 2, bitorder="little").tobytes()
+
+
+def repeated(bits: np.ndarray, width: int, hashes: np.ndarray) -> np.ndarray:
+    """Indices of the hashes whose slots have their bit in every row; all that were counted twice are among them."""
+    keep = np.arange(len(hashes))
+    for row in range(len(bits)):
+        slots = slots_of(hashes[keep], width, row)
+        keep = keep[(bits[row][(slots >> _U(3)).astype(np.int64)] >> (slots & _U(7)).astype(np.uint8)) & 1 == 1]
+    return keep

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm import sketches as S
 from quarrystone.llm.tables import two_columns
-from quarrystone.llm.textblocks import scan_words, window_hashes
+from quarrystone.llm.textblocks import mix64, scan_words, window_hashes
 
 WINDOW = 13
 BYTES_PER_WORD = 6  # only to size the sketch and the groups
@@ -43,25 +43,11 @@ _EXACT = "part int, h1 binary, h2 binary, doc binary"
 _BACK = "part int, doc binary, h1 binary"
 
 
-def _bits(total: np.ndarray) -> bytes:
-    return np.packbits(total >= 2, bitorder="little").tobytes()
-
-
-def _repeated(bits: np.ndarray, width: int, hashes: np.ndarray) -> np.ndarray:
-    keep = np.arange(len(hashes))
-    for row in range(len(bits)):
-        slots = S.slots_of(hashes[keep], width, row)
-        keep = keep[(bits[row][(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-    return keep
-
-
 def _rows_of(words, first: np.ndarray) -> np.ndarray:
     return np.searchsorted(words.row_end, first, side="right")
 
 
 def _part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    from quarrystone.llm.textblocks import mix64
-
     return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
@@ -94,7 +80,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
         yield pa.RecordBatch.from_pydict(sketch.drain(), sketch.SCHEMA)
 
     partials = src.where(F.col(id_col).isNotNull()).mapInArrow(count, "block int, slots binary, counts binary")
-    bits = S.gather(S.merge(partials, width, blocks, _bits), blocks, DEPTH, width // blocks // 8)
+    bits = S.gather(S.merge(partials, width, blocks, S.at_least_two), blocks, DEPTH, width // blocks // 8)
     shared = spark.sparkContext.broadcast(bits)  # depth * width / 8 bytes, bounded by cap_bits
 
     exact_parts = max(16, windows // GROUP_WINDOWS // 4)
@@ -120,7 +106,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for words in scan_words(batch.column(1)):
                 hashes, first = window_hashes(words, window)
-                keep = _repeated(shared.value, width, hashes)
+                keep = S.repeated(shared.value, width, hashes)
                 if not len(keep):
                     continue
                 rows, h1 = _rows_of(words, first[keep]), hashes[keep]
