@@ -199,8 +199,8 @@ class ByteTransducer:
 class Encoder:
     """Text to ids.  Short pre-tokens are remembered, as they recur; the memo is bounded."""
 
-    def __init__(self, merges: Merges) -> None:
-        self.m = merges
+    def __init__(self, merges: Merges, memo_entries: int = MEMO_ENTRIES) -> None:
+        self.m, self.memo_entries = merges, memo_entries
         self.split = regex.compile(SPLIT_PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -216,7 +216,7 @@ class Encoder:
         if found is None:
             if len(pre_token) > MEMO_BYTES:
                 return self._segment(pre_token)
-            if len(self.memo) >= MEMO_ENTRIES:
+            if len(self.memo) >= self.memo_entries:
                 self.memo.clear()
             found = self.memo[pre_token] = tuple(self._segment(pre_token))
         return found
@@ -322,9 +322,9 @@ class StreamingDecoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_for(source: str) -> Encoder:
+def encoder_for(source: str, memo_entries: int = MEMO_ENTRIES) -> Encoder:
     """An encoder that a Python worker keeps from task to task, with what it remembers."""
-    return Encoder(Merges(source))
+    return Encoder(Merges(source), memo_entries)
 
 
 def read_vocabulary(path: str) -> str:
@@ -370,12 +370,12 @@ def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col:
     return src.mapInArrow(run, f"{id_col} {src.dtypes[0][1]}, text string")
 
 
-def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Encode and decode in one pass over the rows; digests of ids and decoded text per row."""
     shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_for(shipped.value)
+        enc = encoder_for(shipped.value, memo_entries)
         merges = enc.m
         name = {i: str(i) for i in merges.bytes_of}
         for batch in batches:
