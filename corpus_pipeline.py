@@ -14,7 +14,7 @@ from quarrystone.llm.tables import cut_lineage
 #: The mixture of the pipeline: 80 % of the tokens that are left, each document at most once.
 MIXTURE = mixing.Mixture(percent=80, max_epochs=1)
 
-#: Workers live on into other stages, so what they remember of the encoding is kept small.
+#: Workers live on into other stages, so what they remember of the encoding is kept small and dropped after each task.
 MEMO_ENTRIES = 150_000
 
 
@@ -40,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers of tokens and digests of ids and decoded texts."""
-    return bpe.round_trip_digests(docs, bpe.default_vocabulary_path(), memo_entries=MEMO_ENTRIES)
+    return bpe.round_trip_digests(docs, bpe.default_vocabulary_path(), memo_entries=MEMO_ENTRIES, keep_encoder=False)
 
 
 STAGES = [

@@ -33,6 +33,7 @@ from quarrystone.llm.tables import two_columns
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 MEMO_ENTRIES = 700_000
+PAIR_ENTRIES = 500_000
 MEMO_BYTES = 64
 SLICE = 1 << 16
 
@@ -47,7 +48,7 @@ def byte_alphabet() -> dict[str, int]:
 class Merges:
     """A vocabulary in bytes: ids, formation ranks and halves of every token."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, pair_entries: int = PAIR_ENTRIES) -> None:
         spec = json.loads(source)
         alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
@@ -61,6 +62,7 @@ class Merges:
             if left + right in self.rank:
                 raise ValueError("two merges form the same token")
             self.rank[left + right], self.halves[left + right] = n, (left, right)
+        self.pair_entries = pair_entries
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[bytes, bool] = {}
         self.usable = {token: i for token, i in self.ids.items() if self.whole(token)}
@@ -74,7 +76,7 @@ class Merges:
         """Whether two canonical tokens stay apart when they meet."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) >= self.pair_entries:
                 self._pairs.clear()
             known = self._pairs[left, right] = self._apart(left, right)
         return known
@@ -324,7 +326,7 @@ class StreamingDecoder:
 @lru_cache(maxsize=2)
 def encoder_for(source: str, memo_entries: int = MEMO_ENTRIES) -> Encoder:
     """An encoder that a Python worker keeps from task to task, with what it remembers."""
-    return Encoder(Merges(source), memo_entries)
+    return Encoder(Merges(source, min(PAIR_ENTRIES, memo_entries)), memo_entries)
 
 
 def read_vocabulary(path: str) -> str:
@@ -370,8 +372,11 @@ def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col:
     return src.mapInArrow(run, f"{id_col} {src.dtypes[0][1]}, text string")
 
 
-def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = MEMO_ENTRIES) -> DataFrame:
-    """Encode and decode in one pass over the rows; digests of ids and decoded text per row."""
+def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = MEMO_ENTRIES, keep_encoder: bool = True) -> DataFrame:
+    """Encode and decode in one pass over the rows; digests of ids and decoded text per row.
+
+    Workers that go on to other work give the encoder's memory back with ``keep_encoder=False``, and build it again for each task.
+    """
     shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,6 +397,8 @@ def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_i
                 of_ids.append(ids_hash.hexdigest())
                 of_text.append(text_hash.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids), pa.array(of_text)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep_encoder:
+            encoder_for.cache_clear()
 
     src = two_columns(df, id_col, text_col)
     return src.mapInArrow(run, f"{id_col} {src.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
