@@ -44,13 +44,16 @@ def cobol(files: DataFrame) -> dict[str, DataFrame]:
     sql = sql.select("program", "seq", F.coalesce(classify_sql(F.col("statement")), F.lit("UNKNOWN")).alias("type"), "statement")
     io = src.select("program", F.explode(zipped("s", rf"(?i)(?<![A-Z0-9-])(READ|WRITE|REWRITE|DELETE)\s+({_NAME})", "op", "file")).alias("x")).select("program", F.upper("x.file").alias("file"), F.upper("x.op").alias("operation"))
     opened = src.select("program", F.explode(zipped("s", rf"(?i)\bOPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s+({_NAME})", "op", "file")).alias("x")).select("program", F.upper("x.file").alias("file"), F.concat(F.lit("OPEN "), F.upper("x.op")).alias("operation"))
+    closed = src.select("program", F.explode(extract_all("s", rf"(?is)(?<![A-Z0-9-])CLOSE\s+((?:{_NAME}\s*,?\s*)+?)(?:\.|\bEND-|\b(?:STOP|GOBACK|EXIT|PERFORM|MOVE|DISPLAY)\b)")).alias("names")).select("program", F.explode(extract_all(F.upper("names"), rf"({_NAME})")).alias("file"), F.lit("CLOSE").alias("operation"))
+    assigned = src.select("program", F.explode(zipped("s", rf"(?i)(?<![A-Z0-9-])SELECT\s+(?:OPTIONAL\s+)?({_NAME})\s+ASSIGN\s+(?:TO\s+)?['\"]?({_NAME})", "file", "device")).alias("x")).select("program", F.upper("x.file").alias("file"), F.upper("x.device").alias("device"))
     return {
         "program_calls": program_calls.where("resolved"),
         "unresolved_calls": program_calls.where("not resolved"),
         "copybooks": copy.select("program", F.upper("c.name").alias("copybook"), F.upper(F.nullif("c.library", F.lit(""))).alias("library")).distinct(),
         "sql_blocks": sql,
         "sql_tables": sql_tables(sql, "program"),
-        "file_io": io.unionByName(opened).where("length(file) > 1 and not file rlike '^[0-9]+$'").distinct(),
+        "file_assignments": assigned.distinct(),
+        "file_io": io.unionByName(opened).unionByName(closed).where("length(file) > 1 and not file rlike '^[0-9]+$'").distinct(),
     }
 
 
@@ -129,20 +132,38 @@ def rexx(files: DataFrame) -> dict[str, DataFrame]:
 
 # ---- Parameter libraries ---------------------------------------------------
 
-# Parameter names by category, tried in order.
-PARAMETER_CATEGORIES = (("REGION", "MEMORY"), ("CLASS", "SCHEDULING"), ("TIME", "SCHEDULING"), ("PRTY", "SCHEDULING"), ("MSGLEVEL", "OUTPUT"), ("SYSOUT", "OUTPUT"), ("SPACE", "STORAGE"), ("UNIT", "STORAGE"), ("VOL", "STORAGE"))
+# Parameter names by category, tried in order, then parts of names.
+PARAMETER_CATEGORIES = (
+    *(("REGION", "MEMORY"), ("TIME", "EXECUTION"), ("COND", "CONDITION"), ("CLASS", "SCHEDULING"), ("MSGCLASS", "OUTPUT"), ("MSGLEVEL", "OUTPUT"), ("NOTIFY", "NOTIFICATION"), ("SPACE", "STORAGE")),
+    *(("UNIT", "STORAGE"), ("VOL", "STORAGE"), ("DISP", "DISPOSITION"), ("DCB", "DATASET"), ("LRECL", "DATASET"), ("RECFM", "DATASET"), ("BLKSIZE", "DATASET")),
+    *(("SIZE", "MEMORY"), ("LIMIT", "EXECUTION"), ("MAX", "EXECUTION"), ("PRIORITY", "SCHEDULING"), ("QUEUE", "SCHEDULING"), ("DSN", "DATASET"), ("DATASET", "DATASET"), ("FILE", "DATASET")),
+)
+UTILITIES = ("SORT", "IDCAMS", "IEFBR14", "IEBGENER", "IEBCOPY", "IEBUPDTE", "IEHLIST", "IEHPROGM", "ICETOOL", "DFSORT")
+DATASET_KINDS = (("VSAM", "VSAM"), ("GDG", "GDG"), ("PDS", "PDS"), ("SEQ", "SEQUENTIAL"), ("PS", "SEQUENTIAL"))
+DISPOSITIONS = (("SHR", "SHR"), ("DISP=OLD", "OLD"), ("DISP=NEW", "NEW"), ("DISP=MOD", "MOD"))
+SERVICE_VERBS = r"(?i)^\s*(?:DEFINE|DELETE|LISTCAT|REPRO|ALTER)\b"
 
 
 def parmlib(files: DataFrame) -> dict[str, DataFrame]:
-    own = lines(files, "filename").where("text not like '*%' and trim(text) <> ''")
-    params = own.select("filename", "line_no", F.explode(zipped("text", r"^\s*([A-Z][A-Z0-9]*)=([^,\s]+)", "name", "value")).alias("p")).select("filename", "line_no", "p.name", "p.value")
-    symbols = own.select("filename", "line_no", F.explode(zipped("text", r"(?i)SET\s+&([A-Z0-9]+)=([^,\s]+)", "name", "value")).alias("p")).select("filename", "line_no", F.upper("p.name").alias("name"), "p.value", F.lit("GLOBAL").alias("scope"))
-    programs = own.select("filename", "line_no", F.explode(extract_all("text", r"(?i)(?:PGM|PROGRAM)=([A-Za-z0-9@#$]+)")).alias("program")).withColumn("program", F.upper("program"))
+    """Members of parameter libraries; of repeated names within a file the first stays."""
+    own = lines(files, "filename").where("text not like '*%' and trim(text) <> ''").withColumn("upper", F.upper("text"))
+    at = ("filename", "line_no")
+    params = own.select(*at, F.explode(zipped("text", r"(?i)^\s*([A-Z_][A-Z0-9_]*)\s*=\s*([^,\s]+)", "name", "value")).alias("p")).select(*at, F.upper("p.name").alias("name"), "p.value")
+    symbols = own.select(*at, F.explode(zipped("text", r"(?i)SET\s+&([A-Z_][A-Z0-9_]*)\s*=\s*([^,\s]+)", "name", "value")).alias("p")).select(*at, F.upper("p.name").alias("name"), "p.value", F.lit("GLOBAL").alias("scope"))
+    used = own.select(*at, F.explode(extract_all("upper", r"&([A-Z_][A-Z0-9_]*)")).alias("name")).distinct().join(symbols, [*at, "name"], "left_anti")
+    used = used.select(*at, "name", F.lit(None).cast("string").alias("value"), F.lit("REFERENCE").alias("scope"))
+    executed = own.select(*at, F.explode(extract_all("upper", r"\b(?:PGM|PROGRAM)\s*=\s*([A-Z][A-Z0-9@#$]{0,7})\b")).alias("program"), F.lit("EXECUTION").alias("purpose"))
+    named = own.select(*at, F.explode(contained("text", UTILITIES)).alias("program"), F.lit("UTILITY").alias("purpose"))
+    references = [own.select(*at, F.explode(extract_all("upper", pattern)).alias("name"), F.lit(usage).alias("usage")) for pattern, usage in ((r"\b(?:JOB|JOBNAME)\s*=\s*([A-Z][A-Z0-9]{0,7})\b", "JOB_REFERENCE"), (r"\b(?:PROC|PROCEDURE)\s*=\s*([A-Z][A-Z0-9]{0,7})\b", "PROC_REFERENCE"))]
+    datasets = own.select(*at, F.explode(extract_all("text", r"\b([A-Z][A-Z0-9$#@]{0,7}(?:\.[A-Z0-9$#@]{1,8}){1,21})(?![A-Z0-9$#@])")).alias("dataset"), classify("upper", DATASET_KINDS, "UNKNOWN").alias("kind"), classify("upper", DISPOSITIONS).alias("disposition"))
+    verbs = F.filter(F.array(F.when(F.col("text").rlike(r"(?i)^\s*SORT\s+FIELDS"), "SORT"), F.when(F.col("text").rlike(SERVICE_VERBS), "IDCAMS")), lambda x: x.isNotNull())
     return {
-        "symbols": keep_first(symbols, ["filename", "name"], ["line_no"]),
+        "symbols": keep_first(symbols.unionByName(used), ["filename", "name"], ["line_no", "scope"]),
         "parameters": keep_first(params.withColumn("category", classify("name", PARAMETER_CATEGORIES, "CONFIGURATION")), ["filename", "name"], ["line_no"]),
-        "programs": keep_first(programs, ["filename", "program"], ["line_no"]),
-        "datasets": own.select("filename", F.explode(extract_all("text", r"\b([A-Z][A-Z0-9@#$]{0,7}(?:\.[A-Z][A-Z0-9@#$]{0,7})+)\b")).alias("dataset")).select("filename", dataset_name("dataset").alias("dataset")).distinct(),
+        "programs": keep_first(executed.unionByName(named), ["filename", "program"], ["line_no", "purpose"]),
+        "references": keep_first(references[0].unionByName(references[1]), ["filename", "name"], ["line_no", "usage"]),
+        "datasets": keep_first(datasets.withColumn("dataset", dataset_name("dataset")), ["filename", "dataset"], ["line_no"]),
+        "utilities": own.select("filename", F.explode(F.concat(verbs, contained("text", UTILITIES))).alias("utility")).distinct(),
     }
 
 

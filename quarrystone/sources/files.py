@@ -56,22 +56,39 @@ def looks_like(text: Column, words: Sequence[str] = COBOL_WORDS, least: int = 2)
     return control_share_ok(text) & (hits >= least)
 
 
-def ebcdic(content: Column) -> Column:
-    """Text of EBCDIC bytes (code page 037): a byte-for-byte translation made from the codec's own table."""
+def _page(name: str) -> str:
+    """The 256 characters of a code page from the codec's own table.  cp1047, which lacks one, is cp037 with three pairs of bytes swapped."""
+    if name != "cp1047":
+        return bytes(range(256)).decode(name, errors="replace")
+    table = list(bytes(range(256)).decode("cp037"))
+    for a, b in ((0x5F, 0xB0), (0xAD, 0xBA), (0xBD, 0xBB)):
+        table[a], table[b] = table[b], table[a]
+    return "".join(table)
+
+
+#: EBCDIC code pages that are tried, in this order.
+CODE_PAGES = ("cp037", "cp1047", "cp500", "cp875")
+
+
+def ebcdic(content: Column, page: str = "cp037") -> Column:
+    """Text of EBCDIC bytes: a byte-for-byte translation; the next-line character becomes a line feed."""
     latin = "".join(map(chr, range(256)))
-    page = bytes(range(256)).decode("cp037")
-    plain = F.decode(content, "ISO-8859-1")
-    same = [i for i in range(1, 256) if latin[i] != page[i]]
-    return F.translate(plain, "".join(latin[i] for i in same), "".join(page[i] for i in same))
+    table = _page(page).replace("\x85", "\n")
+    same = [i for i in range(1, 256) if latin[i] != table[i]]
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(latin[i] for i in same), "".join(table[i] for i in same))
 
 
-def decoded(files: DataFrame, words: Sequence[str] = COBOL_WORDS) -> DataFrame:
-    """Adds ``encoding`` and ``text``: UTF-8 if valid and plausible, EBCDIC if that is, else UTF-8 with replacements."""
+def decoded(files: DataFrame, words: Sequence[str] = COBOL_WORDS, pages: Sequence[str] = CODE_PAGES) -> DataFrame:
+    """Adds ``encoding`` and ``text``: UTF-8 if valid and plausible, else the first plausible EBCDIC page, else UTF-8 with replacements."""
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
-    old = ebcdic(F.col("content"))
-    encoding = F.when(utf8.isNotNull() & looks_like(utf8, words), "utf-8").when(looks_like(old, words), "cp037").otherwise("utf-8-replace")
-    text = F.when(encoding == "cp037", old).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-    return files.withColumn("encoding", encoding).withColumn("text", F.regexp_replace(text, "\r\n?", "\n"))
+    encoding = F.when(utf8.isNotNull() & looks_like(utf8, words), "utf-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    for page in pages:
+        encoding = encoding.when(looks_like(ebcdic(F.col("content"), page), words), page)
+    out = files.withColumn("encoding", encoding.otherwise("utf-8-replace"))
+    for page in pages:
+        text = F.when(F.col("encoding") == page, ebcdic(F.col("content"), page)).otherwise(text)
+    return out.withColumn("text", F.regexp_replace(text, "\r\n?", "\n"))
 
 
 def lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame:
