@@ -6,7 +6,7 @@ read once, and each task keeps only its best k before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_QUERIES = 1000  # bound of a block of queries sent to every task
@@ -30,3 +30,35 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str
     scored = vectors.select(key, vector).join(F.broadcast(block)).select(key, F.explode(F.transform("queries", lambda q: F.struct(q["q"].alias(query_key), F.round(F.sqrt(squared_distance(F.col(vector), q["v"])), 4).alias("distance")))).alias("s")).select(key, "s.*")
     w = Window.partitionBy(query_key).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# ---- Index: a table of embedded chunks in a folder, by the folder they come from ----
+
+
+def source_folder(path: Column, root: str) -> Column:
+    """The first part of a path below the root; "root" for files right in it, "unknown" for others."""
+    base = root.rstrip("/") + "/"
+    rest = F.substr(path, F.lit(len(base) + 1))
+    return F.when(~F.coalesce(F.startswith(path, F.lit(base)), F.lit(False)), "unknown").when(F.contains(rest, F.lit("/")), F.get(F.split(rest, "/"), F.lit(0))).otherwise("root")
+
+
+def write_index(chunks: DataFrame, path: str, add: bool = False) -> None:
+    """Write embedded chunks (id, embedding, text, source_folder, ...), one folder for each source folder, or add to those that are there."""
+    chunks.write.mode("append" if add else "overwrite").partitionBy("source_folder").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """The index, or the part of one source folder, which alone is read then."""
+    found = spark.read.option("basePath", path).parquet(path)
+    return found if folder is None else found.where(F.col("source_folder") == folder)
+
+
+def index_status(index: DataFrame) -> DataFrame:
+    """Chunks by source folder."""
+    return index.groupBy("source_folder").agg(F.count("*").alias("chunks"))
+
+
+def contexts(hits: DataFrame, preview: int = 200) -> DataFrame:
+    """One row for the hits of one search (distance, id, text): the texts in order as context, and their beginnings.  The hits are the k of a search."""
+    ordered = F.array_sort(F.collect_list(F.struct("distance", "id", "text")))
+    return hits.agg(ordered.alias("h")).select(F.array_join(F.transform("h", lambda x: x["text"]), "\n\n").alias("context"), F.transform("h", lambda x: F.substr(x["text"], F.lit(1), F.lit(preview))).alias("previews"))
