@@ -244,6 +244,30 @@ class Encoder:
         yield from self._plain(text[at:])
 
 
+class Drawn:
+    """Short texts to their ids in writing and the bytes of these ids, remembered for each short pre-token; the memo is bounded."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder, self.memo = encoder, {}
+
+    def _draw(self, pre_token: str) -> tuple[str, bytes]:
+        ids = tuple(self.encoder._segment(pre_token))
+        out = ",".join(map(str, ids)), b"".join(map(self.encoder.m.bytes_of.__getitem__, ids))
+        if len(pre_token) <= MEMO_BYTES:
+            if len(self.memo) >= self.encoder.memo_entries:
+                self.memo.clear()
+            self.memo[pre_token] = out
+        return out
+
+    def text(self, text: str) -> tuple[str, bytes] | None:
+        """None for texts that are long or have special tokens: they go as a stream."""
+        enc, memo, draw = self.encoder, self.memo, self._draw
+        if len(text) > SLICE * 8 or (enc.special and enc.special.search(text)):
+            return None
+        parts = [memo[w] if w in memo else draw(w) for w in enc.split.findall(text)]
+        return ",".join([x for x, _ in parts]), b"".join([x for _, x in parts])
+
+
 class StreamingEncoder:
     """Chunks of text to ids, holding back only what a later chunk could change.
 
@@ -317,12 +341,21 @@ class StreamingDecoder:
         self.state = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+        return self.feed_bytes(b"".join(map(self.bytes_of.__getitem__, ids)))
+
+    def feed_bytes(self, raw: bytes) -> str:
+        return self.state.decode(raw)
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
 
 
+@lru_cache(maxsize=2)
+def drawn_for(source: str, memo_entries: int = MEMO_ENTRIES) -> Drawn:
+    """The same for digests, which remember what is written of the ids instead of the ids."""
+    return Drawn(Encoder(Merges(source, min(PAIR_ENTRIES, memo_entries)), memo_entries))
+
+
 @lru_cache(maxsize=2)
 def encoder_for(source: str, memo_entries: int = MEMO_ENTRIES) -> Encoder:
     """An encoder that a Python worker keeps from task to task, with what it remembers."""
@@ -380,14 +413,19 @@ def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_for(shipped.value, memo_entries)
-        merges = enc.m
+        drawn = drawn_for(shipped.value, memo_entries)
+        enc, merges = drawn.encoder, drawn.encoder.m
         name = {i: str(i) for i in merges.bytes_of}
         for batch in batches:
             count, of_ids, of_text = [], [], []
-            for text in batch.column(1):
+            for cell in batch.column(1):
                 dec, ids_hash, text_hash, n = StreamingDecoder(merges), hashlib.sha256(), hashlib.sha256(), 0
-                stream = enc.ids(text.as_py())
+                text = cell.as_py() or ""
+                if short := drawn.text(text):
+                    ids_hash.update(short[0].encode())
+                    text_hash.update(dec.feed_bytes(short[1]).encode())
+                    n = short[0].count(",") + 1 if short[0] else 0
+                stream = enc.ids("" if short else text)
                 while part := list(islice(stream, SLICE)):
                     ids_hash.update(((b"," if n else b"") + ",".join(map(name.__getitem__, part)).encode()))
                     text_hash.update(dec.feed(part).encode())
@@ -398,7 +436,7 @@ def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_i
                 of_text.append(text_hash.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids), pa.array(of_text)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         if not keep_encoder:
-            encoder_for.cache_clear()
+            drawn_for.cache_clear()
 
     src = two_columns(df, id_col, text_col)
     return src.mapInArrow(run, f"{id_col} {src.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
