@@ -11,8 +11,9 @@ of word hash; a group per range adds up the training counts and answers each chu
 with the counts of the words it has, so no vocabulary is broadcast or collected.
 
 Training: in each round the tasks start from the shared weights, run minibatch
-gradient steps over their own training documents, and send what changed; the changes
-are averaged by tokens.  Every training document is used in exactly one round.
+gradient steps over their own training documents, and send what changed; each row's
+changes are averaged by the gradients that touched this row, so a row that one task
+alone has seen keeps all it learned, however many tasks there are.  Every training document is used in exactly one round.
 
 What every task gets is ``FEATURE_ROWS`` * ``CLASSES`` weights and two numbers a class,
 whatever the corpus.  Scoring gathers rows of the weights in numpy batches.
@@ -88,6 +89,7 @@ class Trainer:
         self.start = weights
         self.weights = weights.copy()
         self.seen = np.full(len(weights), 1.0, np.float32)
+        self.touched = np.zeros(len(weights), np.int64)
         self.tokens = 0
 
     def learn(self, features: np.ndarray, classes: np.ndarray) -> None:
@@ -100,6 +102,7 @@ class Trainer:
             rows, first, n = np.unique(flat[order], return_index=True, return_counts=True)
             step = np.add.reduceat(gradient[order % len(c)], first, axis=0)
             self.seen[rows] += n
+            self.touched[rows] += n
             self.weights[rows] -= RATE * step / np.sqrt(self.seen[rows])[:, None]
             self.tokens += len(c)
 
@@ -107,6 +110,10 @@ class Trainer:
         """What changed, by blocks of rows."""
         return [S.pack(x.ravel().astype(np.float16)) for x in np.split(self.weights - self.start, WEIGHT_BLOCKS)]
 
+    def touches(self) -> list[bytes]:
+        """Gradients of each row, by blocks of rows."""
+        return [S.pack(x) for x in np.split(self.touched, WEIGHT_BLOCKS)]
+
 
 def train(src: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Weights from the training documents of (g, id, held_out, body)."""
@@ -123,18 +130,20 @@ def train(src: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
                     trainer.learn(_features(hashes, classes, counts), classes)
             if trainer.tokens:
                 pid = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(WEIGHT_BLOCKS), pa.int32()), "pid": pa.array([pid] * WEIGHT_BLOCKS, pa.int32()), "tokens": pa.array([trainer.tokens] * WEIGHT_BLOCKS, pa.int64()), "change": pa.array(trainer.changes(), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(WEIGHT_BLOCKS), pa.int32()), "pid": pa.array([pid] * WEIGHT_BLOCKS, pa.int32()), "touches": pa.array(trainer.touches(), pa.binary()), "change": pa.array(trainer.changes(), pa.binary())})
 
         def average(key: tuple, table: pa.Table) -> pa.Table:
-            total, change = 0, np.zeros(FEATURE_ROWS * CLASSES // WEIGHT_BLOCKS, np.float64)
+            rows = FEATURE_ROWS // WEIGHT_BLOCKS
+            total, change = np.zeros((rows, 1), np.int64), np.zeros((rows, CLASSES), np.float64)
             table = table.sort_by("pid")  # sums in one order, whatever arrived first
-            for n, packed in zip(table.column("tokens").to_pylist(), table.column("change").to_pylist(), strict=True):
-                change += n * S.unpack(packed, "float16").astype(np.float64)
+            for touches, packed in zip(table.column("touches").to_pylist(), table.column("change").to_pylist(), strict=True):
+                n = S.unpack(touches, "int64").reshape(rows, 1)
+                change += n * S.unpack(packed, "float16").astype(np.float64).reshape(rows, CLASSES)
                 total += n
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([(change / total).astype(np.float32).tobytes()], pa.binary())})
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([(change / np.maximum(total, 1)).astype(np.float32).tobytes()], pa.binary())})
 
         part = src.where(~F.col("held_out") & (F.pmod(F.xxhash64("id", F.lit("round")), F.lit(rounds)) == r)).select("body")
-        sent = part.mapInArrow(run, "block int, pid int, tokens long, change binary")
+        sent = part.mapInArrow(run, "block int, pid int, touches binary, change binary")
         means = sent.groupBy("block").applyInArrow(average, "block int, mean binary").collect()
         weights = weights.copy()
         for block, mean in means:
