@@ -1,7 +1,6 @@
 """Nearest-neighbour retrieval over embeddings, exact, in SQL functions.
 
-The query set is stated and goes to every task in blocks of a checked size; vectors are
-read once, and each task keeps only its best k before anything is shuffled.
+The query set is stated and meets the vectors in blocks of a checked size; each task keeps only its best k before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -22,12 +21,25 @@ def nearest(vectors: DataFrame, query: Column, k: int, vector: str = "embedding"
     return vectors.withColumn("distance", F.round(F.sqrt(squared_distance(F.col(vector), query)), 4)).orderBy("distance", key).limit(k)
 
 
+def _block(query_key: str, vector: str) -> Column:
+    return F.collect_list(F.struct(F.col(query_key).alias("q"), F.col(vector).alias("v"))).alias("queries")
+
+
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
-    """The k nearest rows of each query (query_key, vector): a block of stated queries against all rows."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"a block has at most {MOST_QUERIES} queries; split the query set")
-    block = queries.agg(F.collect_list(F.struct(F.col(query_key).alias("q"), F.col(vector).alias("v"))).alias("queries"))
-    scored = vectors.select(key, vector).join(F.broadcast(block)).select(key, F.explode(F.transform("queries", lambda q: F.struct(q["q"].alias(query_key), F.round(F.sqrt(squared_distance(F.col(vector), q["v"])), 4).alias("distance")))).alias("s")).select(key, "s.*")
+    """The k nearest rows of each query (query_key, vector), of a query set of any size against all rows.
+
+    One block of queries goes to every task by broadcast.  More are dealt by a hash into
+    blocks of at most ``MOST_QUERIES``, and every block meets every partition of the rows.
+    """
+    n = queries.count()
+    if n <= MOST_QUERIES:
+        blocks = F.broadcast(queries.agg(_block(query_key, vector)))
+    else:
+        dealt = queries.withColumn("__deal", F.pmod(F.xxhash64(query_key), F.lit(-(-n // MOST_QUERIES))))
+        place = F.row_number().over(Window.partitionBy("__deal").orderBy(query_key)) - 1
+        cut = dealt.withColumn("__cut", F.floor(place / MOST_QUERIES))
+        blocks = cut.groupBy("__deal", "__cut").agg(_block(query_key, vector)).select("queries").hint("shuffle_replicate_nl")
+    scored = vectors.select(key, vector).crossJoin(blocks).select(key, F.explode(F.transform("queries", lambda q: F.struct(q["q"].alias(query_key), F.round(F.sqrt(squared_distance(F.col(vector), q["v"])), 4).alias("distance")))).alias("s")).select(key, "s.*")
     w = Window.partitionBy(query_key).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -197,8 +197,21 @@ def sliding_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("vector_topk", "SELECT vec_id, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 4) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 10")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "embeddings")
-    q = own.where("vec_id = 0").first()["embedding"]  # the stated query
-    return vectors.nearest(own, F.array(*(F.lit(float(x)) for x in q)), 10).select("vec_id", "distance")
+    q = own.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))  # the stated query
+    return vectors.nearest(own.join(F.broadcast(q), F.lit(True), "left"), F.col("q"), 10).select("vec_id", "distance")
+
+
+@query(
+    "vector_topk_each",
+    """
+    WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s) WHERE rank <= 10
+    """,
+)
+def vector_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    """A search at every row whose id is divisible by 20, against all rows."""
+    own = table(spark, d, "embeddings")
+    return vectors.nearest_of_each(own, own.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
 @query("rag_context_preview", "SELECT doc_id, left(text, 200) AS preview FROM documents")
