@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarrystone.llm import sketches as S
 from quarrystone.llm.components import connected_components
@@ -84,6 +85,11 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, cap_bits: int = CAP_BITS) -> DataFrame:
     """Link documents with ``100 * intersection >= percent * union``; (id, n_shingles, component_id)."""
+    return _labelled(*_linked(df, id_col, text_col, shingle, percent, cap_bits), id_col)
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, percent: int = PERCENT, cap_bits: int = CAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """A row (id, n, node) of each document, and (node, component) of the nodes with a link."""
     spark = df.sparkSession
     src = two_columns(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
     size = src.agg(F.sum(F.octet_length(text_col)).alias("bytes")).first()["bytes"] or 0
@@ -210,8 +216,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = _sets_of(src, docs, lists, shingle)
     lists = _sharper_lists(sets, level_of, percent)
     shared.destroy()
-    links = _link_rounds(spark, lists, sets, percent)
-    return _labelled(docs, links, id_col)
+    return docs, _link_rounds(spark, lists, sets, percent)
 
 
 def _sets_of(src: DataFrame, docs: DataFrame, lists: DataFrame, shingle: int) -> DataFrame:
@@ -355,25 +360,65 @@ def _link_rounds(spark: SparkSession, lists: DataFrame, sets: DataFrame, percent
     return components if components is not None else spark.createDataFrame([], "node string, component string")
 
 
+def _named(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The smallest id and the component of each node."""
+    by_node = docs.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
+    return by_node.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _labelled(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
     """The smallest id of each document's component."""
-    by_node = docs.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
-    named = by_node.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = _named(docs, components)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = named.join(least, "component").select("node", "component_id")
     out = docs.join(label, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_nodes(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``df`` and each row's node, null where the text has no words."""
+
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node: list[str | None] = []
+            for words in scan_words(batch.column(at).fill_null(""), lower=True):
+                rows, hashes = shingle_sets(words, shingle)
+                n, a, b = _nodes(rows, hashes, words.n_rows)
+                node += [x if k else None for x, k in zip(_name(a, b), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.string())], [*batch.schema.names, "__node"])
+
+    schema = StructType([*(StructField(f.name, f.dataType, f.nullable) for f in df.schema.fields), StructField("__node", StringType())])
+    return df.mapInArrow(run, schema)
+
+
 def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component; all columns as they were.
+    """One row of each component of ``df``, the least by id and text; all columns as they were.
 
-    Rows that share a smallest id are reduced to one.  Rows with a null id are kept.
+    A null id comes after all others.  Rows without words are components of their own.
     """
-    found = jaccard_components(df, id_col, text_col, **options)
-    keep = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__kept")).distinct()
-    kept = df.join(keep, df[id_col] == keep["__kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    docs, components = _linked(df, id_col, text_col, **options)
+    named = cut_lineage(_named(docs, components))
+    least = named.groupBy("component").agg(F.min("least").alias("id"))
+    keep = least.select("id").where("id is not null").unionByName(docs.where("node is null and id is not null").select("id")).distinct()
+    repeated = docs.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    some_repeated = repeated.limit(1).count() > 0
+    if some_repeated:
+        keep = keep.join(repeated, "id", "left_anti")
+    kept = df.join(keep, df[id_col] == keep["id"], "left_semi")
+    # An id says which row is meant only if no other has it; for the others the node does.
+    others = df.where(F.col(id_col).isNull())
+    if some_repeated:
+        others = others.unionByName(df.join(repeated, df[id_col] == repeated["id"], "left_semi"))
+    elif not docs.where("id is null").limit(1).count():
+        return kept
+    own = cut_lineage(_with_nodes(others.withColumn(text_col, F.col(text_col).cast("string")), text_col, options.get("shingle", SHINGLE)))
+    wordless = own.where("__node is null").select(*df.columns)
+    best = own.join(named.select(F.col("node").alias("__node"), F.col("component").alias("__component")), "__node").join(least.select(F.col("component").alias("__component"), F.col("id").alias("__least")), "__component")
+    best = best.where(F.col(id_col).cast("long").eqNullSafe(F.col("__least")))
+    chosen = best.groupBy("__component").agg(F.min_by(F.struct(*(F.col(c) for c in df.columns)), text_col).alias("__row"))
+    return kept.unionByName(wordless).unionByName(chosen.select("__row.*"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
