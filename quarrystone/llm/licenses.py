@@ -1,11 +1,11 @@
-"""License scans (operator 10): winnowed fingerprints, then banded alignment.
+"""License scans (operator 10): winnowed fingerprints, then local alignment.
 
 Templates are winnowed once: of every ``WINNOW`` neighbouring hashes of three
 words, the least is kept, in an index of hash to (template, position).  Texts are
 winnowed the same way, so a run of ``SHINGLE + WINNOW - 1`` equal words is always
-seen.  Hits near one diagonal are one candidate; a local alignment within a band
-around the diagonal then counts matched words, tolerates words that are missing,
-added or changed, and gives the span.
+seen.  The part of a text that any alignment through a hit can reach is then aligned
+with the template: every local alignment in it, without a band, counts matched words,
+tolerates words that are missing, added or changed, and gives the span.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, in lower
 case, so punctuation and line breaks don't matter.
@@ -17,6 +17,7 @@ are reported like any other; an empty template list finds nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -29,7 +30,6 @@ from quarrystone.llm.textblocks import Words, scan_words, window_hashes
 
 SHINGLE = 3
 WINNOW = 2
-BAND = 6
 COVERAGE = 0.8
 MOST_TEMPLATE_WORDS = 1_000_000  # bound of what every task is given
 
@@ -106,35 +106,81 @@ class Index:
         self.places = [found[int(k)] for k in self.keys]
 
 
-def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment of a template near a diagonal: matched words, first and last+1 word of the text.
-
-    A match scores 2, a changed, missing or added word costs 1.  Only cells within
-    ``band`` of the diagonal are looked at.
-    """
-    width = 2 * band + 1
-    zero = (0, 0, -1, -1)  # score, matched, first, end
-    above = [zero] * (width + 2)
-    best = zero
+def _best_alignments(text: np.ndarray, template: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The best local alignment of the template from each word of the text: score, matched words, first and last+1 word."""
     n = len(text)
-    for i, want in enumerate(template.tolist()):
-        row = [zero] * (width + 2)
-        for k in range(width):
-            j = diagonal + i + k - band
-            if not 0 <= j < n:
+    at = np.arange(n, dtype=np.int32)
+    score, matched, first = np.zeros(n, np.int32), np.zeros(n, np.int32), at.copy()
+    best, best_matched, best_end = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for want in template:
+        equal = text == want
+        # From the word before: matched or changed; a path of score 0 begins anew.
+        d_score, d_matched, d_first = np.zeros(n, np.int32), np.zeros(n, np.int32), at.copy()
+        d_score[1:], d_matched[1:] = score[:-1], matched[:-1]
+        d_first[1:] = np.where(score[:-1] > 0, first[:-1], at[1:])
+        d_score += np.where(equal, 2, -1)
+        d_matched += equal
+        missing = score - 1 > d_score
+        score, matched, first = np.where(missing, score - 1, d_score), np.where(missing, matched, d_matched), np.where(missing, first, d_first)
+        # Added words: each cell is reached from the nearest that is best with the words between taken off.
+        level = score + at
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == top, at, 0))
+        score, matched, first = score[source] - (at - source), matched[source], first[source]
+        gone = score <= 0
+        score[gone], matched[gone], first[gone] = 0, 0, at[gone]
+        ends = np.flatnonzero(equal & (source == at) & (score > 0))
+        ends = ends[score[ends] > best[first[ends]]]
+        ends = ends[np.argsort(score[ends], kind="stable")]  # of several ends from one word the last, so the best, stays
+        best[first[ends]], best_matched[first[ends]], best_end[first[ends]] = score[ends], matched[ends], ends + 1
+    begins = np.flatnonzero(best)
+    return list(zip(best[begins].tolist(), best_matched[begins].tolist(), begins.tolist(), best_end[begins].tolist(), strict=True))
+
+
+def align(text: np.ndarray, template: np.ndarray, places: list[int], coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
+    """Alignments that cover enough of the template, none over another: matched words, first and last+1 word of the text, in order.
+
+    A match scores 2, a changed, missing or added word costs 1, so pieces are joined
+    where both score more than what lies between them costs.  ``places`` are words of
+    the text with a hit; what is left beside an alignment is aligned again as long as
+    a hit in it isn't covered.
+    """
+    least = coverage * len(template)
+    found: list[tuple[int, int, int]] = []
+    open_ = [(0, len(text))]
+    while open_:
+        a, b = open_.pop()
+        if b - a < least or bisect_left(places, a) == bisect_left(places, b):
+            continue
+        taken: list[tuple[int, int]] = []
+        for _, matched, begin, end in sorted(_best_alignments(text[a:b], template), key=lambda x: (-x[0], x[2])):
+            if matched < least:
+                continue
+            k = bisect_left(taken, (begin, end))
+            if (k and taken[k - 1][1] > begin) or (k < len(taken) and taken[k][0] < end):
                 continue
-            d, up, left = above[k + 1], above[k + 2], row[k]
-            if text[j] == want:
-                cell = (d[0] + 2, d[1] + 1, d[2] if d[2] >= 0 else j, j + 1)
-            else:
-                cell = max((d[0] - 1, *d[1:]), (up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]))
-                if cell[0] <= 0:
-                    cell = zero
-            row[k + 1] = cell
-            if cell[0] > best[0]:
-                best = cell
-        above = row
-    return best[1], best[2], best[3]
+            taken.insert(k, (begin, end))
+            found.append((matched, a + begin, a + end))
+        edges = [0, *(x for span in taken for x in span), b - a]
+        if taken:
+            open_ += [(a + x, a + y) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+    return sorted(found, key=lambda x: x[1])
+
+
+def _regions(places: list[tuple[int, int]], n: int, template: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Parts of a text of n words that hold every alignment through a hit (word, diagonal), with the hits' words.
+
+    An alignment's added words are fewer than twice the template's, or its score would not be above 0.
+    """
+    spans = sorted((max(0, d - 2 * template), min(n, d + 3 * template), w) for w, d in places)
+    lo, hi, inside = spans[0][0], spans[0][1], [spans[0][2]]
+    for a, b, w in spans[1:]:
+        if a > hi:
+            yield lo, hi, sorted(inside)
+            lo, inside = a, []
+        hi = max(hi, b)
+        inside.append(w)
+    yield lo, hi, sorted(inside)
 
 
 def _matches(words: Words, index: Index) -> Iterator[tuple[int, str, int, int, float, int, int]]:
@@ -146,26 +192,17 @@ def _matches(words: Words, index: Index) -> Iterator[tuple[int, str, int, int, f
     inside = at < len(index.keys)
     hit[inside] = index.keys[at[inside]] == hashes[picked][inside]
     starts = words.row_start
-    hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+    hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     for i, k in zip(picked[hit].tolist(), at[hit].tolist(), strict=True):
         row = int(rows[i])
+        word = int(first[i]) - int(starts[row])
         for template, position in index.places[k]:
-            hits[row, template].append(int(first[i]) - int(starts[row]) - position)
-    for (row, template), diagonals in sorted(hits.items()):
+            hits[row, template].append((word, word - position))
+    for (row, template), places in sorted(hits.items()):
         text, want = words.hash[starts[row] : words.row_end[row]], index.words[template]
-        diagonals.sort()
-        groups = [[diagonals[0]]]
-        for d in diagonals[1:]:
-            if d - groups[-1][-1] <= BAND:
-                groups[-1].append(d)
-            else:
-                groups.append([d])
-        last_end = -1
-        for group in groups:
-            matched, begin, end = align(text, want, group[len(group) // 2])
-            if matched >= COVERAGE * len(want) and begin >= last_end:
-                last_end = end
-                b, e = int(words.start[starts[row] + begin]), int(words.end[starts[row] + end - 1])
+        for lo, hi, inside in _regions(places, len(text), len(want)):
+            for matched, begin, end in align(text[lo:hi], want, [w - lo for w in inside]):
+                b, e = int(words.start[starts[row] + lo + begin]), int(words.end[starts[row] + lo + end - 1])
                 yield row, index.names[template], matched, len(want), matched / len(want), b, e
 
 
