@@ -11,8 +11,11 @@ given as a table (text, label); by default they are made from a counter: digests
 several alphabets for random strings, combinations of ordinary words for identifiers.
 
 Defined results: null and empty texts have no spans; offsets are code points;
-rows are independent, so repeated rows and null ids change nothing; without samples
-of a class all its transitions are equally likely.
+rows are independent, so repeated rows, null ids and other columns, whatever their
+names, change nothing; an empty table gives an empty table; the time for a very long
+text grows with its length and n log n with its n matches; of tokens, those that
+overlap a base span are not judged; without samples of a class all its transitions
+are equally likely.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.spans import joined, match_spans, only_if
+from quarrystone.llm.spans import apart, joined, let, match_spans, only_if, replaced
 from quarrystone.llm.tables import two_columns
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
@@ -97,9 +100,8 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
-def _named(kind: str, spans: Column, score: Column | None = None) -> Column:
-    value = F.lit(None).cast("double") if score is None else score
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), value.alias("score")))
+def _named(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["byte"].alias("byte"), s["value"].alias("value"), F.lit(None).cast("double").alias("score")))
 
 
 def _base_spans(text: Column) -> Column:
@@ -110,23 +112,32 @@ def _base_spans(text: Column) -> Column:
     return F.concat(_named("assign", only_if(likely, assign)), _named("access", access), _named("hex", match_spans(text, HEX)))
 
 
+def _all_spans(text: Column, model: list[float]) -> Column:
+    """Base spans and, apart from them, tokens that the models call random: by start, then kind as listed."""
+    steps = lambda s: F.greatest(F.char_length(s["value"]) - 1, F.lit(1))
+    order = lambda k: F.array_position(F.array(*(F.lit(x) for x in (*BASE_KINDS, "random"))), k)
+
+    def with_base(base: Column) -> Column:
+        judged = F.transform(apart(match_spans(text, TOKEN), base), lambda s: F.struct(F.lit("random").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["byte"].alias("byte"), s["value"].alias("value"), ratio(s["value"], model).alias("score")))
+        secret = F.filter(judged, lambda s: (s["score"] >= IN_SUM) & (s["score"] >= PER_STEP * steps(s)))
+        keyed = F.transform(F.concat(base, secret), lambda s: F.struct(s["start"].alias("start"), order(s["kind"]).alias("k"), *(s[x].alias(x) for x in ("kind", "end", "byte", "value", "score"))))
+        return F.transform(F.sort_array(keyed), lambda s: F.struct(*(s[x].alias(x) for x in ("kind", "start", "end", "byte", "value", "score"))))
+
+    return let(_base_spans(text), with_base)
+
+
 def find_secrets(df: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``spans array<struct<kind,start,end,value,score>>`` by start, then kind as listed."""
+    """``id_col``, ``spans array<struct<kind,start,end,byte,value,score>>`` by start, then kind as listed."""
     model = model or fit(default_samples(df.sparkSession))
     src = two_columns(df, id_col, text_col)
-    text = F.col(text_col)
-    found = src.select(id_col, _base_spans(text).alias("base"), match_spans(text, TOKEN).alias("tokens"))
-    steps = lambda s: F.greatest(F.char_length(s["value"]) - 1, F.lit(1))
-    apart = F.filter("tokens", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    judged = F.transform(apart, lambda s: F.struct(F.lit("random").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), ratio(s["value"], model).alias("score")))
-    secret = F.filter(judged, lambda s: (s["score"] >= IN_SUM) & (s["score"] >= PER_STEP * steps(s)))
-    order = lambda k: F.array_position(F.array(*(F.lit(x) for x in (*BASE_KINDS, "random"))), k)
-    keyed = F.transform(F.concat("base", secret), lambda s: F.struct(s["start"].alias("start"), order(s["kind"]).alias("k"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score")))
-    return found.select(id_col, F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score"))).alias("spans"))
+    return src.select(id_col, _all_spans(F.col(text_col), model).alias("spans"))
 
 
 def mask_secrets(df: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts with each found value replaced: base spans of all kinds and judged tokens; all other columns as they were."""
+    """Texts with exactly the spans of :func:`find_secrets` replaced by [SECRET]; all other columns as they were.
+
+    Of an assignment only the value is replaced, so its name stays.  Null texts stay null.
+    """
     model = model or fit(default_samples(df.sparkSession))
     names = {c: f"__own_{i}" for i, c in enumerate(df.columns)}
     own = df.select(*(F.col(c).alias(n) for c, n in names.items()))
@@ -134,13 +145,12 @@ def mask_secrets(df: DataFrame, model: list[float] | None = None, id_col: str =
 
 
 def _masked(text: Column, model: list[float]) -> Column:
-    """A text with secrets replaced by [SECRET]; the name of an assignment stays."""
-    whole = F.coalesce(text, F.lit(""))
-    base = _base_spans(whole)
-    tokens = F.filter(match_spans(whole, TOKEN), lambda s: (ratio(s["value"], model) >= IN_SUM) & (ratio(s["value"], model) >= PER_STEP * F.greatest(F.char_length(s["value"]) - 1, F.lit(1))))
-    values = F.concat(F.transform(base, lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"])), F.transform(tokens, lambda s: s["value"]))
-    longest_first = F.array_sort(F.array_distinct(values), lambda a, b: F.char_length(b) - F.char_length(a))
-    return F.when(F.size(values) == 0, text).otherwise(F.aggregate(longest_first, whole, lambda acc, v: F.replace(acc, v, F.lit("[SECRET]"))))
+    def region(s: Column) -> Column:
+        stop = s["byte"] + F.octet_length(s["value"])
+        secret = F.when(s["kind"] == "assign", F.regexp_extract(s["value"], ASSIGN, 2)).otherwise(s["value"])
+        return F.struct((stop - F.octet_length(secret)).alias("byte"), stop.alias("stop"), F.lit("[SECRET]").alias("label"))
+
+    return replaced(text, F.transform(_all_spans(F.coalesce(text, F.lit("")), model), region))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
