@@ -5,6 +5,9 @@
    never too small.
 2. Only windows whose estimate is at least two are sent on, grouped by a range of
    their 96-bit hash, and there the smallest document of each is found exactly.
+   A task sends only its own smallest document of a window to that group; its other
+   documents have lost the window already.  So a window that is in every document
+   has one entry for each few million windows read, and not one for each document.
 3. For every document the windows that also start in a document with a smaller
    id come back, grouped with the texts, and the words they cover are removed.
 
@@ -13,13 +16,15 @@ prefilter lets more through and the exact pass decides, so nothing is lost.
 
 Defined results: null text counts as no words; documents with fewer words than a
 window lose nothing; rows of equal id don't remove words from each other; a row
-with a null id is neither earlier nor later than any other and loses nothing.
+with a null id is neither earlier nor later than any other and loses nothing; an
+empty table gives an empty table; other columns aren't looked at; a very long text is
+read in one piece, which takes about 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +56,12 @@ def _part_of(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cap_bits: int = CAP_BITS, keep_text: bool = False) -> DataFrame:
+def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cap_bits: int = CAP_BITS, keep_text: bool = False, inspect: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Remove words covered by windows that also start in a document with a smaller id.
 
     Returns ``id_col``, n_words, n_removed, kept_sha256 and, with ``keep_text``,
-    the kept words joined by one space as ``text``.
+    the kept words joined by one space as ``text``.  ``inspect`` is given the messages
+    (part, h1, h2, doc) of the windows estimated repeated.
     """
     spark = df.sparkSession
     src = two_columns(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
@@ -91,13 +97,19 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
         def drain() -> pa.RecordBatch:
             h1, h2, doc = (np.concatenate([x[i] for x in held]) for i in range(3))
             held.clear()
-            part = ((h1 >> np.uint64(32)) % np.uint64(exact_parts)).astype(np.int32)
-            order = np.lexsort((h1, part))
+            order = np.lexsort((doc, h2, h1))
+            h1, h2, doc = h1[order], h2[order], doc[order]
+            opens = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+            late = doc > doc[opens][np.cumsum(opens) - 1]
+            # Of each window only the least document goes on; groups of negative numbers say which others have lost it.
+            part = np.where(late, -1 - _part_of(doc, parts), ((h1 >> np.uint64(32)) % np.uint64(exact_parts)).astype(np.int32))
+            order = np.flatnonzero(late | opens)
+            order = order[np.argsort(part[order], kind="stable")]
             part, h1, h2, doc = part[order], h1[order], h2[order], doc[order]
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             span = list(zip(cuts[:-1], cuts[1:], strict=True))
             return pa.RecordBatch.from_pydict(
-                {"part": part[cuts[:-1]], "h1": [S.pack_sorted(h1[a:b]) for a, b in span], "h2": [S.pack(h2[a:b]) for a, b in span], "doc": [S.pack(doc[a:b]) for a, b in span]},
+                {"part": part[cuts[:-1]], "h1": [S.pack_sorted(h1[a:b]) for a, b in span], "h2": [S.pack(h2[a:b]) if part[a] >= 0 else None for a, b in span], "doc": [S.pack(doc[a:b]) for a, b in span]},
                 pa.schema([("part", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary())]),
             )
 
@@ -122,8 +134,12 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
             yield drain()
 
     proposed = src.where(F.col(id_col).isNotNull()).mapInArrow(propose, _EXACT)
+    if inspect is not None:
+        inspect(proposed)
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:  # decided already
+            return pa.table({"part": pa.array([-1 - key[0].as_py()] * len(table), pa.int32()), "doc": table.column("doc"), "h1": pa.array([S.pack(S.unpack_sorted(x, "uint64")) for x in table.column("h1").to_pylist()], pa.binary())})
         columns = [(S.unpack_sorted(a, "uint64"), S.unpack(b, "uint32"), S.unpack(c, "int64")) for a, b, c in zip(*(table.column(x).to_pylist() for x in ("h1", "h2", "doc")), strict=True)]
         h1, h2, doc = (np.concatenate([x[i] for x in columns]) for i in range(3))
         order = np.lexsort((doc, h2, h1))
