@@ -12,12 +12,14 @@ the cosine of two such sums estimates the cosine of the texts' shingle counts:
 the likeness, with a standard error of about ``LANES ** -0.5``.
 
 Neighbours by ascending id are found without a global sort in one task: ids are cut
-into ranges at approximate quantiles, and the first row of each range is also sent
-to the range before it.
+into ranges at approximate quantiles, and where that gives too few, each range again at
+its own quantiles; the first row of each range is also sent to the range before it.
 
 Defined results: null and empty texts have the zero fingerprint; two zero
 fingerprints are alike (1.0), one is unlike any other (0.0); rows of equal id are
-ordered by text; null ids come last; a document that is alone is its own next one.
+ordered by text; null ids come last; a document that is alone is its own next one;
+an empty table gives an empty table; other columns aren't looked at; a very long text
+is held with its edited text and the next one.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ EXACT = 8
 LANES = 128
 SHINGLE = 3
 RANGE_ROWS = 1000
-MOST_RANGES = 4096  # bound of the quantiles that every task is given
+MOST_CUTS = 4096  # bound of the quantiles that one aggregate finds
+MOST_RANGES = 1 << 21  # bound of the starts that every task is given: 16 MB
+FLUSH_ROWS, FLUSH_CHARS = 500, 1 << 22
 
 _NEWLINE = 10
 
@@ -124,15 +128,36 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return src.mapInArrow(run, f"{id_col} {src.dtypes[0][1]}, fingerprint string")
 
 
-def with_neighbours(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def range_starts(ids: DataFrame, ranges: int, most_cuts: int = MOST_CUTS) -> np.ndarray:
+    """First ids of about so many ranges of equal numbers of rows of (id), without nulls.
+
+    One aggregate cuts all ids; past ``most_cuts`` each range is cut again by an
+    aggregate of its own group, so that no task has to find all the quantiles.
+    """
+    cuts = lambda n: F.percentile_approx("id", [i / n for i in range(n)], 100_000)
+    coarse = min(ranges, most_cuts)
+    first = ids.agg(F.min("id").alias("low"), cuts(coarse).alias("p")).first()
+    if first["low"] is None:
+        return np.zeros(0, np.int64)
+    starts = np.unique(np.array([first["low"], *first["p"]], np.int64))
+    fine = min(most_cuts, -(-ranges // len(starts)))
+    if fine > 1:
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                part = np.searchsorted(starts, batch.column(0).to_numpy(zero_copy_only=False), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0)], ["part", "id"])
+
+        again = ids.mapInArrow(place, "part int, id long").groupBy("part").agg(cuts(fine).alias("p")).select(F.explode("p").alias("id")).distinct()
+        starts = np.union1d(starts, np.array([r["id"] for r in again.collect()], np.int64))
+    return starts
+
+
+def with_neighbours(df: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE_ROWS, most_cuts: int = MOST_CUTS) -> DataFrame:
     """Rows dealt by ranges of ids and sorted, each range followed by the next one's first row (``head``)."""
     src = two_columns(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
-    stats = src.agg(F.count(id_col).alias("n"), F.min(id_col).alias("low")).first()
-    ranges = int(min(MOST_RANGES, max(1, stats["n"] // RANGE_ROWS)))
-    starts = np.zeros(0, np.int64)
-    if stats["n"]:
-        cuts = src.agg(F.percentile_approx(id_col, [i / ranges for i in range(ranges)], 100_000).alias("p")).first()["p"]
-        starts = np.unique(np.array([stats["low"], *cuts], np.int64))
+    ids = src.select(F.col(id_col).alias("id")).where("id is not null")
+    starts = range_starts(ids, int(min(MOST_RANGES, max(1, ids.count() // range_rows))), most_cuts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,17 +211,18 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
-            rows, following = [], []
+            rows, following, chars = [], [], 0
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is not None:
+                    chars += len(held[3])
                     rows.append(held)
                     following.append(row if row[0] == held[0] else None)
                     held = None
                 if not row[1]:
                     held = row
-                if sum(len(r[3]) for r in rows[-1:]) and len(rows) >= 500:
+                if len(rows) >= FLUSH_ROWS or chars >= FLUSH_CHARS:
                     yield closed(rows, following)
-                    rows, following = [], []
+                    rows, following, chars = [], [], 0
             if rows:
                 yield closed(rows, following)
         if held is not None:
