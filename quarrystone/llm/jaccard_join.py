@@ -8,6 +8,8 @@ share one node, so copies are never compared.  Per node:
    documents share keeps prefix filtering exact, so estimates cost no result.
 2. Two sets as similar as asked share a shingle within their prefixes.  Prefix
    shingles meet in groups of a range of their hash; those of one node only drop out.
+   Copies are one entry of a task's message, and nodes of a shingle that the sketch
+   puts far above the mean don't need to meet there at all.
 3. Pairs come from each list of nodes with the same prefix shingle in rounds:
    first against one leader, then against the next 16, then the next 256, and
    so on until every list is done.  Pairs that earlier rounds have put into one
@@ -21,7 +23,9 @@ Defined results: null, empty and wordless texts have an empty set, link with
 nothing and are their own component; fewer words than a shingle make one shingle
 of the whole sequence; rows with equal text and id are each returned; a row with
 a null id is compared like any other but is never the smallest id of a component,
-unless all ids there are null.
+unless all ids there are null; an empty table gives an empty table; other columns
+aren't looked at; a very long text is read in one piece, which takes about 60 bytes
+of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -48,6 +52,7 @@ OWN_CAP_BITS = 27  # three rows of one bit a slot: at most 48 MB
 BLOCK_SHINGLES = 600_000
 HELD_SHINGLES = 800_000
 GROUP_BYTES = 12_000_000
+LIST_ROWS = 50_000  # members of a list that one task ranks
 LEADERS = 16  # growth of the number of leaders of a list from round to round
 BROADCAST_NODES = 200_000  # 200,000 ids of 8 bytes: under 10 MB as a hash table
 HISTOGRAM = 64
@@ -83,12 +88,12 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, cap_bits: int = CAP_BITS) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, cap_bits: int = CAP_BITS, list_rows: int = LIST_ROWS) -> DataFrame:
     """Link documents with ``100 * intersection >= percent * union``; (id, n_shingles, component_id)."""
-    return _labelled(*_linked(df, id_col, text_col, shingle, percent, cap_bits), id_col)
+    return _labelled(*_linked(df, id_col, text_col, shingle, percent, cap_bits, list_rows), id_col)
 
 
-def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, percent: int = PERCENT, cap_bits: int = CAP_BITS) -> tuple[DataFrame, DataFrame]:
+def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, percent: int = PERCENT, cap_bits: int = CAP_BITS, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
     """A row (id, n, node) of each document, and (node, component) of the nodes with a link."""
     spark = df.sparkSession
     src = two_columns(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
@@ -149,26 +154,27 @@ def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, p
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        names = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("token", "a", "b", "n", "pos"))])
+        names = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("token", "a", "b", "row"))])
 
         def drain() -> pa.RecordBatch:
-            token, a, b, n, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
+            token, a, b, level = (np.concatenate([x[i] for x in held]) for i in range(4))
             held.clear()
-            part = ((token >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
-            order = np.lexsort((token, part))
-            part, token, a, b, n, pos = (x[order] for x in (part, token, a, b, n, pos))
+            # A shingle far above the mean is shared for sure, so only its nodes matter: they are dealt by node, not by shingle.
+            hot = level == 3
+            part = np.where(hot, -1 - (a % np.uint64(groups)).astype(np.int64), ((token >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)).astype(np.int32)
+            token[hot] = 0
+            order = np.lexsort((b, a, token, part))
+            part, token, a, b = (x[order] for x in (part, token, a, b))
+            once = np.ones(len(token), bool)  # copies are one node
+            once[1:] = (part[1:] != part[:-1]) | (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            part, token, a, b = (x[once] for x in (part, token, a, b))
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-            span = list(zip(cuts[:-1], cuts[1:], strict=True))
-            out = {"part": part[cuts[:-1]], "token": [S.pack_sorted(token[i:j]) for i, j in span]}
-            # A document recurs in many groups; one number stands for it within a message.
-            docs_, which = np.unique(a, return_index=True)
-            row = np.searchsorted(docs_, a)
-            for x, values in (("a", docs_), ("b", b[which]), ("n", n[which])):
-                out[x] = []
-                for i, j in span:
-                    here = np.unique(row[i:j])
-                    out[x].append(S.pack(values[here]))
-            out["pos"] = [S.pack(np.stack([np.searchsorted(np.unique(row[i:j]), row[i:j]).astype(np.uint32), pos[i:j].astype(np.uint32)], 1).reshape(-1)) for i, j in span]
+            out: dict[str, object] = {"part": part[cuts[:-1]], "token": [], "a": [], "b": [], "row": []}
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                # A node recurs in a message; one number stands for it there.
+                nodes, which, row = np.unique(a[i:j], return_index=True, return_inverse=True)
+                for x, packed in (("token", S.pack_sorted(token[i:j])), ("a", S.pack(nodes)), ("b", S.pack(b[i:j][which])), ("row", S.pack(row.astype(np.uint32)))):
+                    out[x].append(packed)
             return pa.RecordBatch.from_pydict(out, names)
 
         count = 0
@@ -184,7 +190,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, p
                 # A shingle of one document only takes its place in the prefix, but meets nothing.
                 keep = (pos < _prefix_length(n, percent)[rows]) & (levels > 0)
                 rows = rows[keep]
-                held.append((hashes[keep], a[rows], b[rows], n[rows].astype(np.uint32), pos[keep]))
+                held.append((hashes[keep], a[rows], b[rows], levels[keep]))
                 count += len(rows)
                 if held and count >= HELD_SHINGLES:
                     yield drain()
@@ -192,36 +198,39 @@ def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, p
         if count:
             yield drain()
 
-    # Prefix shingles of two nodes or more: (token, node, n, pos).
-    def shared_tokens(key: tuple, table: pa.Table) -> pa.Table:
+    # Nodes with a prefix shingle that another node has in its prefix too.
+    def sharing(key: tuple, table: pa.Table) -> pa.Table:
         parts = []
-        for t, a, b, n, p in zip(*(table.column(x).to_pylist() for x in ("token", "a", "b", "n", "pos")), strict=True):
-            at = S.unpack(p, "uint32").reshape(-1, 2)
-            row = at[:, 0]
-            parts.append((S.unpack_sorted(t, "uint64"), S.unpack(a, "uint64")[row], S.unpack(b, "uint64")[row], S.unpack(n, "uint32")[row], at[:, 1]))
-        token, a, b, n, pos = (np.concatenate([x[i] for x in parts]) for i in range(5))
-        order = np.lexsort((b, a, token))
-        token, a, b, n, pos = (x[order] for x in (token, a, b, n, pos))
-        once = np.ones(len(token), bool)
-        once[1:] = (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        token, a, b, n, pos = (x[once] for x in (token, a, b, n, pos))
-        same = np.zeros(len(token) + 1, bool)
-        same[1:-1] = token[1:] == token[:-1]
-        many = same[1:] | same[:-1]
-        return pa.table({"token": token[many].view(np.int64), "node": pa.array(_name(a[many], b[many]), pa.string()), "n": n[many].astype(np.int32), "pos": pos[many].astype(np.int32)})
-
-    messages = src.mapInArrow(prefixes, "part int, token binary, a binary, b binary, n binary, pos binary")
-    lists = messages.groupBy("part").applyInArrow(shared_tokens, "token long, node string, n int, pos int")
-    lists = cut_lineage(lists)
-    sets = _sets_of(src, docs, lists, shingle)
-    lists = _sharper_lists(sets, level_of, percent)
+        for t, a, b, r in zip(*(table.column(x).to_pylist() for x in ("token", "a", "b", "row")), strict=True):
+            row = S.unpack(r, "uint32")
+            parts.append((S.unpack_sorted(t, "uint64"), S.unpack(a, "uint64")[row], S.unpack(b, "uint64")[row]))
+        token, a, b = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        if key[0].as_py() >= 0:
+            order = np.lexsort((b, a, token))
+            token, a, b = (x[order] for x in (token, a, b))
+            once = np.ones(len(token), bool)
+            once[1:] = (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            token, a, b = (x[once] for x in (token, a, b))
+            same = np.zeros(len(token) + 1, bool)
+            same[1:-1] = token[1:] == token[:-1]
+            many = same[1:] | same[:-1]
+            a, b = a[many], b[many]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.table({"node": pa.array(_name(a[once], b[once]), pa.string())})
+
+    messages = src.mapInArrow(prefixes, "part int, token binary, a binary, b binary, row binary")
+    involved = cut_lineage(messages.groupBy("part").applyInArrow(sharing, "node string"))
+    sets = _sets_of(src, docs, involved.distinct(), shingle)
+    lists = _lists(sets, level_of, percent, list_rows)
     shared.destroy()
     return docs, _link_rounds(spark, lists, sets, percent)
 
 
-def _sets_of(src: DataFrame, docs: DataFrame, lists: DataFrame, shingle: int) -> DataFrame:
-    """The shingle sets of the nodes in any list, computed again from one document of each."""
-    involved = lists.select("node").distinct()
+def _sets_of(src: DataFrame, docs: DataFrame, involved: DataFrame, shingle: int) -> DataFrame:
+    """The shingle sets of the nodes that may link, computed again from one document of each."""
     chosen = cut_lineage(docs.where("id is not null").join(involved, "node").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
     id_col, text_col = src.columns
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen
@@ -243,15 +252,17 @@ def _sets_of(src: DataFrame, docs: DataFrame, lists: DataFrame, shingle: int) ->
     return cut_lineage(found)
 
 
-def _sharper_lists(sets: DataFrame, level_of: Callable[[np.ndarray], np.ndarray], percent: int) -> DataFrame:
-    """Lists of nodes by prefix shingle again, without shingles that no other of these nodes has.
+def _lists(sets: DataFrame, level_of: Callable[[np.ndarray], np.ndarray], percent: int, list_rows: int) -> DataFrame:
+    """Lists of nodes by prefix shingle, without shingles that no other of these nodes has.
 
     Only nodes that share a prefix shingle at all can link, so a sketch of their sets
     alone says which shingles can be in common: ``most`` of a node's.  Without the
     others prefixes are shorter, and a pair needs a shingle in common within the first
     ``most - overlap + 1`` of both.  Wrongly kept shingles only make this weaker.
     Members of a list are in one order that all lists share, those that can overlap
-    most first: they make the best leaders.
+    most first: they make the best leaders.  A list of over ``list_rows`` members is
+    ranked in cuts of about that size, and the members of equal rank in their cuts
+    follow each other; any order will do, so no task ever sorts a whole long list.
     """
     total = (sets.agg(F.sum(F.octet_length("shingles")).alias("b")).first()["b"] or 0) // 8
     width, depth = S.width_for(total, 4.0, OWN_CAP_BITS), 3
@@ -288,12 +299,18 @@ def _sharper_lists(sets: DataFrame, level_of: Callable[[np.ndarray], np.ndarray]
                 pos = np.concatenate([np.arange(k) for k in count_])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), count_))), *(pa.array(np.asarray(x, np.int32)) for x in (np.repeat(size, count_), pos, np.repeat(most_, count_)))], schema=schema)
 
-    rows = sets.select("node", "shingles").mapInArrow(prefix, "token long, node string, n int, pos int, most int")
-    order = Window.partitionBy("token").orderBy(F.col("n") - F.col("most"), F.xxhash64("node"), "node")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy("token")))
-    out = cut_lineage(ranked.where("size > 1"))
+    rows = cut_lineage(sets.select("node", "shingles").mapInArrow(prefix, "token long, node string, n int, pos int, most int"))
     shared.destroy()
-    return out
+    sizes = rows.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") > list_rows)
+    long = cut_lineage(sizes.select("token", "members", F.ceil(F.col("members") / list_rows).cast("int").alias("cuts")))
+    dealt = rows.join(long, "token", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    dealt = dealt.withColumn("cut", F.pmod(F.xxhash64("node", F.lit("cut")), F.col("cuts")).cast("int"))
+    by_cut = Window.partitionBy("token", "cut")
+    order = by_cut.orderBy(F.col("n") - F.col("most"), F.xxhash64("node"), "node")
+    ranked = dealt.withColumn("rank", (F.row_number().over(order) - 1) * F.col("cuts") + F.col("cut"))
+    # For long lists a bound of the ranks is enough: rounds end when no list holds two components.
+    ranked = ranked.withColumn("size", F.when(F.col("cuts") > 1, F.col("members") * F.col("cuts")).otherwise(F.count("*").over(by_cut)))
+    return cut_lineage(ranked.where("size > 1").select("token", "node", "n", "pos", "most", "rank", "size"))
 
 
 def _verifier(percent: int):
