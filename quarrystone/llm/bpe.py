@@ -4,13 +4,16 @@ The canonical segmentation of a byte string has one property that makes
 streaming possible: a token sequence is canonical exactly when every token on
 its own and every pair of neighbours is.  So the last token of every prefix is
 fixed by the last tokens of shorter prefixes, and reading one byte adds one
-back pointer.  A token can be emitted as soon as the back-pointer chains of all
-prefixes that a future token could extend pass through it.  How far that can
-lag is bounded by a number that depends on the merge list alone
-(:func:`sufficient_lookahead`), so the state is bounded too.
+back pointer.  A token is emitted once the sufficient lookahead of the merge list
+(:func:`sufficient_lookahead`) has been read after it: nothing that follows can
+change it then, so the state is bounded too.
+
+Every text, whatever its length, goes through :class:`StreamingEncoder` in slices of
+``SLICE`` characters, and its ids through :class:`StreamingDecoder`.
 
 Defined results: null and empty texts have no tokens; rows are independent of
-each other, so repeated rows, null ids and other columns change nothing.
+each other, so repeated rows, null ids and other columns, whatever their names, change
+nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -62,6 +65,7 @@ class Merges:
             if left + right in self.rank:
                 raise ValueError("two merges form the same token")
             self.rank[left + right], self.halves[left + right] = n, (left, right)
+        self.lookahead = sufficient_lookahead(self)
         self.pair_entries = pair_entries
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[bytes, bool] = {}
@@ -125,18 +129,20 @@ class Merges:
 def sufficient_lookahead(merges: Merges) -> int:
     """Bytes after a token beyond which nothing can change it.
 
-    Text on the right reaches leftwards only through a chain of merges of
-    rising rank, each taking the left part of the one before as its right part.
-    The longest such chain, in bytes, plus one token bounds the reach.
+    Compare a byte string with the same string and something after it while the merges
+    are applied in their order.  Both agree up to a place that starts at the end of the
+    shorter one, and one merge can move it left by one token only: by its left part,
+    where its right part stands on the other side of that place.  That right part then
+    begins with what the merge before, of a lower rank, took as its left part.  So the
+    furthest reach of a merge is its left part's length and the furthest reach of the
+    earlier merges whose left part its right part begins with.
     """
-    reach: dict[bytes, int] = {}
-    best = 0
-    for token in sorted(merges.halves, key=merges.rank.__getitem__, reverse=True):
+    reach: dict[bytes, int] = {}  # by left part
+    for token in sorted(merges.halves, key=merges.rank.__getitem__):
         left, right = merges.halves[token]
-        here = len(left) + reach.get(left, 0)
-        reach[right] = max(reach.get(right, 0), here)
-        best = max(best, here)
-    return best + merges.longest
+        here = len(left) + max(reach.get(right[:i], 0) for i in range(1, len(right) + 1))
+        reach[left] = max(reach.get(left, 0), here)
+    return max(reach.values(), default=0)
 
 
 class ByteTransducer:
@@ -153,6 +159,7 @@ class ByteTransducer:
 
     def feed(self, data: bytes) -> Iterator[bytes]:
         m, back, usable, apart, by_tail = self.m, self.back, self.m.usable, self.m.neighbours, self.m.by_tail
+        reach = m.lookahead
         data, read = self.tail + data, len(self.tail)
         shift = self.at - read  # where data starts in the pre-token
         for stop in range(read + 1, len(data) + 1):
@@ -164,20 +171,19 @@ class ByteTransducer:
                     break
             else:
                 raise ValueError("the vocabulary lacks a single byte")
-            if at - self.base > 4 * m.longest and at % m.longest == 0:
+            if at - self.base >= 2 * reach:
                 self.at = at
-                yield from self._emit(self._settled())
+                yield from self._emit(self._stable(at - reach))
                 back = self.back
         self.at = len(data) + shift
         self.tail = data[-m.longest :]
 
-    def _settled(self) -> int:
-        # All later tokens start at one of the last `longest` ends, or after them.
-        ends = {e for e in range(max(self.base + 1, self.at - self.m.longest), self.at + 1) if e in self.back}
-        while len(ends) > 1 and max(ends) > self.base:
-            ends.discard(last := max(ends))
-            ends.add(self.back[last][0])
-        return min(ends)
+    def _stable(self, limit: int) -> int:
+        # The last end of a token that isn't beyond the limit.
+        end = self.at
+        while end > limit:
+            end = self.back[end][0]
+        return max(end, self.base)
 
     def _emit(self, end: int) -> Iterator[bytes]:
         out = []
@@ -199,73 +205,43 @@ class ByteTransducer:
 
 
 class Encoder:
-    """Text to ids.  Short pre-tokens are remembered, as they recur; the memo is bounded."""
+    """Pre-tokens to their ids in some form.  Short ones are remembered, as they recur; the memo is bounded."""
 
-    def __init__(self, merges: Merges, memo_entries: int = MEMO_ENTRIES) -> None:
-        self.m, self.memo_entries = merges, memo_entries
+    def __init__(self, merges: Merges, memo_entries: int = MEMO_ENTRIES, form: Callable[[tuple[int, ...]], object] = tuple) -> None:
+        self.m, self.memo_entries, self.form = merges, memo_entries, form
         self.split = regex.compile(SPLIT_PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, object] = {}
         self.bytes = ByteTransducer(merges)
 
-    def _segment(self, pre_token: str) -> Iterator[int]:
+    def one(self, pre_token: str) -> object:
         ids = self.m.ids
-        yield from map(ids.__getitem__, self.bytes.feed(pre_token.encode()))
-        yield from map(ids.__getitem__, self.bytes.finish())
-
-    def _one(self, pre_token: str) -> Iterable[int]:
-        found = self.memo.get(pre_token)
-        if found is None:
-            if len(pre_token) > MEMO_BYTES:
-                return self._segment(pre_token)
+        found = self.form(tuple([*map(ids.__getitem__, self.bytes.feed(pre_token.encode())), *map(ids.__getitem__, self.bytes.finish())]))
+        if len(pre_token) <= MEMO_BYTES:
             if len(self.memo) >= self.memo_entries:
                 self.memo.clear()
-            found = self.memo[pre_token] = tuple(self._segment(pre_token))
+            self.memo[pre_token] = found
         return found
 
-    def _plain(self, text: str) -> Iterator[int]:
-        if len(text) <= SLICE * 8:
-            words, memo, one = self.split.findall(text), self.memo, self._one
-            return chain.from_iterable([memo[w] if w in memo else one(w) for w in words])
-        return chain.from_iterable(self._one(x.group()) for x in self.split.finditer(text))
+    def words(self, pre_tokens: list[str]) -> list:
+        memo, one = self.memo, self.one
+        return [memo[w] if w in memo else one(w) for w in pre_tokens]
 
-    def ids(self, text: str | None) -> Iterator[int]:
-        """The ids of a text, as they become stable."""
+    def pieces(self, text: str | None) -> Iterator[list]:
+        """The ids of a text in their form, slice after slice."""
+        stream = StreamingEncoder(self)
         text = text or ""
-        found = self.special.search(text) if self.special else None
-        if not found:
-            yield from self._plain(text)
-            return
-        at = 0
-        for x in self.special.finditer(text):
-            yield from self._plain(text[at : x.start()])
-            yield self.m.special[x.group()]
-            at = x.end()
-        yield from self._plain(text[at:])
-
-
-class Drawn:
-    """Short texts to their ids in writing and the bytes of these ids, remembered for each short pre-token; the memo is bounded."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        self.encoder, self.memo = encoder, {}
-
-    def _draw(self, pre_token: str) -> tuple[str, bytes]:
-        ids = tuple(self.encoder._segment(pre_token))
-        out = ",".join(map(str, ids)), b"".join(map(self.encoder.m.bytes_of.__getitem__, ids))
-        if len(pre_token) <= MEMO_BYTES:
-            if len(self.memo) >= self.encoder.memo_entries:
-                self.memo.clear()
-            self.memo[pre_token] = out
-        return out
+        for at in range(0, len(text), SLICE):
+            yield from stream.pieces(text[at : at + SLICE], last=at + SLICE >= len(text))
+        yield from stream.closing()
+
+    def ids(self, text: str | None) -> Iterator[int]:
+        return chain.from_iterable(chain.from_iterable(self.pieces(text)))
+
 
-    def text(self, text: str) -> tuple[str, bytes] | None:
-        """None for texts that are long or have special tokens: they go as a stream."""
-        enc, memo, draw = self.encoder, self.memo, self._draw
-        if len(text) > SLICE * 8 or (enc.special and enc.special.search(text)):
-            return None
-        parts = [memo[w] if w in memo else draw(w) for w in enc.split.findall(text)]
-        return ",".join([x for x, _ in parts]), b"".join([x for _, x in parts])
+def drawn(merges: Merges) -> Callable[[tuple[int, ...]], tuple[str, bytes]]:
+    """The form of ids for digests: what is written of them, and their bytes."""
+    return lambda ids: (",".join(map(str, ids)), b"".join(map(merges.bytes_of.__getitem__, ids)))
 
 
 class StreamingEncoder:
@@ -278,12 +254,24 @@ class StreamingEncoder:
 
     KINDS = tuple(regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+"))
 
-    def __init__(self, merges: Merges, hold: int = 4096) -> None:
-        self.encoder, self.hold = Encoder(merges), hold
+    def __init__(self, encoder: Encoder, hold: int = 4096) -> None:
+        self.encoder, self.hold = encoder, hold
         self.buffer, self.run = "", None
-        self.guard = max([3, *(len(s) + 2 for s in merges.special)])  # white space also looks at what follows
+        self.guard = max([3, *(len(s) + 2 for s in encoder.m.special)])  # white space also looks at what follows
 
-    def feed(self, chunk: str, last: bool = False) -> Iterator[int]:
+    def _bytes(self, text: str) -> list:
+        """What the byte transducer gives of a part of a long run."""
+        found = tuple(map(self.encoder.m.ids.__getitem__, self.encoder.bytes.feed(text.encode())))
+        return [self.encoder.form(found)] if found else []
+
+    def closing(self) -> Iterator[list]:
+        """The rest of a long run."""
+        if self.run is not None:
+            self.run = None
+            yield [self.encoder.form(tuple(map(self.encoder.m.ids.__getitem__, self.encoder.bytes.finish())))]
+
+    def pieces(self, chunk: str, last: bool = False) -> Iterator[list]:
+        """What is settled now, in the encoder's form."""
         self.buffer += chunk
         enc, specials = self.encoder, self.encoder.special
         while self.buffer:
@@ -292,8 +280,8 @@ class StreamingEncoder:
                 break
             mark = specials.search(self.buffer) if specials else None
             if mark and mark.start() == 0:
-                yield from self._close()
-                yield enc.m.special[mark.group()]
+                yield from self.closing()
+                yield [enc.form((enc.m.special[mark.group()],))]
                 self.buffer = self.buffer[mark.end() :]
                 continue
             stop = mark.start() if mark else len(self.buffer)
@@ -305,32 +293,33 @@ class StreamingEncoder:
                 if self.run is self.KINDS[3] and n and not open_ended and n < stop:
                     n -= 1  # white space leaves its last character to what follows
                 n = min(n, limit) if open_ended else n
-                yield from map(enc.m.ids.__getitem__, enc.bytes.feed(self.buffer[:n].encode()))
+                yield self._bytes(self.buffer[:n])
                 self.buffer = self.buffer[n:]
                 if open_ended:
                     break
-                yield from self._close()
+                yield from self.closing()
+                continue
+            words, end = enc.split.findall(self.buffer, 0, stop), stop
+            if not final:
+                while words and end > limit:
+                    end -= len(words.pop())
+            if words:
+                yield enc.words(words)
+                self.buffer = self.buffer[end:]
                 continue
             found = enc.split.match(self.buffer, 0, stop)
-            if final and found.end() <= stop or found.end() <= limit:
-                yield from enc._one(found.group())
-                self.buffer = self.buffer[found.end() :]
-            elif len(self.buffer) > self.hold and found.end() > self.guard:
-                head = 1 if self.buffer[0] == " " and len(self.buffer) > 1 and not self.buffer[1].isspace() else 0
-                self.run = next(k for k in self.KINDS if k.match(self.buffer, head))
-                yield from map(enc.m.ids.__getitem__, enc.bytes.feed(self.buffer[: head + 1].encode()))
-                self.buffer = self.buffer[head + 1 :]
-            else:
+            if len(self.buffer) <= self.hold or found.end() <= self.guard:
                 break
+            head = 1 if self.buffer[0] == " " and len(self.buffer) > 1 and not self.buffer[1].isspace() else 0
+            self.run = next(k for k in self.KINDS if k.match(self.buffer, head))
+            yield self._bytes(self.buffer[: head + 1])
+            self.buffer = self.buffer[head + 1 :]
 
-    def _close(self) -> Iterator[int]:
-        if self.run is not None:
-            yield from map(self.encoder.m.ids.__getitem__, self.encoder.bytes.finish())
-            self.run = None
+    def feed(self, chunk: str) -> Iterator[int]:
+        return chain.from_iterable(chain.from_iterable(self.pieces(chunk)))
 
     def finish(self) -> Iterator[int]:
-        yield from self.feed("", last=True)
-        yield from self._close()
+        return chain.from_iterable(chain.from_iterable(chain(self.pieces("", last=True), self.closing())))
 
 
 class StreamingDecoder:
@@ -351,14 +340,15 @@ class StreamingDecoder:
 
 
 @lru_cache(maxsize=2)
-def drawn_for(source: str, memo_entries: int = MEMO_ENTRIES) -> Drawn:
-    """The same for digests, which remember what is written of the ids instead of the ids."""
-    return Drawn(Encoder(Merges(source, min(PAIR_ENTRIES, memo_entries)), memo_entries))
+def drawn_for(source: str, memo_entries: int = MEMO_ENTRIES) -> Encoder:
+    """An encoder for digests that a Python worker keeps from task to task, with what it remembers."""
+    merges = Merges(source, min(PAIR_ENTRIES, memo_entries))
+    return Encoder(merges, memo_entries, drawn(merges))
 
 
 @lru_cache(maxsize=2)
 def encoder_for(source: str, memo_entries: int = MEMO_ENTRIES) -> Encoder:
-    """An encoder that a Python worker keeps from task to task, with what it remembers."""
+    """The same for ids."""
     return Encoder(Merges(source, min(PAIR_ENTRIES, memo_entries)), memo_entries)
 
 
@@ -413,23 +403,17 @@ def round_trip_digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn = drawn_for(shipped.value, memo_entries)
-        enc, merges = drawn.encoder, drawn.encoder.m
-        name = {i: str(i) for i in merges.bytes_of}
+        enc = drawn_for(shipped.value, memo_entries)
         for batch in batches:
             count, of_ids, of_text = [], [], []
             for cell in batch.column(1):
-                dec, ids_hash, text_hash, n = StreamingDecoder(merges), hashlib.sha256(), hashlib.sha256(), 0
-                text = cell.as_py() or ""
-                if short := drawn.text(text):
-                    ids_hash.update(short[0].encode())
-                    text_hash.update(dec.feed_bytes(short[1]).encode())
-                    n = short[0].count(",") + 1 if short[0] else 0
-                stream = enc.ids("" if short else text)
-                while part := list(islice(stream, SLICE)):
-                    ids_hash.update(((b"," if n else b"") + ",".join(map(name.__getitem__, part)).encode()))
-                    text_hash.update(dec.feed(part).encode())
-                    n += len(part)
+                dec, ids_hash, text_hash, n = StreamingDecoder(enc.m), hashlib.sha256(), hashlib.sha256(), 0
+                for piece in enc.pieces(cell.as_py()):
+                    written = ",".join([x for x, _ in piece if x])
+                    if written:
+                        ids_hash.update((("," if n else "") + written).encode())
+                        text_hash.update(dec.feed_bytes(b"".join([x for _, x in piece])).encode())
+                        n += written.count(",") + 1
                 text_hash.update(dec.finish().encode())
                 count.append(n)
                 of_ids.append(ids_hash.hexdigest())
