@@ -1,26 +1,37 @@
 """Language-model scoring with a hashed maximum-entropy model (operator 6).
 
-P(word | history) = P(class | history) * P(word | class).  The class factor is a
-softmax over ``CLASSES`` word classes whose weights are looked up by hashed features
-of the history: the previous word, the word before it (a skip), the pair of both, and
-the previous word's class.  The word factor is the class's own smoothed unigram, the
-maximum-entropy solution that has only a bias.
+P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass).
+A word's class comes from its last two bytes, its subclass from its hash.  The first
+two factors are softmaxes over 16 outcomes whose weights are looked up by hashed
+features of the history: the previous word, the word before it (a skip), the pair of
+both, and the previous word's class; within a class the class is part of every
+feature.  The last factor is the subclass's own smoothed unigram, the
+maximum-entropy solution that has only a bias: the vocabulary is open, so words
+have no weights of their own.
 
 Counts: every partition sends the distinct words of each chunk of documents by range
 of word hash; a group per range adds up the training counts and answers each chunk
 with the counts of the words it has, so no vocabulary is broadcast or collected.
 
 Training: in each round the tasks start from the shared weights, run minibatch
-gradient steps over their own training documents, and send what changed; each row's
-changes are averaged by the gradients that touched this row, so a row that one task
-alone has seen keeps all it learned, however many tasks there are.  Every training document is used in exactly one round.
-
-What every task gets is ``FEATURE_ROWS`` * ``CLASSES`` weights and two numbers a class,
-whatever the corpus.  Scoring gathers rows of the weights in numpy batches.
+gradient steps over their own training documents, and send what changed by blocks of
+rows.  Changes are added up in two steps, first by block and part of the tasks, then
+by block, and each row's sum is divided by the gradients that touched this row, so a
+row that one task alone has seen keeps all it learned, however many tasks there are.
+Every training document is used in exactly one round.  Since each task takes its own
+minibatches, weights depend a little on how the input is split into tasks.
+
+The weight table has about ``ROWS_PER_ROOT`` rows for the square root of the corpus's
+tokens, as the number of different histories grows less than the text does, up to
+2 ** ``cap_bits``: that is the bound of what every task gets and of what the driver
+holds.  Tasks read at least ``TABLES_PER_TASK`` times the table's size, so messages stay
+below the input.  Scoring gathers rows of the weights in numpy batches.
 
 Defined results: null and empty texts are one token, the end; rows are independent,
 so repeated rows count as often as they stand; a null id is in training; with no
-training documents every word is unknown and the classes are equally likely.
+training documents every word is unknown and all classes are equally likely; an empty
+table gives an empty table; columns beside id and text aren't looked at; a very long
+text is scored in one piece, which takes about 400 bytes of memory for each word.
 """
 
 from __future__ import annotations
@@ -38,15 +49,20 @@ from quarrystone.llm.tables import cut_lineage
 from quarrystone.llm.textblocks import Words, mix64, scan_words
 
 CLASSES = 16
-FEATURE_ROWS = 1 << 16
+SUBCLASSES = 16  # of each class; both are the width of a row of weights
+LEAVES = CLASSES * SUBCLASSES
 FEATURES = 4
+BYTES_PER_TOKEN = 6  # only to size the table
+ROWS_PER_ROOT = 16
+LEAST_BITS, CAP_BITS = 14, 22  # 2 ** 22 rows are 256 MB
+TABLES_PER_TASK = 2
+BLOCK_ROWS = 4096  # rows of weights in one message
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.15
-GROUP_BYTES = 24_000_000
+GROUP_BYTES = 16_000_000
 HELD_ENTRIES = 1_500_000
 BLOCK_BYTES = 8_000_000  # text bytes behind one range of word hashes
-WEIGHT_BLOCKS = 16
 
 _U = np.uint64
 _END = _U(0x0E9D_0E9D_0E9D_0E9D)
@@ -61,16 +77,22 @@ def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(words.hash, words.row_end, _END), np.insert(classes, words.row_end, 0), words.counts + 1
 
 
-def _features(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for every token: FEATURES hashed features of its history."""
+def _subclasses(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> _U(40)) % _U(SUBCLASSES)).astype(np.uint8)
+
+
+def _features(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the weight table for every token: FEATURES hashed features of its history, for its class and within it."""
     begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
     one, two, of = np.empty_like(hashes), np.empty_like(hashes), np.empty_like(classes)
     one[1:], of[1:] = hashes[:-1], classes[:-1]
     one[begin], of[begin] = _BEGIN, CLASSES
     two[1:] = one[:-1]
     two[begin] = _BEGIN
-    mask = _U(FEATURE_ROWS - 1)
-    return np.stack([mix64(one + _U(1)) & mask, mix64(two + _U(2)) & mask, mix64(one * _U(3) + mix64(two)) & mask, mix64(of.astype(np.uint64) + _U(4)) & mask], axis=1).astype(np.int32)
+    own = [one + _U(1), two + _U(2), one * _U(3) + mix64(two), of.astype(np.uint64) + _U(4)]
+    mask = _U(rows - 1)
+    salt = (classes.astype(np.uint64) + _U(1)) * _U(0x9E37_79B9_7F4A_7C15)
+    return tuple(np.stack([(mix64(x) & mask).astype(np.int32) for x in some], axis=1) for some in (own, [x ^ salt for x in own]))
 
 
 def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -88,67 +110,83 @@ class Trainer:
     def __init__(self, weights: np.ndarray) -> None:
         self.start = weights
         self.weights = weights.copy()
-        self.seen = np.full(len(weights), 1.0, np.float32)
         self.touched = np.zeros(len(weights), np.int64)
         self.tokens = 0
 
-    def learn(self, features: np.ndarray, classes: np.ndarray) -> None:
-        for a in range(0, len(classes), BATCH):
-            f, c = features[a : a + BATCH], classes[a : a + BATCH]
+    def learn(self, features: np.ndarray, outcomes: np.ndarray) -> None:
+        for a in range(0, len(outcomes), BATCH):
+            f, c = features[a : a + BATCH], outcomes[a : a + BATCH]
             gradient = np.exp(_log_softmax(self.weights, f))
             gradient[np.arange(len(c)), c] -= 1.0
             flat = f.T.ravel()
             order = np.argsort(flat, kind="stable")
-            rows, first, n = np.unique(flat[order], return_index=True, return_counts=True)
+            rows = flat[order]
+            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            rows, n = rows[first], np.diff(np.append(first, len(rows)))
             step = np.add.reduceat(gradient[order % len(c)], first, axis=0)
-            self.seen[rows] += n
             self.touched[rows] += n
-            self.weights[rows] -= RATE * step / np.sqrt(self.seen[rows])[:, None]
+            self.weights[rows] -= RATE * step / np.sqrt(1.0 + self.touched[rows]).astype(np.float32)[:, None]
             self.tokens += len(c)
 
-    def changes(self) -> list[bytes]:
-        """What changed, by blocks of rows."""
-        return [S.pack(x.ravel().astype(np.float16)) for x in np.split(self.weights - self.start, WEIGHT_BLOCKS)]
+    def messages(self, pid: int) -> pa.RecordBatch:
+        """What changed and how often, by blocks of rows."""
+        blocks = len(self.weights) // BLOCK_ROWS
+        change, touched = (np.split(x, blocks) for x in (self.weights - self.start, self.touched))
+        used = [i for i in range(blocks) if touched[i].any()]
+        return pa.RecordBatch.from_pydict({"block": pa.array(used, pa.int32()), "pid": pa.array([pid] * len(used), pa.int32()), "touches": pa.array([S.pack(touched[i]) for i in used], pa.binary()), "change": pa.array([S.pack(change[i].ravel().astype(np.float16)) for i in used], pa.binary())})
+
 
-    def touches(self) -> list[bytes]:
-        """Gradients of each row, by blocks of rows."""
-        return [S.pack(x) for x in np.split(self.touched, WEIGHT_BLOCKS)]
+def table_rows(tokens: int, cap_bits: int = CAP_BITS) -> int:
+    """Rows of the weight table for a corpus of so many tokens."""
+    return 1 << min(cap_bits, max(LEAST_BITS, int(np.ceil(np.log2(ROWS_PER_ROOT * np.sqrt(max(1, tokens)))))))
 
 
-def train(src: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from the training documents of (g, id, held_out, body)."""
+def _added(table: pa.Table, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of each row of a block, and the sum of the changes, each times its gradients."""
+    total, change = np.zeros((BLOCK_ROWS, 1), np.int64), np.zeros((BLOCK_ROWS, CLASSES), np.float64)
+    table = table.sort_by("pid")  # sums in one order, whatever arrived first
+    for touches, packed in zip(table.column("touches").to_pylist(), table.column("change").to_pylist(), strict=True):
+        n = S.unpack(touches, "int64").reshape(BLOCK_ROWS, 1)
+        own = S.unpack(packed, dtype).astype(np.float64).reshape(BLOCK_ROWS, CLASSES)
+        change += n * own
+        total += n
+    return total, change / np.maximum(total, 1)
+
+
+def train(src: DataFrame, rounds: int = ROUNDS, rows: int = 1 << LEAST_BITS, tasks: int | None = None) -> np.ndarray:
+    """Weights from the training documents of (g, id, held_out, body), in at most so many tasks."""
     spark = src.sparkSession
-    weights = np.zeros((FEATURE_ROWS, CLASSES), np.float32)
+    weights = np.zeros((rows, CLASSES), np.float32)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)  # FEATURE_ROWS * CLASSES numbers
+        shared = spark.sparkContext.broadcast(weights)  # rows * CLASSES numbers, bounded by cap_bits
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(shared.value)
             for batch in batches:
                 for words in scan_words(batch.column(0), lower=True):
                     hashes, classes, counts = _tokens(words)
-                    trainer.learn(_features(hashes, classes, counts), classes)
+                    for features, outcomes in zip(_features(hashes, classes, counts, rows), (classes, _subclasses(hashes)), strict=True):
+                        trainer.learn(features, outcomes)
             if trainer.tokens:
-                pid = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(WEIGHT_BLOCKS), pa.int32()), "pid": pa.array([pid] * WEIGHT_BLOCKS, pa.int32()), "touches": pa.array(trainer.touches(), pa.binary()), "change": pa.array(trainer.changes(), pa.binary())})
+                yield trainer.messages(TaskContext.get().partitionId())
+
+        def add(key: tuple, table: pa.Table) -> pa.Table:
+            total, mean = _added(table, "float16")
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "pid": pa.array([key[1].as_py()], pa.int32()), "touches": pa.array([S.pack(total.ravel())], pa.binary()), "change": pa.array([S.pack(mean.ravel().astype(np.float32))], pa.binary())})
 
         def average(key: tuple, table: pa.Table) -> pa.Table:
-            rows = FEATURE_ROWS // WEIGHT_BLOCKS
-            total, change = np.zeros((rows, 1), np.int64), np.zeros((rows, CLASSES), np.float64)
-            table = table.sort_by("pid")  # sums in one order, whatever arrived first
-            for touches, packed in zip(table.column("touches").to_pylist(), table.column("change").to_pylist(), strict=True):
-                n = S.unpack(touches, "int64").reshape(rows, 1)
-                change += n * S.unpack(packed, "float16").astype(np.float64).reshape(rows, CLASSES)
-                total += n
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([(change / np.maximum(total, 1)).astype(np.float32).tobytes()], pa.binary())})
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([_added(table, "float32")[1].astype(np.float32).tobytes()], pa.binary())})
 
         part = src.where(~F.col("held_out") & (F.pmod(F.xxhash64("id", F.lit("round")), F.lit(rounds)) == r)).select("body")
+        if tasks:
+            part = part.coalesce(tasks)
+        parts = max(1, int(np.sqrt(tasks or part.rdd.getNumPartitions())))
         sent = part.mapInArrow(run, "block int, pid int, touches binary, change binary")
-        means = sent.groupBy("block").applyInArrow(average, "block int, mean binary").collect()
+        some = sent.withColumn("some", F.col("pid") % parts).groupBy("block", "some").applyInArrow(add, "block int, pid int, touches binary, change binary")
+        means = some.groupBy("block").applyInArrow(average, "block int, mean binary").collect()  # the table, once
         weights = weights.copy()
         for block, mean in means:
-            rows = FEATURE_ROWS // WEIGHT_BLOCKS
-            weights[block * rows : (block + 1) * rows] += np.frombuffer(mean, np.float32).reshape(rows, CLASSES)
+            weights[block * BLOCK_ROWS : (block + 1) * BLOCK_ROWS] += np.frombuffer(mean, np.float32).reshape(BLOCK_ROWS, CLASSES)
     return weights
 
 
@@ -163,7 +201,7 @@ def _prepared(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
 
 
 def _chunk_counts(src: DataFrame, size: int) -> DataFrame:
-    """Answers to chunks (g, hashes, counts), and with g = -1 the totals of each range (counts: words and distinct words by class)."""
+    """Answers to chunks (g, hashes, counts), and with g = -1 the totals of each range (counts: words and distinct words by subclass)."""
     blocks = np.uint64(max(8, size // BLOCK_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +249,8 @@ def _chunk_counts(src: DataFrame, size: int) -> DataFrame:
         word = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         total = np.add.reduceat(n, word)
         known = total > 0
-        by_class = np.bincount(c[word], weights=total, minlength=CLASSES), np.bincount(c[word][known], minlength=CLASSES)
+        leaf = c[word].astype(np.int64) * SUBCLASSES + _subclasses(h[word])
+        by_leaf = np.bincount(leaf, weights=total, minlength=LEAVES), np.bincount(leaf[known], minlength=LEAVES)
         every = np.repeat(total, np.diff(np.append(word, len(h))))
         first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
         h, g, every = h[first], g[first], every[first]
@@ -220,23 +259,24 @@ def _chunk_counts(src: DataFrame, size: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
         span = list(zip(cuts[:-1], cuts[1:], strict=True))
         out_g = [-1, *g[cuts[:-1]].tolist()]
-        return pa.table({"g": pa.array(out_g, pa.int32()), "hashes": pa.array([b"", *(S.pack_sorted(h[a:b]) for a, b in span)], pa.binary()), "counts": pa.array([np.concatenate(by_class).astype(np.int64).tobytes(), *(S.pack(every[a:b].astype(np.uint64)) for a, b in span)], pa.binary())})
+        return pa.table({"g": pa.array(out_g, pa.int32()), "hashes": pa.array([b"", *(S.pack_sorted(h[a:b]) for a, b in span)], pa.binary()), "counts": pa.array([np.concatenate(by_leaf).astype(np.int64).tobytes(), *(S.pack(every[a:b].astype(np.uint64)) for a, b in span)], pa.binary())})
 
     asked = src.select("g", "held_out", "body").mapInArrow(ask, "block int, h binary, g binary, c binary, n binary")
     return cut_lineage(asked.groupBy("block").applyInArrow(answer, "g int, hashes binary, counts binary"))
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, cap_bits: int = CAP_BITS) -> DataFrame:
     """Train on the documents that aren't held out and score all of them."""
     spark = df.sparkSession
     src, _, size = _prepared(df, id_col, text_col)
     answers = _chunk_counts(src, size)
-    totals = np.zeros(2 * CLASSES, np.int64)
-    for (one,) in answers.where("g = -1").select("counts").collect():  # 2 * CLASSES numbers a range of word hashes
+    totals = np.zeros(2 * LEAVES, np.int64)
+    for (one,) in answers.where("g = -1").select("counts").toLocalIterator():  # 2 * LEAVES numbers a range of word hashes
         totals += np.frombuffer(one, np.int64)
-    in_class, distinct = totals[:CLASSES], totals[CLASSES:]
-    n_train, vocabulary = int(in_class.sum()), int(distinct.sum())
-    shared = spark.sparkContext.broadcast(train(src, rounds))
+    in_leaf, distinct = totals[:LEAVES], totals[LEAVES:]
+    n_train, vocabulary = int(in_leaf.sum()), int(distinct.sum())
+    rows = table_rows(size // BYTES_PER_TOKEN, cap_bits)
+    shared = spark.sparkContext.broadcast(train(src, rounds, rows, max(1, size // (TABLES_PER_TASK * 4 * CLASSES * rows))))
 
     def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
         weights = shared.value
@@ -247,16 +287,17 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         columns: list[list[np.ndarray]] = [[], [], [], []]
         for words in scan_words(texts.column("body"), lower=True):
             hashes, classes, counts = _tokens(words)
-            features = _features(hashes, classes, counts)
+            subs = _subclasses(hashes)
             found = c[np.searchsorted(h, hashes)].astype(np.float64)
             base = np.log10((found + 0.5) / (n_train + 0.5 * (vocabulary + 1)))
-            within = np.log10((found + 0.5) / (in_class[classes] + 0.5 * (distinct[classes] + 1)))
-            of_class = np.empty(len(hashes))
-            for a in range(0, len(hashes), BATCH):
-                part = classes[a : a + BATCH]
-                of_class[a : a + BATCH] = _log_softmax(weights, features[a : a + BATCH])[np.arange(len(part)), part]
+            leaf = classes.astype(np.int64) * SUBCLASSES + subs
+            own = np.log10((found + 0.5) / (in_leaf[leaf] + 0.5 * (distinct[leaf] + 1)))
+            for features, outcomes in zip(_features(hashes, classes, counts, rows), (classes, subs), strict=True):
+                for a in range(0, len(hashes), BATCH):
+                    part = outcomes[a : a + BATCH]
+                    own[a : a + BATCH] += _log_softmax(weights, features[a : a + BATCH])[np.arange(len(part)), part] / np.log(10.0)
             begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
-            for column, values in zip(columns, (counts, np.add.reduceat((found > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(within + of_class / np.log(10.0), begin)), strict=True):
+            for column, values in zip(columns, (counts, np.add.reduceat((found > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(own, begin)), strict=True):
                 column.append(values)
         n, known, base, score_ = (np.concatenate(x) if x else np.zeros(0) for x in columns)
         return pa.table({"id": texts.column("id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_train] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.round(score_, 6), pa.float64())})
