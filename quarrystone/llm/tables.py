@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     What came before isn't needed any more, so a lost executor costs nothing that
     is written; and the table's size is known, so joins with it are planned on
     that.  The folder is the one the session names in ``spark.checkpoint.dir``.
-    Only where that is unset, as in tests, a folder of this machine is set.
+    Only where that is unset on a single machine, as in tests, a folder of this machine
+    is set; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -177,6 +177,8 @@ def test_bpe_against_the_library(spark, odd):
 
     path = bpe.default_vocabulary_path()
     lib, merges = Tokenizer.from_file(path), bpe.Merges(bpe.read_vocabulary(path))
+    long = "a" * 5000 + " " + "b c " * 100_000 + " " * 9000 + "x" * 70_000 + "'re'll <|endoftext|> é🙂" + "word " * 30_000
+    assert list(bpe.Encoder(merges).ids(long)) == lib.encode(long, add_special_tokens=False).ids and len(long) > 600_000
     for folder in (SF, odd):
         texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
         for r in queries.QUERIES["op9_bpe"](spark, folder).collect():
@@ -189,7 +191,7 @@ def test_bpe_against_the_library(spark, odd):
     for _ in range(300):
         text = "".join(rng.choice(pieces) * rng.choice([1, 1, 1, 40]) for _ in range(rng.randint(0, 40)))
         want = lib.encode(text, add_special_tokens=False).ids
-        stream, out, i = bpe.StreamingEncoder(merges, hold=64), [], 0
+        stream, out, i = bpe.StreamingEncoder(bpe.Encoder(merges), hold=64), [], 0
         while i < len(text):
             j = i + rng.randint(1, 60)
             out += stream.feed(text[i:j])
@@ -197,7 +199,14 @@ def test_bpe_against_the_library(spark, odd):
         assert out + list(stream.finish()) == want
     tr = bpe.ByteTransducer(merges)
     list(tr.feed(b"abcdefgh" * 5000))
-    assert len(tr.back) <= 6 * merges.longest
+    assert len(tr.back) <= 2 * merges.lookahead + 1
+    tr.reset()
+    for _ in range(20):  # the lookahead is enough for every continuation
+        head, tail = ("".join(rng.choice("aeinrst") for _ in range(n)) for n in (3000, 400))
+        sent = list(tr.feed(head.encode()))
+        want = [merges.bytes_of[i] for i in lib.encode(head + tail, add_special_tokens=False).ids]
+        assert sent == want[: len(sent)] and sum(map(len, sent)) > 3000 - 3 * merges.lookahead
+        tr.reset()
 
 
 def test_licenses(spark, odd):
