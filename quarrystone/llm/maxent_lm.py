@@ -3,9 +3,9 @@
 P(word | history) = P(class | history) * P(subclass | class, history) * P(word | subclass).
 A word's class comes from its last two bytes, its subclass from its hash.  The first
 two factors are softmaxes over 16 outcomes whose weights are looked up by hashed
-features of the history: the previous word, the word before it (a skip), the pair of
-both, and the previous word's class; within a class the class is part of every
-feature.  The last factor is the subclass's own smoothed unigram, the
+features of the history: the previous word, the word before it (a skip) and the pair of
+both, for the class also the previous word's class; within a class the class is part
+of every feature.  The last factor is the subclass's own smoothed unigram, the
 maximum-entropy solution that has only a bias: the vocabulary is open, so words
 have no weights of their own.
 
@@ -51,7 +51,6 @@ from quarrystone.llm.textblocks import Words, mix64, scan_words
 CLASSES = 16
 SUBCLASSES = 16  # of each class; both are the width of a row of weights
 LEAVES = CLASSES * SUBCLASSES
-FEATURES = 4
 BYTES_PER_TOKEN = 6  # only to size the table
 ROWS_PER_ROOT = 16
 LEAST_BITS, CAP_BITS = 14, 22  # 2 ** 22 rows are 256 MB
@@ -64,6 +63,7 @@ GROUP_BYTES = 16_000_000
 HELD_ENTRIES = 1_500_000
 BLOCK_BYTES = 8_000_000  # text bytes behind one range of word hashes
 
+_ONES = np.ones((CLASSES, 1), np.float32)
 _U = np.uint64
 _END = _U(0x0E9D_0E9D_0E9D_0E9D)
 _BEGIN = _U(0xBE61_4BE6_14BE_614B)
@@ -82,7 +82,7 @@ def _subclasses(hashes: np.ndarray) -> np.ndarray:
 
 
 def _features(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the weight table for every token: FEATURES hashed features of its history, for its class and within it."""
+    """Rows of the weight table for every token: hashed features of its history, four for its class and three within it."""
     begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
     one, two, of = np.empty_like(hashes), np.empty_like(hashes), np.empty_like(classes)
     one[1:], of[1:] = hashes[:-1], classes[:-1]
@@ -92,15 +92,16 @@ def _features(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray, rows:
     own = [one + _U(1), two + _U(2), one * _U(3) + mix64(two), of.astype(np.uint64) + _U(4)]
     mask = _U(rows - 1)
     salt = (classes.astype(np.uint64) + _U(1)) * _U(0x9E37_79B9_7F4A_7C15)
-    return tuple(np.stack([(mix64(x) & mask).astype(np.int32) for x in some], axis=1) for some in (own, [x ^ salt for x in own]))
+    within = [own[0] ^ salt, own[1] ^ salt, own[2] ^ salt]
+    return tuple(np.stack([(mix64(x) & mask).astype(np.int32) for x in some], axis=1) for some in (own, within))
 
 
 def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = weights[features[:, 0]]
-    for k in range(1, FEATURES):
-        logits = logits + weights[features[:, k]]
+    logits = weights.take(features[:, 0], axis=0)
+    for k in range(1, features.shape[1]):
+        logits += weights.take(features[:, k], axis=0)
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    logits -= np.log(np.exp(logits) @ _ONES)
     return logits
 
 
@@ -118,14 +119,16 @@ class Trainer:
             f, c = features[a : a + BATCH], outcomes[a : a + BATCH]
             gradient = np.exp(_log_softmax(self.weights, f))
             gradient[np.arange(len(c)), c] -= 1.0
-            flat = f.T.ravel()
-            order = np.argsort(flat, kind="stable")
-            rows = flat[order]
+            # Row and token in one number: a plain sort brings the gradients of a row together.
+            keys = (f.astype(np.int64) * BATCH + np.arange(len(c))[:, None]).ravel()
+            keys.sort()
+            rows = keys // BATCH
             first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            step = np.add.reduceat(gradient.take(keys % BATCH, axis=0), first, axis=0)
             rows, n = rows[first], np.diff(np.append(first, len(rows)))
-            step = np.add.reduceat(gradient[order % len(c)], first, axis=0)
-            self.touched[rows] += n
-            self.weights[rows] -= RATE * step / np.sqrt(1.0 + self.touched[rows]).astype(np.float32)[:, None]
+            seen = self.touched[rows] + n
+            self.touched[rows] = seen
+            self.weights[rows] = self.weights.take(rows, axis=0) - step * (RATE / np.sqrt(1.0 + seen)).astype(np.float32)[:, None]
             self.tokens += len(c)
 
     def messages(self, pid: int) -> pa.RecordBatch:
