@@ -1,3 +1,5 @@
+import numpy as np
+
 from quarrystone.llm import licenses
 
 MIT = licenses.TEMPLATES["MIT"].split()
@@ -34,3 +36,45 @@ def test_copies_on_successive_lines(spark):
 def test_whole_notices_one_after_another(spark):
     text = "\n".join([" ".join(MIT), " ".join(MIT[:60] + MIT[70:]), " ".join(MIT)])
     assert [n for n, _, _ in _found(spark, text)] == ["MIT"] * 3
+
+
+def _brute(text, want):
+    """The best score of a local alignment that begins at each word, by the plain recurrence; a match is 2, all else -1."""
+    best = {}
+    for begin in range(len(text)):
+        top = (0, 0, begin)
+        for skip in range(len(want)):  # the alignment opens with a match at (begin, skip)
+            if text[begin] != want[skip]:
+                continue
+            score = [[None] * (len(want) - skip + 1) for _ in range(len(text) - begin + 1)]
+            score[1][1] = (2, 1)
+            top = max(top, (2, 1, begin + 1))
+            for i in range(1, len(text) - begin + 1):
+                for j in range(1, len(want) - skip + 1):
+                    if (i, j) == (1, 1):
+                        continue
+                    same = text[begin + i - 1] == want[skip + j - 1]
+                    options = [(x[0] + d, x[1] + m) for x, d, m in ((score[i - 1][j - 1], 2 if same else -1, int(same)), (score[i - 1][j], -1, 0), (score[i][j - 1], -1, 0)) if x and x[0] > 0]
+                    score[i][j] = max(options) if options else None
+                    if score[i][j] and same and score[i][j][0] > top[0]:
+                        top = (score[i][j][0], score[i][j][1], begin + i)
+        best[begin] = top
+    return best
+
+
+def test_best_alignments_against_the_plain_recurrence():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        want = rng.integers(0, 6, rng.integers(3, 9))
+        text = rng.integers(0, 6, rng.integers(3, 16))
+        brute = _brute(text.tolist(), want.tolist())
+        found = licenses._best_alignments(text.astype(np.uint64), want.astype(np.uint64))
+        assert max(x[0] for x in found) == max(x[0] for x in brute.values()) if found else not any(x[0] for x in brute.values())
+        for score, matched, begin, end in found:
+            assert 0 < score <= brute[begin][0] and matched <= len(want) and begin < end
+
+
+def test_whole_texts(spark):
+    for name in ("MIT text", "BSD-3-Clause text", "ISC text", "Zlib text", "Unlicense text"):
+        found = _found(spark, "intro words\n" + licenses.TEMPLATES[name] + "\nand more")
+        assert (name, 1.0) in [(n, c) for n, c, _ in found], name
