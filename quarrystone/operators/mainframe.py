@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import classify, contained, dataset_name, extract_all, first_match, keep_first, sorted_distinct, zipped
+from quarrystone.operators.source_chunks import NO_JOBS
 from quarrystone.sources.files import lines
 
 # ---- COBOL -----------------------------------------------------------------
@@ -76,7 +77,7 @@ def sql_tables(sql: DataFrame, owner: str) -> DataFrame:
 
 def jcl(files: DataFrame) -> dict[str, DataFrame]:
     """Steps, program and procedure calls, and datasets; lines ending in a comma go on in the next."""
-    own = lines(files, "filename").select("filename", "line_no", F.rtrim(F.substr("text", F.lit(1), F.lit(71))).alias("t")).where("t like '//%' and t not like '//*%'")
+    own = lines(files, "filename").select("filename", "line_no", F.rtrim(F.substr("text", F.lit(1), F.lit(72))).alias("t")).where("t like '//%' and t not like '//*%'")
     by_file = Window.partitionBy("filename").orderBy("line_no")
     starts = F.when(F.coalesce(F.lag("t").over(by_file), F.lit("")).endswith(","), 0).otherwise(1)
     grouped = own.withColumn("starts", starts).withColumn("stmt", F.sum("starts").over(by_file))
@@ -91,6 +92,7 @@ def jcl(files: DataFrame) -> dict[str, DataFrame]:
     return {
         "program_calls": execs.where("pgm is not null").select("job", "step", F.upper("pgm").alias("program")),
         "proc_calls": execs.where("pgm is null and proc is not null").select("job", "step", F.upper("proc").alias("proc")),
+        "dds": dds.where("dataset is not null or ddname <> ''").select("job", "step", "ddname", "dataset", "disp"),
         "files": dds.where("dataset is not null").select("job", "step", "ddname", "dataset", F.when(output, "OUTPUT").otherwise("INPUT").alias("mode"), F.when(output, "CREATE").otherwise("READ").alias("access"), "disp"),
     }
 
@@ -99,9 +101,10 @@ def jcl(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def schedule(files: DataFrame) -> dict[str, DataFrame]:
-    """Blocks that start at JOB:, with their dependencies."""
+    """Blocks that start at JOB:, with their dependencies; wildcard jobs and words of the print-out are none."""
     blocks = files.select("filename", F.posexplode(F.split("text", r"(?im)^(?:(?!\s*DEP-JOB:).)*?JOB:\s+")).alias("n", "b")).where("n > 0")
-    own = blocks.select("filename", "n", first_match("b", r"^([A-Z0-9@#$]+)").alias("job"), first_match("b", r"SYSTEM:\s*(\S+)").alias("system"), first_match("b", r"SCHID:\s*(\S+)").alias("schid"), *(sorted_distinct(extract_all("b", p)).alias(c) for c, p in (("deps", r"DEP-JOB:\s*([A-Z0-9@#$]+)"), ("datasets", r"DSN:\s*([A-Z0-9@#$.]+)"), ("users", r"USR-REQ:\s*([A-Z0-9@#$]+)")))).where("job is not null")
+    own = blocks.select("filename", "n", F.upper(first_match("b", r"^(\S+)")).alias("job"), first_match("b", r"SYSTEM:\s*(\S+)").alias("system"), first_match("b", r"SCHID:\s*(\S+)").alias("schid"), *(sorted_distinct(extract_all("b", p)).alias(c) for c, p in (("deps", r"DEP-JOB:\s*([A-Z0-9@#$]+)"), ("datasets", r"DSN:\s*([A-Z0-9@#$.]+)"), ("users", r"USR-REQ:\s*([A-Z0-9@#$]+)"))))
+    own = own.where(F.col("job").isNotNull() & ~F.contains("job", F.lit("*")) & ~F.col("job").isin(*NO_JOBS))
     exploded = lambda c, name: own.select(F.explode(c).alias(name), "job").distinct()
     return {
         "jobs": own.groupBy("job").agg(F.min_by("system", F.when(F.col("system").isNotNull(), F.struct("filename", "n"))).alias("system"), F.min_by("schid", F.when(F.col("schid").isNotNull(), F.struct("filename", "n"))).alias("schid")),
@@ -113,8 +116,9 @@ def schedule(files: DataFrame) -> dict[str, DataFrame]:
 
 # ---- REXX ------------------------------------------------------------------
 
-# Command words that are looked for in scripts.
-REXX_UTILITIES = ("ALLOC", "ALLOCATE", "FREE", "LISTDSI", "LISTDS", "LISTCAT", "DELETE", "RENAME", "SUBMIT", "EXECIO", "OUTTRAP", "SYSDSN", "MSG", "ISPEXEC", "ISREDIT", "LMINIT", "LMOPEN", "LMCLOSE", "LMFREE", "TBOPEN", "TBCLOSE", "DISPLAY", "SELECT", "VGET")
+# Host commands and editor commands that are looked for in scripts.
+HOST_COMMANDS = ("ALLOC", "ALLOCATE", "FREE", "DELETE", "LISTDS", "LISTDSI", "LISTCAT", "SUBMIT", "TRANSMIT", "RECEIVE", "SEND", "ATTRIB", "RENAME")
+EDITOR_COMMANDS = ("ISPEXEC", "ISREDIT", "BROWSE", "EDIT", "VIEW", "LMINIT", "LMOPEN", "LMCLOSE", "LMFREE", "LMMOVE", "LMCOPY")
 
 
 def rexx(files: DataFrame) -> dict[str, DataFrame]:
@@ -125,7 +129,7 @@ def rexx(files: DataFrame) -> dict[str, DataFrame]:
         "calls": found(r"(?i)\bCALL\s+['\"]?([A-Za-z@#$][A-Za-z0-9@#$]{0,7})", "program"),
         "submissions": own.where(F.col("text").rlike("(?i)SUBMIT")).select("filename", F.upper(F.coalesce(first_match("text", r"\(([A-Za-z0-9@#$]+)\)"), first_match("text", r"(?i)SUBMIT\s+['\"]?([A-Za-z0-9@#$.]+)"))).alias("job")).where("job is not null").distinct(),
         "datasets": datasets.select("filename", F.upper("dataset").alias("dataset")).distinct(),
-        "utilities": own.select("filename", F.explode(contained("text", REXX_UTILITIES)).alias("utility")).distinct(),
+        "utilities": own.select("filename", F.explode(contained("text", (*HOST_COMMANDS, *EDITOR_COMMANDS))).alias("utility")).distinct(),
         "environment": found(r"(?i)(?:GETENV|VALUE)\(\s*['\"]([A-Za-z0-9_]+)['\"]", "variable"),
     }
 
@@ -134,10 +138,31 @@ def rexx(files: DataFrame) -> dict[str, DataFrame]:
 
 # Parameter names by category, tried in order, then parts of names.
 PARAMETER_CATEGORIES = (
-    *(("REGION", "MEMORY"), ("TIME", "EXECUTION"), ("COND", "CONDITION"), ("CLASS", "SCHEDULING"), ("MSGCLASS", "OUTPUT"), ("MSGLEVEL", "OUTPUT"), ("NOTIFY", "NOTIFICATION"), ("SPACE", "STORAGE")),
-    *(("UNIT", "STORAGE"), ("VOL", "STORAGE"), ("DISP", "DISPOSITION"), ("DCB", "DATASET"), ("LRECL", "DATASET"), ("RECFM", "DATASET"), ("BLKSIZE", "DATASET")),
-    *(("SIZE", "MEMORY"), ("LIMIT", "EXECUTION"), ("MAX", "EXECUTION"), ("PRIORITY", "SCHEDULING"), ("QUEUE", "SCHEDULING"), ("DSN", "DATASET"), ("DATASET", "DATASET"), ("FILE", "DATASET")),
+    ("REGION", "MEMORY"),
+    ("TIME", "EXECUTION"),
+    ("COND", "CONDITION"),
+    ("CLASS", "SCHEDULING"),
+    ("MSGCLASS", "OUTPUT"),
+    ("MSGLEVEL", "OUTPUT"),
+    ("NOTIFY", "NOTIFICATION"),
+    ("SPACE", "STORAGE"),
+    ("UNIT", "STORAGE"),
+    ("VOL", "STORAGE"),
+    ("DISP", "DISPOSITION"),
+    ("DCB", "DATASET"),
+    ("LRECL", "DATASET"),
+    ("RECFM", "DATASET"),
+    ("BLKSIZE", "DATASET"),
+    ("SIZE", "MEMORY"),
+    ("LIMIT", "EXECUTION"),
+    ("MAX", "EXECUTION"),
+    ("PRIORITY", "SCHEDULING"),
+    ("QUEUE", "SCHEDULING"),
+    ("DSN", "DATASET"),
+    ("DATASET", "DATASET"),
+    ("FILE", "DATASET"),
 )
+# Utilities, kinds and dispositions of datasets, verbs of the access method services.
 UTILITIES = ("SORT", "IDCAMS", "IEFBR14", "IEBGENER", "IEBCOPY", "IEBUPDTE", "IEHLIST", "IEHPROGM", "ICETOOL", "DFSORT")
 DATASET_KINDS = (("VSAM", "VSAM"), ("GDG", "GDG"), ("PDS", "PDS"), ("SEQ", "SEQUENTIAL"), ("PS", "SEQUENTIAL"))
 DISPOSITIONS = (("SHR", "SHR"), ("DISP=OLD", "OLD"), ("DISP=NEW", "NEW"), ("DISP=MOD", "MOD"))
@@ -170,13 +195,27 @@ def parmlib(files: DataFrame) -> dict[str, DataFrame]:
 # ---- Assembler -------------------------------------------------------------
 
 
+def is_free_format(text: Column) -> Column:
+    """More than five lines go past column 72, and fewer than half as many as that carry a continuation mark there."""
+    long = F.size(F.filter(F.split(text, "\n"), lambda x: F.char_length(x) > 72))
+    marked = F.size(F.filter(F.split(text, "\n"), lambda x: F.btrim(F.substr(x, F.lit(72), F.lit(1))) != ""))
+    return (long > 5) & (marked < F.floor(long / 2))
+
+
+def module_name(text: Column) -> Column:
+    """The title up to a dash, else the label of START, else that of the first CSECT."""
+    title = F.btrim(F.regexp_replace(first_match(text, r"(?i)TITLE\s+['\"]([^'\"]+)['\"]"), r" - .*$", ""))
+    label = lambda op: F.upper(first_match(text, rf"(?im)^\s*([A-Z0-9_]{{1,8}})\s+{op}\b"))
+    return F.coalesce(title, label("START"), label("CSECT"))
+
+
 def assembler(files: DataFrame) -> dict[str, DataFrame]:
     own = lines(files, "filename").where("text not like '*%'")
     found = lambda pattern, name: own.select("filename", F.explode(extract_all("text", pattern)).alias(name)).withColumn(name, F.upper(name)).distinct()
     externals = own.select("filename", F.explode(zipped("text", r"\s(EXTRN|WXTRN)\s+([A-Z0-9@#$,]+)", "kind", "names")).alias("x")).select("filename", F.explode(F.split("x.names", ",")).alias("name"), F.col("x.kind").alias("kind"))
     io = own.select("filename", F.explode(zipped("text", r"\s(OPEN|CLOSE|GET|PUT|READ|WRITE)\s+\(?([A-Z0-9@#$]+)", "op", "file")).alias("x"))
     return {
-        "modules": keep_first(own.select("filename", "line_no", F.explode(extract_all("text", r"^([A-Z0-9@#$]+)\s+(?:CSECT|START)")).alias("module")), ["filename"], ["line_no"]).drop("line_no"),
+        "modules": files.select("filename", module_name(F.col("text")).alias("module")).where("module is not null"),
         "copybooks": found(r"\sCOPY\s+([A-Z0-9@#$]+)", "copybook"),
         "program_calls": found(r"=V\(([A-Z0-9@#$]+)\)", "target"),
         "externals": externals.distinct(),
@@ -187,6 +226,27 @@ def assembler(files: DataFrame) -> dict[str, DataFrame]:
 # ---- PL/I ------------------------------------------------------------------
 
 
+# First words of statements by kind.
+PLI_KINDS = (
+    ("DECLARE", ("DCL", "DECLARE")),
+    ("CALL", ("CALL", "FETCH")),
+    ("LOGIC", ("IF", "THEN", "ELSE", "SELECT", "WHEN", "OTHERWISE", "END")),
+    ("BLOCK_START", ("DO", "BEGIN", "PROC", "PROCEDURE", "PACKAGE")),
+    ("EXEC", ("EXEC",)),
+    ("ON_UNIT", ("ON",)),
+    ("SIGNAL", ("SIGNAL", "REVERT")),
+)
+
+
+def pli_kind(statement: Column) -> Column:
+    """The kind of a statement by its first word; a colon makes it a label, unless it runs or tests something."""
+    first = F.upper(F.get(F.split(statement, r"\s+"), F.lit(0)))
+    out = F.when(F.contains(statement, F.lit(":")) & ~first.isin("EXEC", "WHEN"), "LABEL")
+    for kind, words in PLI_KINDS:
+        out = out.when(first.isin(*words), kind)
+    return out.when(F.startswith(statement, F.lit("%")), "PREPROCESSOR").otherwise("STATEMENT")
+
+
 def pli(files: DataFrame) -> dict[str, DataFrame]:
     """Statements end at a semicolon outside quotes; comments go first."""
     plain = F.regexp_replace("text", r"(?s)/\*.*?\*/", " ")
@@ -195,11 +255,16 @@ def pli(files: DataFrame) -> dict[str, DataFrame]:
     calls = stmts.select("filename", "seq", F.explode(zipped("s", r"(?i)^(?:\w+:\s*)?(CALL|FETCH)\s+([A-Z0-9_@#$]+)", "kind", "target")).alias("c"))
     sql = stmts.where(F.col("s").rlike("(?i)^EXEC SQL")).select("filename", F.regexp_replace("s", "(?i)^EXEC SQL ", "").alias("statement"))
     io = stmts.select("filename", F.explode(zipped("s", r"(?i)\b(OPEN|CLOSE|READ|WRITE|REWRITE|DELETE) FILE\s*\(([A-Z0-9_@#$]+)\)", "op", "file")).alias("x"))
+    described = stmts.where(F.col("s").rlike(r"(?i)^(DCL|DECLARE)\s.*\bFILE\b")).select("filename", first_match("s", r"(?i)^(?:DCL|DECLARE)\s+([\w$@#]+)").alias("logical_name"), first_match("s", r"(?i)TITLE\s*\(\s*'([^']*)'").alias("title"))
     procs = stmts.select("filename", "seq", first_match("s", r"(?i)^([A-Z0-9_@#$]+)\s*:\s*PROC").alias("program"), F.col("s").rlike(r"(?i)OPTIONS\s*\(\s*MAIN").alias("main")).where("program is not null")
     return {
         "programs": keep_first(procs, ["filename"], [F.desc("main"), F.col("seq")]).select("filename", F.upper("program").alias("program")),
-        "includes": found(r"(?i)%INCLUDE\s+(?:[A-Z0-9_@#$]+\()?([A-Z0-9_@#$]+)\)?", "copybook"),
-        "program_calls": calls.select("filename", F.upper("c.target").alias("target"), F.when(F.upper("c.kind") == "FETCH", "dynamic").otherwise("static").alias("call_type")).distinct(),
+        "statements": stmts.select("filename", "seq", pli_kind(F.col("s")).alias("kind")),
+        "cics": found(r"(?i)EXEC CICS (\w+)", "command"),
+        "sql_includes": found(r"(?i)^EXEC SQL INCLUDE ([\w$@#]+)", "member").where("not contains(member, 'SQLCA')"),
+        "file_definitions": described.select("filename", F.upper("logical_name").alias("logical_name"), F.upper(F.coalesce(F.regexp_replace("title", "(?i)^DD:", ""), F.col("logical_name"))).alias("dd_name")).distinct(),
+        "includes": found(r"(?i)(?:%|\+\+) ?INCLUDE\s+(?:[A-Z0-9_@#$]+\()?([A-Z0-9_@#$]+)\)?", "copybook"),
+        "program_calls": calls.select("filename", F.upper("c.target").alias("target"), F.when(F.upper("c.target") == "PLITDLI", "ims").when(F.upper("c.kind") == "FETCH", "dynamic").otherwise("static").alias("call_type")).distinct(),
         "sql_tables": sql_tables(sql, "filename"),
         "file_io": io.select("filename", F.upper("x.file").alias("file"), F.upper("x.op").alias("operation")).distinct(),
     }

@@ -25,22 +25,32 @@ def bullets_under_heading(spark: SparkSession, d: str) -> DataFrame:
     return estate.bullets_under(_reports(spark, d), "the")
 
 
-@query("layer_scope", "SELECT p_brand AS file_type, count(*) AS files, 'other' AS layer FROM part GROUP BY p_brand")
+_SUMMARIES = """s AS (SELECT CASE p_partkey % 6 WHEN 0 THEN 'COBOL' WHEN 1 THEN 'JCL' WHEN 2 THEN 'PARMLIB' WHEN 3 THEN 'DCLGEN' WHEN 4 THEN 'REXX' ELSE 'TEXT' END AS kind,
+    CASE p_partkey % 5 WHEN 0 THEN 'uses vsam and CICS' WHEN 1 THEN 'a DFSORT run' WHEN 2 THEN 'DL/I with MQ' WHEN 3 THEN 'parses XML' END AS analysis FROM part)"""
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files of six types with five kinds of analysis."""
+    nth = lambda n, *names: F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % n).cast("int"))
+    return table(spark, d, "part").select(F.col("p_name").alias("filename"), nth(6, "COBOL", "JCL", "PARMLIB", "DCLGEN", "REXX", "TEXT").alias("file_type"), nth(5, "uses vsam and CICS", "a DFSORT run", "DL/I with MQ", "parses XML").alias("analysis"))
+
+
+@query("layer_scope", f"WITH {_SUMMARIES} SELECT kind AS file_type, count(*) AS files, CASE kind WHEN 'COBOL' THEN 'code' WHEN 'REXX' THEN 'code' WHEN 'JCL' THEN 'jcl' WHEN 'PARMLIB' THEN 'config' WHEN 'DCLGEN' THEN 'data' ELSE 'other' END AS layer FROM s GROUP BY kind")
 def layer_scope(spark: SparkSession, d: str) -> DataFrame:
-    return estate.scope(table(spark, d, "part").select(F.col("p_brand").alias("file_type")))
+    return estate.scope(_summaries(spark, d))
 
 
 @query(
     "system_landscape",
-    """WITH c AS (SELECT count(*) FILTER (contains(upper(p_type), 'STEEL')) AS n, count(*) AS a FROM part)
-    SELECT 'Operating System' AS layer, 'Cross-Platform (COBOL/PLI Runtime)' AS components UNION ALL SELECT 'Programming Languages', 'COBOL'
-    UNION ALL SELECT 'Data Persistence', CASE WHEN n > 0 THEN 'VSAM (KSDS/ESDS, ' || n || ' modules)' ELSE 'Flat Files / Sequential' END FROM c
-    UNION ALL SELECT 'Execution Environment', 'Standard z/OS Environment' UNION ALL SELECT 'Integration & Middleware', 'File-Based Integration'""",
+    f"""WITH {_SUMMARIES}, c AS (SELECT *, kind IN ('COBOL', 'REXX') AS code FROM s),
+    n AS (SELECT count(*) FILTER (code AND contains(analysis, 'vsam')) AS vsam, count(*) FILTER (code AND contains(analysis, 'DL/I')) AS ims, count(*) FILTER (kind = 'JCL') AS jobs, count(*) FILTER (kind = 'REXX') AS scripts FROM c)
+    SELECT 'Operating System' AS layer, 'IBM z/OS (Confirmed via Utility Control Cards)' AS components UNION ALL SELECT 'Programming Languages', 'COBOL, JCL, REXX'
+    UNION ALL SELECT 'Data Persistence', 'IBM DB2 (Relational), VSAM (KSDS/ESDS, ' || vsam || ' modules)' FROM n
+    UNION ALL SELECT 'Execution Environment', 'CICS Transaction Server (' || vsam || ' modules), IMS Transaction Manager (' || ims || ' modules), Batch Processing (JES, ' || jobs || ' jobs), TSO/E Interactive (' || scripts || ' scripts)' FROM n
+    UNION ALL SELECT 'Integration & Middleware', 'IBM MQ, XML Parsing'""",
 )
 def system_landscape(spark: SparkSession, d: str) -> DataFrame:
-    """Steel parts stand in for modules that use indexed files."""
-    shown = F.when(F.contains(F.upper("p_type"), F.lit("STEEL")), "INDEXED").otherwise("")
-    return estate.landscape(table(spark, d, "part").select(F.col("p_name").alias("filename"), F.lit("COBOL").alias("file_type"), shown.alias("analysis")))
+    return estate.landscape(_summaries(spark, d))
 
 
 @query("coverage_one_row", "SELECT count(*) AS expected, count(l.doc_id) AS covered, round(100.0 * count(l.doc_id) / count(*), 1) AS percent FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text as T
-from quarrystone.operators import statements
+from quarrystone.operators import relational, statements
 from quarrystone.plans.catalogue import query, table
 
 
@@ -18,16 +18,14 @@ def parent_by_level(spark: SparkSession, d: str) -> DataFrame:
 
 @query("status_summary", "SELECT d.source, count(*) AS n_files, count(l.doc_id) AS n_labelled, count(*) FILTER (WHERE l.quality = 1) AS n_good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source")
 def status_summary(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("has"))
-    joined = docs.join(labels, "doc_id", "left")
-    return joined.groupBy("source").agg(F.count("*").alias("n_files"), F.count("has").alias("n_labelled"), F.count_if(F.col("quality") == 1).alias("n_good"))
+    return relational.status_by(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "source", F.col("quality") == 1)
 
 
 @query("union_tagged", "SELECT o_orderkey AS key, 'order' AS kind FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT DISTINCT l_orderkey, 'line' FROM lineitem WHERE l_returnflag = 'R'")
 def union_tagged(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"), F.lit("order").alias("kind"))
-    items = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")).distinct().withColumn("kind", F.lit("line"))
-    return orders.unionByName(items)
+    orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    items = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")).distinct()
+    return relational.tagged("kind", order=orders, line=items)
 
 
 @query("distinct_pairs", "SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier FROM lineitem")
@@ -35,15 +33,15 @@ def distinct_pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct()
 
 
-@query("missing_members", "SELECT n_nationkey, n_name FROM nation n WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey)")
+@query("missing_members", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def missing_members(spark: SparkSession, d: str) -> DataFrame:
-    nations = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return nations.join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti")
+    """Customers without a large order: key and name."""
+    return relational.missing(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey")
 
 
 @query("role_counts", "SELECT conv_id, role, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id, role")
 def role_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn"))
+    return relational.totals_by(table(spark, d, "conversations"), ["conv_id", "role"], last_turn=F.max("turn")).withColumnRenamed("n", "n_turns")
 
 
 @query("grep_contains_capped", "WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents WHERE contains(lower(text), 'license')) SELECT doc_id, greatest(total - 100, 0)::BIGINT AS remainder FROM h WHERE n <= 100")
@@ -61,25 +59,32 @@ def kv_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("array_sorted_distinct", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{12,}', 0))), ' ') AS words FROM documents")
 def array_sorted_distinct(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.array_join(T.sorted_distinct(T.extract_all(F.lower("text"), "[a-z]{12,}", 0)), " ").alias("words"))
+    return table(spark, d, "documents").select("doc_id", relational.distinct_words(F.lower("text"), "[a-z]{12,}").alias("words"))
 
 
 @query("base64_id", "SELECT page_id, rtrim(base64(encode(url)), '=') AS id FROM pages")
 def base64_id(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.rtrim(F.regexp_replace(F.base64(F.encode("url", "UTF-8")), "\r?\n", ""), F.lit("=")).alias("id"))
+    return table(spark, d, "pages").select("page_id", relational.encoded_id("url").alias("id"))
 
 
 @query("keyword_vote", "SELECT source, CASE WHEN avg(contains(lower(text), 'token')::INT) > avg(contains(lower(text), 'license')::INT) THEN 'token' WHEN avg(contains(lower(text), 'token')::INT) < avg(contains(lower(text), 'license')::INT) THEN 'license' ELSE 'even' END AS vote FROM documents GROUP BY source")
 def keyword_vote(spark: SparkSession, d: str) -> DataFrame:
-    has = lambda w: F.count_if(F.contains(F.lower("text"), F.lit(w)))
-    votes = table(spark, d, "documents").groupBy("source").agg(has("token").alias("a"), has("license").alias("b"))
-    return votes.select("source", F.when(F.col("a") > F.col("b"), "token").when(F.col("a") < F.col("b"), "license").otherwise("even").alias("vote"))
+    return relational.votes(table(spark, d, "documents"), "source", "text", "token", "license")
 
 
 @query("volume_class", "SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'HIGH' WHEN o_totalprice >= 100000 THEN 'MEDIUM' ELSE 'LOW' END AS volume, CASE WHEN o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '2-%' THEN 'DAILY' WHEN o_orderpriority LIKE '3-%' THEN 'WEEKLY' ELSE 'ON-DEMAND' END AS cadence FROM orders")
 def volume_class(spark: SparkSession, d: str) -> DataFrame:
-    price, priority = F.col("o_totalprice"), F.substr("o_orderpriority", F.lit(1), F.lit(2))
-    volume = F.when(price >= 300000, "HIGH").when(price >= 100000, "MEDIUM").otherwise("LOW")
-    cadence = F.when(priority.isin("1-", "2-"), "DAILY").when(priority == "3-", "WEEKLY").otherwise("ON-DEMAND")
+    volume = relational.banded("o_totalprice", (300000, "HIGH"), (100000, "MEDIUM"), default="LOW")
+    cadence = relational.labelled(F.left("o_orderpriority", F.lit(2)), {"1-": "DAILY", "2-": "DAILY", "3-": "WEEKLY"}, "ON-DEMAND")
     return table(spark, d, "orders").select("o_orderkey", volume.alias("volume"), cadence.alias("cadence"))
+
+
+@query("common_members", "SELECT s_nationkey AS key FROM supplier INTERSECT SELECT c_nationkey FROM customer")
+def common_members(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda t, c: table(spark, d, t).select(F.col(c).alias("key"))
+    return relational.common(named("supplier", "s_nationkey"), named("customer", "c_nationkey"), "key")
+
+
+@query("first_definitions", "SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def first_definitions(spark: SparkSession, d: str) -> DataFrame:
+    return relational.first_definitions(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,11 @@ from quarrystone.functions.text import keep_last
 LIMITS_MB = {"cobol": 10, "copybook": 5, "jcl": 2, "rexx": 5, "catproc": 2, "proc": 2, "pli": 10}
 DEFAULT_LIMIT_MB = 5
 
-# Words that make a decoded text plausible.
-COBOL_WORDS = ("IDENTIFICATION", "DIVISION", "PROGRAM-ID", "PROCEDURE", "DATA", "WORKING-STORAGE", "SECTION", "MOVE", "PERFORM", "PIC")
+# Words of which two make a decoded text plausible, by file type.
+COBOL_WORDS = ("DIVISION", "SECTION", "PROCEDURE", "WORKING-STORAGE", "PERFORM", "MOVE", "IF", "END-IF", "CALL", "COPY")
+COPYBOOK_WORDS = ("PIC", "PICTURE", "OCCURS", "REDEFINES", "VALUE", "COMP", "BINARY", "FILLER", "COPY")
+# One of these operations makes an assembler text plausible.
+ASSEMBLER_WORDS = r"\b(?:CSECT|DSECT|MACRO|USING|LR|L|MVC|END)\b"
 
 
 def find_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -67,7 +71,7 @@ def _page(name: str) -> str:
 
 
 #: EBCDIC code pages that are tried, in this order.
-CODE_PAGES = ("cp037", "cp1047", "cp500", "cp875")
+CODE_PAGES = ("cp1047", "cp037", "cp500", "cp875")
 
 
 def ebcdic(content: Column, page: str = "cp037") -> Column:
@@ -91,6 +95,50 @@ def decoded(files: DataFrame, words: Sequence[str] = COBOL_WORDS, pages: Sequenc
     return out.withColumn("text", F.regexp_replace(text, "\r\n?", "\n"))
 
 
+def _always(text: Column) -> Column:
+    return F.lit(True)
+
+
+def decoded_as(files: DataFrame, kind: str, pages: Sequence[str] = CODE_PAGES) -> DataFrame:
+    """Adds ``encoding`` and ``text`` by the rule of a file type.
+
+    UTF-8 or an EBCDIC page is taken where the text is plausible for the type: two
+    words for COBOL and copybooks, an operation for assembler, PROC or DCL in PL/I pages;
+    scripts and parameter members are taken as they can be decoded first, schedules
+    know one page, and table declarations try the pages before UTF-8.  Else UTF-8 with
+    replacements, for PL/I Latin-1.
+    """
+    has = lambda *words: lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))
+    sql = lambda t: F.contains(F.upper(t), F.lit("EXEC SQL"))
+    in_utf8, in_page = {
+        "cobol": (looks_like, looks_like),
+        "copybook": (lambda t: looks_like(t, COPYBOOK_WORDS), lambda t: looks_like(t, COPYBOOK_WORDS)),
+        "assembly": (lambda t: F.upper(t).rlike(ASSEMBLER_WORDS), lambda t: F.upper(t).rlike(ASSEMBLER_WORDS)),
+        "pli": (_always, has("PROC", "DCL")),
+        "rexx": (_always, _always),
+        "parmlib": (_always, _always),
+        "ca7": (_always, _always),
+        "dclgen": (sql, sql),
+    }[kind]
+    own = {"ca7": pages[:1], "dclgen": pages[:3]}.get(kind, pages)
+    raw = F.col("content").cast("string")
+    utf8 = [("utf-8", F.try_validate_utf8(raw), in_utf8)]
+    by_page = [(page, ebcdic(F.col("content"), page), in_page) for page in own]
+    rest = ("latin-1", F.decode("content", "ISO-8859-1")) if kind == "pli" else ("utf-8-replace", F.make_valid_utf8(raw))
+    encoding, text = F, F
+    for name, t, fits in by_page + utf8 if kind == "dclgen" else utf8 + by_page:
+        taken = t.isNotNull() & fits(t)
+        encoding, text = encoding.when(taken, F.lit(name)), text.when(taken, t)
+    return files.withColumn("encoding", encoding.otherwise(F.lit(rest[0]))).withColumn("text", F.regexp_replace(text.otherwise(rest[1]), "\r\n?", "\n"))
+
+
+def rejects(files: DataFrame, *parsed: DataFrame) -> DataFrame:
+    """Files without a row in any of the parsed tables, with the reason: (filename, reason)."""
+    seen = reduce(DataFrame.unionByName, [p.select("filename") for p in parsed]).distinct()
+    left = files.join(seen, "filename", "left_anti")
+    return left.select("filename", F.when(F.col("text").isNull(), "not decoded").when(F.btrim("text", F.lit(" \t\n")) == "", "empty file").otherwise("nothing recognised").alias("reason"))
+
+
 def lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """One row a line with its number from 1."""
     return files.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line")).select(*keys, (F.col("pos") + 1).alias("line_no"), F.col("line").alias("text"))

@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF, assert_same
 
-from quarrystone.plans import catalogue, estate_tables, more_tables, tables  # noqa: F401
+from quarrystone.plans import catalogue, estate_tables, more_tables, source_tables, tables  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
