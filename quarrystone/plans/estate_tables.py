@@ -81,9 +81,9 @@ def downstream_feeds(spark: SparkSession, d: str) -> DataFrame:
     return estate.feeds(joined.select(F.col("p_name").alias("dataset"), F.col("l_suppkey").alias("job"), F.col("l_returnflag").alias("usage")), "R")
 
 
-@query("functional_groups", "SELECT CASE WHEN contains(upper(p_name || ' ' || p_type), 'STEEL') THEN 'METAL' WHEN contains(upper(p_name || ' ' || p_type), 'BRASS') THEN 'ALLOY' ELSE 'OTHER' END AS category, count(*) AS programs FROM part GROUP BY 1")
+@query("functional_groups", "SELECT CASE WHEN regexp_matches(upper(p_name || ' ' || p_type), 'PROMO|BOLT') THEN 'METAL' WHEN contains(upper(p_name || ' ' || p_type), 'SMALL') THEN 'ALLOY' ELSE 'OTHER' END AS category, count(*) AS programs FROM part GROUP BY 1")
 def functional_groups(spark: SparkSession, d: str) -> DataFrame:
-    return estate.functional_groups(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("description")), {"METAL": ("STEEL",), "ALLOY": ("BRASS",)})
+    return estate.functional_groups(table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("description")), {"METAL": ("PROMO", "BOLT"), "ALLOY": ("SMALL",)})
 
 
 @query("project_progress", "SELECT o_custkey AS project_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS percent FROM orders GROUP BY o_custkey")

@@ -194,9 +194,9 @@ def keyword_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", relational.words_in("text", KEYWORDS).alias("words"))
 
 
-@query("classify_ordered", "SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') THEN 'METAL' WHEN contains(p_type, 'BRASS') THEN 'METAL' WHEN contains(p_type, 'PLATED') THEN 'COATED' ELSE 'OTHER' END AS category FROM part")
+@query("classify_ordered", "SELECT p_partkey, CASE WHEN contains(p_type, 'PROMO') THEN 'METAL' WHEN contains(p_type, 'ECONOMY') THEN 'METAL' WHEN contains(p_type, 'SMALL') THEN 'COATED' ELSE 'OTHER' END AS category FROM part")
 def classify_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", T.classify("p_type", (("STEEL", "METAL"), ("BRASS", "METAL"), ("PLATED", "COATED")), "OTHER").alias("category"))
+    return table(spark, d, "part").select("p_partkey", T.classify("p_type", (("PROMO", "METAL"), ("ECONOMY", "METAL"), ("SMALL", "COATED")), "OTHER").alias("category"))
 
 
 @query("json_props", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
