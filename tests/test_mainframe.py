@@ -57,7 +57,7 @@ def test_jcl(spark):
 
 def test_schedule(spark):
     out = mainframe.schedule(_files(spark, SCHEDULE))
-    assert _set(out["jobs"], "job", "system", "schid") == {("PAYJOB", "FIN", "001"), ("FIN", None, None)}
+    assert _set(out["jobs"], "job", "system", "schid") == {("PAYJOB", "FIN", "001")}
     assert _set(out["job_flow"], "before", "job") == {("PREJOB", "PAYJOB")}
     assert _set(out["dataset_triggers"], "dataset", "job") == {("PROD.CUST.MASTER", "PAYJOB")}
     assert _set(out["user_requirements"], "requirement", "job") == {("CHECKIT", "PAYJOB")}
@@ -118,7 +118,7 @@ def test_decoding_and_limits(spark):
     rows = [("p", "cobol", "a", COBOL.encode()), ("p", "cobol", "b", COBOL.encode("cp037")), ("p", "cobol", "c", b""), ("p", "jcl", "d", b"\xff\xfe junk")]
     src = spark.createDataFrame(rows, "project_id string, file_type string, filename string, content binary")
     out = {r["filename"]: r for r in files.decoded(src).collect()}
-    assert out["a"]["encoding"] == "utf-8" and out["b"]["encoding"] == "cp037" and "PROGRAM-ID. PAYMAIN" in out["b"]["text"]
+    assert out["a"]["encoding"] == "utf-8" and out["b"]["encoding"] == "cp1047" and "PROGRAM-ID. PAYMAIN" in out["b"]["text"]
     assert {tuple(r) for r in files.oversized(src).select("filename", "reason").collect()} == {("c", "empty file")}
 
 
