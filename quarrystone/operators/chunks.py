@@ -1,7 +1,10 @@
-"""Chunking of texts: by boundary lines, by least lines, and by sliding windows."""
+"""Chunking of texts: by boundary lines, by least lines, by sliding windows, and by the coarsest separators that fit."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +34,61 @@ def sliding(files: DataFrame, *keys: str, text: str = "text", size: int = 1000,
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - overlap - 1, F.lit(0)), F.lit(step))
     return files.select(*keys, F.posexplode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.substr(F.col(text), s + 1, F.lit(size)).alias("chunk")))).alias("n", "c")).select(*keys, "n", "c.start", "c.chunk")
+
+
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def _pieces(text: str, separator: str) -> list[str]:
+    """The text cut before each separator; single characters for the empty one."""
+    if not separator:
+        return list(text)
+    first, *rest = text.split(separator)
+    return [p for p in (first, *(separator + r for r in rest)) if p]
+
+
+def _packed(pieces: Sequence[str], size: int, overlap: int) -> Iterator[str]:
+    """Runs of pieces up to a size; a run starts with the last pieces of the one before, as far as the overlap and the size allow."""
+    first, length = 0, 0
+    for at, piece in enumerate(pieces):
+        if length + len(piece) > size:
+            if at > first:
+                yield "".join(pieces[first:at])
+            while length > overlap or (length and length + len(piece) > size):
+                length -= len(pieces[first])
+                first += 1
+        length += len(piece)
+    if first < len(pieces):
+        yield "".join(pieces[first:])
+
+
+def _split(text: str, separators: Sequence[str], size: int, overlap: int) -> Iterator[str]:
+    at = next(i for i, s in enumerate(separators) if s in text)
+    finer, short = separators[at + 1 :], []
+    for piece in _pieces(text, separators[at]):
+        if len(piece) < size:
+            short.append(piece)
+            continue
+        yield from _packed(short, size, overlap)
+        short = []
+        if finer:
+            yield from _split(piece, finer, size, overlap)
+        else:
+            yield piece
+    yield from _packed(short, size, overlap)
+
+
+def recursive(files: DataFrame, *keys: str, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Chunks of at most ``size`` characters cut at the coarsest separator that gives such: (keys, n, chunk).
+
+    Paragraphs first, then lines, words and characters. Chunks are trimmed; null, empty
+    and blank texts have none.
+    """
+    if size < 1 or not 0 <= overlap < size:
+        raise ValueError("the overlap must be less than the size")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [c for c in (r.strip() for r in _split(t, SEPARATORS, size, overlap)) if c] if t else [])
+
+    return files.select(*keys, F.posexplode(cut(F.col(text))).alias("n", "chunk"))

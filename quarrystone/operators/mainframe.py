@@ -209,6 +209,16 @@ def module_name(text: Column) -> Column:
     return F.coalesce(title, label("START"), label("CSECT"))
 
 
+# Fixed value: what is one token of an operand.
+OPERAND_TOKEN = r"(?i)[A-Z0-9_]+|=[A-Z]?'[^']*?'|=[A-Z]\([^\)]+\)'[^']*?'|[\(\)\+\-\*/=']|[0-9A-F]+"
+
+
+def operands(text: Column | str) -> Column:
+    """The operands of a statement, cut at commas, blank ones left out, each with its tokens; an empty array for null."""
+    parts = F.transform(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), ","), lambda p: F.btrim(p, F.lit(" \t\r\n")))
+    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(p.alias("raw"), extract_all(p, OPERAND_TOKEN, 0).alias("tokens")))
+
+
 def assembler(files: DataFrame) -> dict[str, DataFrame]:
     own = lines(files, "filename").where("text not like '*%'")
     found = lambda pattern, name: own.select("filename", F.explode(extract_all("text", pattern)).alias(name)).withColumn(name, F.upper(name)).distinct()
