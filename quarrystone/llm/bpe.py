@@ -67,22 +67,23 @@ class Merges:
             self.rank[left + right], self.halves[left + right] = n, (left, right)
         self.lookahead = sufficient_lookahead(self)
         self.pair_entries = pair_entries
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.many = max(self.bytes_of) + 1
+        self.pairs: dict[int, bool] = {}
         self._whole: dict[bytes, bool] = {}
         self.usable = {token: i for token, i in self.ids.items() if self.whole(token)}
         self.longest = max(map(len, self.usable))
-        self.by_tail: dict[bytes, int] = {}  # longest token with these last three bytes
+        by_tail: dict[bytes, set[int]] = {}
         for token in self.usable:
             if len(token) > 2:
-                self.by_tail[token[-3:]] = max(len(token), self.by_tail.get(token[-3:], 0))
-
-    def neighbours(self, left: bytes, right: bytes) -> bool:
-        """Whether two canonical tokens stay apart when they meet."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= self.pair_entries:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self._apart(left, right)
+                by_tail.setdefault(token[-3:], set()).add(len(token))
+        #: The lengths of the tokens that end in three bytes, the longest first.
+        self.lengths = {tail: tuple(sorted(found, reverse=True)) + ((2, 1) if tail[1:] in self.usable else (1,)) for tail, found in by_tail.items()}
+
+    def neighbours(self, left: int, right: int) -> bool:
+        """Whether two canonical tokens stay apart when they meet; remembered in ``pairs`` under left * many + right."""
+        if len(self.pairs) >= self.pair_entries:
+            self.pairs.clear()
+        known = self.pairs[left * self.many + right] = self._apart(self.bytes_of[left], self.bytes_of[right])
         return known
 
     def _apart(self, left: bytes, right: bytes) -> bool:
@@ -154,54 +155,65 @@ class ByteTransducer:
 
     def reset(self) -> None:
         self.tail = b""  # the bytes that a next token may still cover
-        self.at = self.base = 0
-        self.back: dict[int, tuple[int, bytes]] = {}  # end -> (start, token) of the last token
+        self.back = [-1]  # the last token of what ends 0, 1, ... bytes after what was emitted; none at the start of the pre-token
 
-    def feed(self, data: bytes) -> Iterator[bytes]:
-        m, back, usable, apart, by_tail = self.m, self.back, self.m.usable, self.m.neighbours, self.m.by_tail
-        reach = m.lookahead
+    def read(self, data: bytes) -> list[int]:
+        """The ids of the tokens that are stable now."""
+        m, back, usable, apart, pairs, lengths, many = self.m, self.back, self.m.usable, self.m.neighbours, self.m.pairs, self.m.lengths, self.m.many
         data, read = self.tail + data, len(self.tail)
-        shift = self.at - read  # where data starts in the pre-token
+        most, out = 2 * m.lookahead, []
         for stop in range(read + 1, len(data) + 1):
-            at = stop + shift
-            for start in range(max(0, stop - by_tail.get(data[stop - 3 : stop], 2), self.base - shift), stop):
-                token = data[start:stop]
-                if token in usable and (start + shift == 0 or apart(back[start + shift][1], token)):
-                    back[at] = (start + shift, token)
-                    break
+            held = len(back)
+            for n in lengths.get(data[stop - 3 : stop], (2, 1)):
+                if n > held:
+                    continue
+                token = usable.get(data[stop - n : stop])
+                if token is None:
+                    continue
+                left = back[-n]
+                if left >= 0:
+                    stays = pairs.get(left * many + token)
+                    if stays is None:
+                        stays = apart(left, token)
+                    if not stays:
+                        continue
+                back.append(token)
+                break
             else:
                 raise ValueError("the vocabulary lacks a single byte")
-            if at - self.base >= 2 * reach:
-                self.at = at
-                yield from self._emit(self._stable(at - reach))
-                back = self.back
-        self.at = len(data) + shift
+            if held >= most:
+                out += self._last(self._stable(held - m.lookahead))
         self.tail = data[-m.longest :]
+        return out
 
     def _stable(self, limit: int) -> int:
-        # The last end of a token that isn't beyond the limit.
-        end = self.at
+        # The last end of a token that isn't beyond the limit, counted from what was emitted.
+        end = len(self.back) - 1
         while end > limit:
-            end = self.back[end][0]
-        return max(end, self.base)
-
-    def _emit(self, end: int) -> Iterator[bytes]:
-        out = []
-        at = end
-        while at > self.base:
-            start, token = self.back[at]
-            out.append(token)
-            at = start
-        if end > self.base:
-            last = self.back[end]
-            self.back = {k: v for k, v in self.back.items() if k > end}
-            self.back[end] = last  # still the left neighbour of what follows
-            self.base = end
-        yield from reversed(out)
+            end -= len(self.m.bytes_of[self.back[end]])
+        return max(end, 0)
+
+    def _last(self, end: int) -> list[int]:
+        # The tokens up to an end; the last of them is still the left neighbour of what follows.
+        out, at = [], end
+        while at > 0:
+            out.append(self.back[at])
+            at -= len(self.m.bytes_of[out[-1]])
+        del self.back[:end]
+        out.reverse()
+        return out
+
+    def rest(self) -> list[int]:
+        """The ids of the rest of the pre-token."""
+        out = self._last(len(self.back) - 1)
+        self.reset()
+        return out
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        return map(self.m.bytes_of.__getitem__, self.read(data))
 
     def finish(self) -> Iterator[bytes]:
-        yield from self._emit(self.at)
-        self.reset()
+        return map(self.m.bytes_of.__getitem__, self.rest())
 
 
 class Encoder:
@@ -215,8 +227,7 @@ class Encoder:
         self.bytes = ByteTransducer(merges)
 
     def one(self, pre_token: str) -> object:
-        ids = self.m.ids
-        found = self.form(tuple([*map(ids.__getitem__, self.bytes.feed(pre_token.encode())), *map(ids.__getitem__, self.bytes.finish())]))
+        found = self.form((*self.bytes.read(pre_token.encode()), *self.bytes.rest()))
         if len(pre_token) <= MEMO_BYTES:
             if len(self.memo) >= self.memo_entries:
                 self.memo.clear()
@@ -261,14 +272,14 @@ class StreamingEncoder:
 
     def _bytes(self, text: str) -> list:
         """What the byte transducer gives of a part of a long run."""
-        found = tuple(map(self.encoder.m.ids.__getitem__, self.encoder.bytes.feed(text.encode())))
+        found = tuple(self.encoder.bytes.read(text.encode()))
         return [self.encoder.form(found)] if found else []
 
     def closing(self) -> Iterator[list]:
         """The rest of a long run."""
         if self.run is not None:
             self.run = None
-            yield [self.encoder.form(tuple(map(self.encoder.m.ids.__getitem__, self.encoder.bytes.finish())))]
+            yield [self.encoder.form(tuple(self.encoder.bytes.rest()))]
 
     def pieces(self, chunk: str, last: bool = False) -> Iterator[list]:
         """What is settled now, in the encoder's form."""
