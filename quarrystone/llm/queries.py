@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import bpe, fingerprint, jaccard_join, licenses, maxent_lm, mixing, pii, quality, secret_scan, substring_dedup
+from quarrystone.llm import bpe, fill_in_middle, filter_audit, fingerprint, jaccard_join, licenses, maxent_lm, metric_join, mixing, pii, quality, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_bpe": bpe.op9_bpe,
     "op10_licenses": licenses.op10_licenses,
+    "op11_embedding_dedup": metric_join.op11_embedding_dedup,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +26,7 @@ ORACLES: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op5_quality_rules": quality.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op11_embedding_dedup": metric_join.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
