@@ -69,17 +69,24 @@ def _levels(mean: float):
     return level
 
 
-def _nodes(sets_row: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and 128-bit fingerprint of each row's set."""
+def _nodes(sets_row: np.ndarray, hashes: np.ndarray, second: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and 128-bit fingerprint of each row's set, of two independent hashes of each shingle."""
     size = np.bincount(sets_row, minlength=n_rows)
     bounds = np.concatenate(([0], np.cumsum(size)))
     out = []
-    for seed in (1, 2):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ mix64(np.array([seed], np.uint64))), dtype=np.uint64)))
+    for seed, of in ((1, hashes), (2, second)):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(of ^ mix64(np.array([seed], np.uint64))), dtype=np.uint64)))
         out.append(mix64(total[bounds[1:]] - total[bounds[:-1]] + size.astype(np.uint64)))
     return size, out[0], out[1]
 
 
+def _group_of(first: np.ndarray, ids: pa.Array, seen: int, groups: int) -> np.ndarray:
+    """The group that carries each document's row: by a hash of set and id; rows without an id are dealt one after another."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    own = np.where(known, first ^ ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(seen, seen + len(first), dtype=np.uint64))
+    return (mix64(own) % np.uint64(groups)).astype(np.int32)
+
+
 def _name(a: np.ndarray, b: np.ndarray) -> list[str | None]:
     return [f"{x:016x}{y:016x}" for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
@@ -102,13 +109,14 @@ def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, p
     width = S.width_for(shingles, SLOTS_PER_SHINGLE, cap_bits)
     blocks = min(width >> 3, 1 << max(4, int(np.ceil(np.log2(shingles / BLOCK_SHINGLES + 1)))))
 
-    doc_groups = max(16, size // GROUP_BYTES)
+    doc_groups = max(16, size // GROUP_BYTES)  # for their rows only, dealt by a hash of set and id
 
     # One pass for sizes, fingerprints and shingle counts.
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of documents travel with the sketch's messages, in groups of negative numbers.
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.string()), ("block", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
         sketch = S.PartitionSketch(width, 1, blocks)
+        seen = 0
 
         def drained() -> pa.RecordBatch:
             part = sketch.drain()
@@ -117,12 +125,14 @@ def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, p
 
         for batch in batches:
             for words in scan_words(batch.column(1), lower=True):
-                rows, hashes = shingle_sets(words, shingle)
-                n, a, b = _nodes(rows, hashes, words.n_rows)
+                rows, hashes, second = shingle_sets(words, shingle)
+                n, a, b = _nodes(rows, hashes, second, words.n_rows)
                 none = [None] * words.n_rows
-                group = (-1 - (words.first_row + np.arange(words.n_rows)) % doc_groups).astype(np.int32)
+                ids = batch.column(0)[words.first_row : words.first_row + words.n_rows]
+                group = -1 - _group_of(a, ids, seen, doc_groups)
+                seen += words.n_rows
                 node = [x if k else None for x, k in zip(_name(a, b), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0)[words.first_row : words.first_row + words.n_rows], "n": n, "node": node, "block": group, "slots": none, "counts": none}, schema)
+                yield pa.RecordBatch.from_pydict({"id": ids, "n": n, "node": node, "block": group, "slots": none, "counts": none}, schema)
                 sketch.add(hashes)
                 if sketch.full(HELD_SHINGLES):
                     yield drained()
@@ -180,8 +190,8 @@ def _linked(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, p
         count = 0
         for batch in batches:
             for words in scan_words(batch.column(1), lower=True):
-                rows, hashes = shingle_sets(words, shingle)
-                n, a, b = _nodes(rows, hashes, words.n_rows)
+                rows, hashes, second = shingle_sets(words, shingle)
+                n, a, b = _nodes(rows, hashes, second, words.n_rows)
                 levels = level_of(hashes)
                 order = np.lexsort((hashes, levels, rows))
                 rows, hashes, levels = rows[order], hashes[order], levels[order]
@@ -241,8 +251,8 @@ def _sets_of(src: DataFrame, docs: DataFrame, involved: DataFrame, shingle: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in scan_words(batch.column(1), lower=True):
-                rows, hashes = shingle_sets(words, shingle)
-                n, a, b = _nodes(rows, hashes, words.n_rows)
+                rows, hashes, second = shingle_sets(words, shingle)
+                n, a, b = _nodes(rows, hashes, second, words.n_rows)
                 raw, bounds = hashes.tobytes(), np.concatenate(([0], np.cumsum(n)))
                 yield pa.RecordBatch.from_pydict({"node": _name(a, b), "shingles": [raw[8 * i : 8 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]})
 
@@ -401,8 +411,8 @@ def _with_nodes(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
         for batch in batches:
             node: list[str | None] = []
             for words in scan_words(batch.column(at).fill_null(""), lower=True):
-                rows, hashes = shingle_sets(words, shingle)
-                n, a, b = _nodes(rows, hashes, words.n_rows)
+                rows, hashes, second = shingle_sets(words, shingle)
+                n, a, b = _nodes(rows, hashes, second, words.n_rows)
                 node += [x if k else None for x, k in zip(_name(a, b), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.string())], [*batch.schema.names, "__node"])
 

@@ -6,7 +6,6 @@ import re
 import pytest
 
 from quarrystone.llm import fill_in_middle as M
-from tests.conftest import SF, assert_same
 
 
 def plain(doc_id, text, rate=100, spm=50):
@@ -60,7 +59,3 @@ def test_pieces_are_bounded_and_exchanged_once(spark):
 def test_empty_table(spark):
     none = M.fill_in_middle(spark.createDataFrame([], "doc_id long, text string"))
     assert none.collect() == [] and none.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
-
-
-def test_query(spark, duck):
-    assert_same(M.op12_fill_in_middle(spark, SF), duck.sql(M.ORACLE))

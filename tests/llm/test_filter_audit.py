@@ -9,7 +9,6 @@ import numpy as np
 
 from quarrystone.llm import filter_audit as M
 from quarrystone.llm.sketches import unpack
-from tests.conftest import SF, assert_same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -96,7 +95,3 @@ def test_empty_tables(spark):
     assert M.audit(M.failures(docs), labels).collect() == []
     one = M.audit(M.failures(spark.createDataFrame([(1, "a", None)], docs.schema)), labels).collect()
     assert len(one) == 600 and {r["part"] for r in one} == {""} and {r["good_lost"] for r in one} == {0}
-
-
-def test_query(spark, duck):
-    assert_same(M.op13_filter_audit(spark, SF), duck.sql(M.ORACLE))

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from quarrystone.llm import metric_join as M
-from tests.conftest import SF, assert_same
 
 SCHEMA = "vec_id long, embedding array<double>, label int, node string, links string"
 
@@ -95,7 +94,3 @@ def test_exact_at_the_threshold():
     x = np.array([[1.0, 0.0]])
     y = np.array([[0.93, math.sqrt(1 - 0.93**2)], [0.93 - 1e-15, math.sqrt(1 - (0.93 - 1e-15) ** 2)]])
     assert M._linked(x, y, M.COSINE).tolist() == [[y[0, 0] / math.sqrt(math.fsum(y[0] * y[0])) >= 0.93, False]]
-
-
-def test_query(spark, duck):
-    assert_same(M.op11_embedding_dedup(spark, SF), duck.sql(M.ORACLE))
