@@ -28,6 +28,27 @@ def zipped(text: Column | str, pattern: str, *names: str) -> Column:
     return F.arrays_zip(*arrays)
 
 
+def _marked_lines(marked: Column, mark: str) -> Column:
+    """The index of the line of each mark, in order."""
+    count = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(mark), F.lit("")))
+    return F.flatten(F.transform(F.split(marked, "\n"), lambda x, i: F.array_repeat(i, count(x))))
+
+
+def located(text: Column | str, numbers: Column | str, pattern: str, *names: str) -> Column:
+    """All matches as structs of their groups under the given names, with ``line`` and ``last_line``.
+
+    ``numbers`` has the number in the file of each line of the text, for texts whose lines
+    have been dropped or joined; lines joined to another belong to it.  Matches are marked
+    in the text, and a line has as many of them as marks: no offset is counted.
+    """
+    plain = F.translate(col(text), "\u0001\u0002", "  ")
+    marked = F.regexp_replace(plain, pattern, "\u0001$0\u0002")
+    first = F.transform(_marked_lines(marked, "\u0001"), lambda i: F.get(col(numbers), i))
+    after = lambda i: F.get(col(numbers), i + 1) - 1
+    last = F.transform(_marked_lines(marked, "\u0002"), lambda i: F.coalesce(after(i), F.get(col(numbers), i)))
+    return F.arrays_zip(*(extract_all(plain, pattern, i + 1).alias(n) for i, n in enumerate(names)), first.alias("line"), last.alias("last_line"))
+
+
 def sorted_distinct(values: Column | str) -> Column:
     return F.array_sort(F.array_distinct(col(values)))
 
@@ -51,14 +72,29 @@ def keep_first(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Colu
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def first_lines(df: DataFrame, line: str = "line") -> DataFrame:
+    """Distinct rows, each with the first line on which it stands."""
+    return df.groupBy(*(c for c in df.columns if c != line)).agg(F.min(line).alias(line))
+
+
+def first_seen(df: DataFrame, keys: Sequence[str], value: str, order: Column | str, name: str) -> DataFrame:
+    """The distinct values of each key in the order in which they are first seen.
+
+    The least position of every value is aggregated before the shuffle, so a key's list is as long as its distinct values and not as its rows.
+    """
+    least = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__at"))
+    ranked = F.array_sort(F.collect_list(F.struct("__at", value)))
+    return least.groupBy(*keys).agg(F.transform(ranked, lambda x: x[value]).alias(name))
+
+
 def keep_last(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str]) -> DataFrame:
     """The last row of each key in a stated order."""
     return keep_first(df, keys, [F.col(c).desc() for c in order])
 
 
 def node_name(text: Column | str) -> Column:
-    """A name that is safe as a graph node: other characters become underscores, runs collapse, ends are trimmed."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(col(text), "[^A-Za-z0-9_]", "_"), "_+", "_"), F.lit("_"))
+    """A name that is safe as a graph node: letters and digits only, after a word that makes it begin with a letter."""
+    return F.concat(F.lit("node"), F.regexp_replace(col(text), "[^A-Za-z0-9]", ""))
 
 
 def truncated(text: Column | str, n: int) -> Column:

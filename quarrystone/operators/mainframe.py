@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import classify, contained, dataset_name, extract_all, first_match, keep_first, sorted_distinct, zipped
+from quarrystone.functions.text import classify, contained, dataset_name, extract_all, first_lines, first_match, keep_first, located, sorted_distinct, zipped
 from quarrystone.operators.source_chunks import NO_JOBS
 from quarrystone.sources.files import lines
 
@@ -19,42 +19,73 @@ from quarrystone.sources.files import lines
 _NAME = r"[A-Za-z0-9][A-Za-z0-9-]*"
 
 
-def cobol_source(text: Column) -> Column:
-    """Columns 8-72 of code lines; comment lines go, continuations join the line before."""
-    code = F.filter(F.split(text, "\n"), lambda x: ~F.substr(x, F.lit(7), F.lit(1)).isin("*", "/"))
+# What is found in programs; group 1 and, where there is one, 2 are its parts.
+COBOL_PATTERNS = {
+    "call": rf"(?is)\bCALL\s+('[^']+'|\"[^\"]+\"|{_NAME})(?:\s+USING\s+(.*?))?\s*(?:\.(?:\s|$)|END-CALL)",
+    "move": rf"(?i)MOVE\s+['\"]([A-Za-z0-9-]+)['\"]\s+TO\s+({_NAME})",
+    "value": rf"(?im)^\s*\d{{2}}\s+({_NAME})[^.]*?VALUE\s+['\"]([A-Za-z0-9-]+)['\"]",
+    "copy": rf"(?i)\bCOPY\s+({_NAME})(?:\s+(?:OF|IN)\s+({_NAME}))?",
+    "sql": r"(?is)EXEC\s+SQL(.*?)END-EXEC",
+    "io": rf"(?i)(?<![A-Z0-9-])(READ|WRITE|REWRITE|DELETE)\s+({_NAME})",
+    "open": rf"(?i)\bOPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s+({_NAME})",
+    "close": rf"(?is)(?<![A-Z0-9-])CLOSE\s+((?:{_NAME}\s*,?\s*)+?)(?:\.|\bEND-|\b(?:STOP|GOBACK|EXIT|PERFORM|MOVE|DISPLAY)\b)",
+    "assign": rf"(?i)(?<![A-Z0-9-])SELECT\s+(?:OPTIONAL\s+)?({_NAME})\s+ASSIGN\s+(?:TO\s+)?['\"]?({_NAME})",
+}
+
+
+def cobol_lines(text: Column) -> Column:
+    """Columns 8-72 of code lines as ``s`` and the number of each of its lines in the file as ``numbers``.
+
+    Comment lines go; a continuation joins the line before and has no number of its own.
+    """
+    code = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("x"))), lambda l: ~F.substr(l["x"], F.lit(7), F.lit(1)).isin("*", "/"))
     cut = lambda x: F.when(F.char_length(x) < 7, x).otherwise(F.substr(x, F.lit(8), F.lit(65)))
-    marked = F.transform(code, lambda x: F.concat(F.when(F.substr(x, F.lit(7), F.lit(1)) == "-", F.lit("\u0001")).otherwise(F.lit("")), cut(x)))
-    return F.regexp_replace(F.array_join(marked, "\n"), "[ ]*\n\u0001[ ]*['\"]?", "")
+    goes_on = lambda l, i: (i > 0) & (F.substr(l["x"], F.lit(7), F.lit(1)) == "-")
+    marked = F.transform(code, lambda l, i: F.concat(F.when(goes_on(l, i), F.lit("\u0001")).otherwise(F.lit("")), cut(l["x"])))
+    numbers = F.filter(F.transform(code, lambda l, i: F.when(~goes_on(l, i), l["no"])), lambda n: n.isNotNull())
+    return F.struct(F.regexp_replace(F.array_join(marked, "\n"), "[ ]*\n\u0001[ ]*['\"]?", "").alias("s"), numbers.alias("numbers"))
+
+
+def cobol_source(text: Column) -> Column:
+    """The code of a program without the numbers of its lines."""
+    return cobol_lines(text)["s"]
 
 
 def cobol(files: DataFrame) -> dict[str, DataFrame]:
-    src = files.select("filename", cobol_source(F.col("text")).alias("s"))
+    """Relations of programs; ``line`` is the line of the file on which the statement begins.
+
+    A call through a variable has a row for each value that the program gives to it, or, without any, a row among the unresolved.
+    """
+    src = files.select("filename", cobol_lines(F.col("text")).alias("src")).select("filename", "src.s", "src.numbers")
     src = src.select("*", F.upper(first_match("s", rf"(?i)PROGRAM-ID\.\s+({_NAME})")).alias("program")).where("program is not null")
-    calls = src.select("program", "s", F.posexplode(zipped("s", rf"(?is)\bCALL\s+('[^']+'|\"[^\"]+\"|{_NAME})(?:\s+USING\s+(.*?))?\s*(?:\.(?:\s|$)|END-CALL)", "target", "using")).alias("seq", "c"))
-    literal = F.col("c.target").rlike("^['\"]")
-    called = calls.select("program", "seq", F.upper(F.regexp_replace("c.target", "['\"]", "")).alias("name"), F.when(literal, "static").otherwise("dynamic").alias("call_type"), sorted_distinct(extract_all(F.upper("c.using"), rf"({_NAME})")).alias("parameters"))
-    moves = src.select("program", F.explode(zipped("s", rf"(?i)MOVE\s+['\"]([A-Za-z0-9-]+)['\"]\s+TO\s+({_NAME})", "value", "variable")).alias("m")).select("program", F.upper("m.variable").alias("name"), F.upper("m.value").alias("value"))
-    values = src.select("program", F.explode(zipped("s", rf"(?im)^\s*\d{{2}}\s+({_NAME})[^.]*?VALUE\s+['\"]([A-Za-z0-9-]+)['\"]", "variable", "value")).alias("m")).select("program", F.upper("m.variable").alias("name"), F.upper("m.value").alias("value"))
-    candidates = moves.unionByName(values).distinct().groupBy("program", "name").agg(F.array_sort(F.collect_set("value")).alias("candidates"))
-    resolved = called.join(candidates, ["program", "name"], "left")
+
+    def each(kind: str, *names: str) -> DataFrame:
+        return src.select("filename", "program", F.posexplode(located("s", "numbers", COBOL_PATTERNS[kind], *names)).alias("seq", "m")).select("filename", "program", "seq", "m.*")
+
+    literal = F.col("target").rlike("^['\"]")
+    called = each("call", "target", "using").select("program", "seq", "line", F.upper(F.regexp_replace("target", "['\"]", "")).alias("name"), F.when(literal, "static").otherwise("dynamic").alias("call_type"), sorted_distinct(extract_all(F.upper("using"), rf"({_NAME})")).alias("parameters"))
+    moves, values = each("move", "value", "variable"), each("value", "variable", "value")
+    given = moves.select("program", "variable", "value").unionByName(values.select("program", "variable", "value")).select("program", F.upper("variable").alias("name"), F.upper("value").alias("value"))
+    candidates = given.distinct().groupBy("program", "name").agg(F.array_sort(F.collect_set("value")).alias("candidates"))
     dynamic = F.col("call_type") == "dynamic"
-    only = F.when(F.size("candidates") == 1, F.get("candidates", F.lit(0)))
-    program_calls = resolved.select("program", F.when(dynamic, only).otherwise(F.col("name")).alias("target"), "call_type", F.when(dynamic, F.col("name")).alias("variable"), F.when(dynamic, F.col("candidates").isNotNull()).otherwise(F.lit(True)).alias("resolved"), "seq")
-    copy = src.select("program", F.explode(zipped("s", rf"(?i)\bCOPY\s+({_NAME})(?:\s+(?:OF|IN)\s+({_NAME}))?", "name", "library")).alias("c"))
-    sql = src.select("program", F.posexplode(extract_all("s", r"(?is)EXEC\s+SQL(.*?)END-EXEC")).alias("seq", "body")).withColumn("statement", F.btrim(F.regexp_replace("body", r"\s+", " ")))
-    sql = sql.select("program", "seq", F.coalesce(classify_sql(F.col("statement")), F.lit("UNKNOWN")).alias("type"), "statement")
-    io = src.select("program", F.explode(zipped("s", rf"(?i)(?<![A-Z0-9-])(READ|WRITE|REWRITE|DELETE)\s+({_NAME})", "op", "file")).alias("x")).select("program", F.upper("x.file").alias("file"), F.upper("x.op").alias("operation"))
-    opened = src.select("program", F.explode(zipped("s", rf"(?i)\bOPEN\s+(INPUT|OUTPUT|I-O|EXTEND)\s+({_NAME})", "op", "file")).alias("x")).select("program", F.upper("x.file").alias("file"), F.concat(F.lit("OPEN "), F.upper("x.op")).alias("operation"))
-    closed = src.select("program", F.explode(extract_all("s", rf"(?is)(?<![A-Z0-9-])CLOSE\s+((?:{_NAME}\s*,?\s*)+?)(?:\.|\bEND-|\b(?:STOP|GOBACK|EXIT|PERFORM|MOVE|DISPLAY)\b)")).alias("names")).select("program", F.explode(extract_all(F.upper("names"), rf"({_NAME})")).alias("file"), F.lit("CLOSE").alias("operation"))
-    assigned = src.select("program", F.explode(zipped("s", rf"(?i)(?<![A-Z0-9-])SELECT\s+(?:OPTIONAL\s+)?({_NAME})\s+ASSIGN\s+(?:TO\s+)?['\"]?({_NAME})", "file", "device")).alias("x")).select("program", F.upper("x.file").alias("file"), F.upper("x.device").alias("device"))
+    resolved = called.join(candidates, ["program", "name"], "left").withColumn("candidates", F.when(dynamic, F.col("candidates")))
+    targets = F.when(dynamic, F.coalesce("candidates", F.array().cast("array<string>"))).otherwise(F.array("name"))
+    program_calls = resolved.select("program", F.explode_outer(targets).alias("target"), "call_type", F.when(dynamic, F.col("name")).alias("variable"), F.when(dynamic, F.col("candidates").isNotNull()).otherwise(F.lit(True)).alias("resolved"), "candidates", "parameters", "seq", "line")
+    copy = each("copy", "name", "library")
+    sql = each("sql", "body").withColumn("statement", F.btrim(F.regexp_replace("body", r"\s+", " ")))
+    sql = sql.select("program", "seq", F.coalesce(classify_sql(F.col("statement")), F.lit("UNKNOWN")).alias("type"), "statement", "line")
+    io = each("io", "op", "file").select("program", F.upper("file").alias("file"), F.upper("op").alias("operation"), "line")
+    opened = each("open", "op", "file").select("program", F.upper("file").alias("file"), F.concat(F.lit("OPEN "), F.upper("op")).alias("operation"), "line")
+    closed = each("close", "names").select("program", F.explode(extract_all(F.upper("names"), rf"({_NAME})")).alias("file"), F.lit("CLOSE").alias("operation"), "line")
+    assigned = each("assign", "file", "device").select("program", F.upper("file").alias("file"), F.upper("device").alias("device"), "line")
     return {
         "program_calls": program_calls.where("resolved"),
         "unresolved_calls": program_calls.where("not resolved"),
-        "copybooks": copy.select("program", F.upper("c.name").alias("copybook"), F.upper(F.nullif("c.library", F.lit(""))).alias("library")).distinct(),
+        "copybooks": first_lines(copy.select("program", F.upper("name").alias("copybook"), F.upper(F.nullif("library", F.lit(""))).alias("library"), "line")),
         "sql_blocks": sql,
         "sql_tables": sql_tables(sql, "program"),
-        "file_assignments": assigned.distinct(),
-        "file_io": io.unionByName(opened).unionByName(closed).where("length(file) > 1 and not file rlike '^[0-9]+$'").distinct(),
+        "file_assignments": first_lines(assigned),
+        "file_io": first_lines(io.unionByName(opened).unionByName(closed).where("length(file) > 1 and not file rlike '^[0-9]+$'")),
     }
 
 
@@ -64,19 +95,20 @@ def classify_sql(statement: Column) -> Column:
 
 
 def sql_tables(sql: DataFrame, owner: str) -> DataFrame:
-    """Tables that statements read or write."""
+    """Tables that statements read or write, with the first line of each where lines are known."""
     name = r"([A-Za-z][A-Za-z0-9_.]*)"
     found = [("READ", rf"(?i)(?:FROM|JOIN)\s+{name}"), ("WRITE", rf"(?i)UPDATE\s+{name}"), ("WRITE", rf"(?i)INTO\s+{name}\s*(?:\(|VALUES|SELECT)")]
-    parts = [sql.select(owner, F.explode(extract_all("statement", p)).alias("table"), F.lit(op).alias("operation")) for op, p in found]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.select(owner, F.upper("table").alias("table"), "operation").where("table <> 'SQLCA'").distinct()
+    at = ["line"] if "line" in sql.columns else []
+    parts = [sql.select(owner, *at, F.explode(extract_all("statement", p)).alias("table"), F.lit(op).alias("operation")) for op, p in found]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(owner, F.upper("table").alias("table"), "operation", *at).where("table <> 'SQLCA'")
+    return first_lines(every) if at else every.distinct()
 
 
 # ---- JCL -------------------------------------------------------------------
 
 
 def jcl(files: DataFrame) -> dict[str, DataFrame]:
-    """Steps, program and procedure calls, and datasets; lines ending in a comma go on in the next."""
+    """Steps, program and procedure calls, included members and datasets; lines ending in a comma go on in the next."""
     own = lines(files, "filename").select("filename", "line_no", F.rtrim(F.substr("text", F.lit(1), F.lit(72))).alias("t")).where("t like '//%' and t not like '//*%'")
     by_file = Window.partitionBy("filename").orderBy("line_no")
     starts = F.when(F.coalesce(F.lag("t").over(by_file), F.lit("")).endswith(","), 0).otherwise(1)
@@ -87,11 +119,14 @@ def jcl(files: DataFrame) -> dict[str, DataFrame]:
     order = Window.partitionBy("filename").orderBy("stmt")
     known = parts.select("*", F.last(F.when(F.col("op") == "JOB", F.upper("label")), True).over(order).alias("job"), F.last(F.when(F.col("op") == "EXEC", F.upper("label")), True).over(order).alias("step"))
     execs = known.where("op = 'EXEC'").select("filename", "job", "step", first_match("params", r"(?i)PGM=([A-Za-z0-9@#$]+)").alias("pgm"), F.coalesce(first_match("params", r"(?i)PROC=([A-Za-z0-9@#$]+)"), first_match("params", r"^([A-Za-z0-9@#$]+)(?:,|\s|$)")).alias("proc"), "params")
-    dds = known.where("op not in ('JOB', 'EXEC') and step is not null").select("filename", "job", "step", F.upper("label").alias("ddname"), F.upper(first_match("params", r"(?i)DSN=([^,\s]+)")).alias("dataset"), F.upper(F.coalesce(first_match("params", r"(?i)DISP=\(?([A-Za-z]+)"), F.lit("SHR"))).alias("disp"))
+    # A statement of any other operation counts for its dataset only.
+    ddname = F.when(F.col("op") == "DD", F.upper("label")).otherwise("")
+    dds = known.where("op not in ('JOB', 'EXEC', 'PROC', 'PEND') and step is not null").select("filename", "job", "step", ddname.alias("ddname"), F.upper(first_match("params", r"(?i)DSN=([^,\s]+)")).alias("dataset"), F.upper(F.coalesce(first_match("params", r"(?i)DISP=\(?([A-Za-z]+)"), F.lit("SHR"))).alias("disp"))
     output = F.col("disp").isin("NEW", "MOD")
     return {
         "program_calls": execs.where("pgm is not null").select("job", "step", F.upper("pgm").alias("program")),
         "proc_calls": execs.where("pgm is null and proc is not null").select("job", "step", F.upper("proc").alias("proc")),
+        "include_groups": known.where("op = 'INCLUDE'").select("job", "step", F.upper(first_match("params", r"(?i)MEMBER=([A-Za-z0-9@#$]+)")).alias("member"), "line_no").where("member is not null"),
         "dds": dds.where("dataset is not null or ddname <> ''").select("job", "step", "ddname", "dataset", "disp"),
         "files": dds.where("dataset is not null").select("job", "step", "ddname", "dataset", F.when(output, "OUTPUT").otherwise("INPUT").alias("mode"), F.when(output, "CREATE").otherwise("READ").alias("access"), "disp"),
     }
@@ -121,16 +156,29 @@ HOST_COMMANDS = ("ALLOC", "ALLOCATE", "FREE", "DELETE", "LISTDS", "LISTDSI", "LI
 EDITOR_COMMANDS = ("ISPEXEC", "ISREDIT", "BROWSE", "EDIT", "VIEW", "LMINIT", "LMOPEN", "LMCLOSE", "LMFREE", "LMMOVE", "LMCOPY")
 
 
+# Variables of the system that scripts name, and patterns of what they call and allocate.
+SYSTEM_VARIABLES = ("SYSUID", "SYSENV", "SYSPREF", "SYSNODE", "SYSLRACF", "SYSSRV", "SYSTERMID", "SYSTSOE", "SYSDFP", "SYSJES")
+REXX_CALL = r"(?i)\bCALL\s+[\"']?([A-Z][A-Z0-9]{0,7})[\"']?"
+REXX_LINK = r"(?i)\bADDRESS\s+(?:LINK|LINKMVS)\s+[\"']?([A-Z][A-Z0-9]{0,7})[\"']?"
+QUOTED_DATASET = r"(?i)['\"]([A-Z][A-Z0-9.#$@]{2,43})['\"]"
+ALLOCATED_DATASET = r"(?i)\b(?:DA|DSN)\s*\(\s*[\"']?([A-Z][A-Z0-9.#$@()]+)[\"']?\s*\)"
+
+
 def rexx(files: DataFrame) -> dict[str, DataFrame]:
     own = lines(files, "filename").where("ltrim(text) not like '/*%'")
-    found = lambda pattern, name: own.select("filename", F.explode(extract_all("text", pattern)).alias(name)).withColumn(name, F.upper(name)).distinct()
-    datasets = own.where(F.col("text").rlike(r"(?i)ALLOC|LISTDSI|LISTDS|LISTCAT|DELETE")).select("filename", F.explode(F.concat(extract_all("text", r"['\"]([A-Za-z0-9@#$]+(?:\.[A-Za-z0-9@#$]+)+)['\"]"), extract_all("text", r"(?i)(?:DA|DSN)\('?([A-Za-z0-9@#$.]+)'?\)"))).alias("dataset"))
+
+    def found(values: Column, name: str) -> DataFrame:
+        return own.select("filename", F.explode(values).alias(name)).withColumn(name, F.upper(name)).distinct()
+
+    quoted = F.filter(extract_all("text", QUOTED_DATASET), lambda x: ~F.upper(x).startswith("REC."))
+    member = lambda x: F.translate(x, "()", ".")  # noqa: E731  the first of the two becomes a dot, the other goes
+    datasets = own.where(F.col("text").rlike(r"(?i)ALLOC|LISTDSI|LISTDS|LISTCAT|DELETE")).select("filename", F.explode(F.concat(quoted, F.transform(F.filter(extract_all("text", ALLOCATED_DATASET), lambda x: F.contains(x, F.lit("."))), member))).alias("dataset")).where("contains(dataset, '.')")
     return {
-        "calls": found(r"(?i)\bCALL\s+['\"]?([A-Za-z@#$][A-Za-z0-9@#$]{0,7})", "program"),
+        "calls": found(F.concat(extract_all("text", REXX_CALL), extract_all("text", REXX_LINK)), "program"),
         "submissions": own.where(F.col("text").rlike("(?i)SUBMIT")).select("filename", F.upper(F.coalesce(first_match("text", r"\(([A-Za-z0-9@#$]+)\)"), first_match("text", r"(?i)SUBMIT\s+['\"]?([A-Za-z0-9@#$.]+)"))).alias("job")).where("job is not null").distinct(),
         "datasets": datasets.select("filename", F.upper("dataset").alias("dataset")).distinct(),
         "utilities": own.select("filename", F.explode(contained("text", (*HOST_COMMANDS, *EDITOR_COMMANDS))).alias("utility")).distinct(),
-        "environment": found(r"(?i)(?:GETENV|VALUE)\(\s*['\"]([A-Za-z0-9_]+)['\"]", "variable"),
+        "environment": found(F.concat(extract_all("text", r"(?i)\b(?:VALUE|GETENV)\s*\(\s*[\"']([A-Z_][A-Z0-9_]*)[\"']"), contained("text", SYSTEM_VARIABLES)), "variable"),
     }
 
 
@@ -219,17 +267,49 @@ def operands(text: Column | str) -> Column:
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(p.alias("raw"), extract_all(p, OPERAND_TOKEN, 0).alias("tokens")))
 
 
+# What is found in statements that have lost their remarks.
+ASSEMBLER_PATTERNS = {
+    "copy": r"(?i)^(?:[A-Z0-9_@#$]+\s+)?COPY\s+([A-Z0-9_@#$]+)",
+    "external": r"(?i)^(?:[A-Z0-9_@#$]+\s+)?(EXTRN|WXTRN)\s+(.*)",
+    "io": r"(?i)^(OPEN|CLOSE|GET|PUT|READ|WRITE|CHECK|POINT)\b\s*(?:\(|,)?\s*([A-Z0-9_@#$]+)?",
+    "db2": r"(?i)\bCALL\s+['\"]DSNHLI['\"]",
+    "address": r"(?i)=\s*V\s*\(\s*([A-Z0-9_@#$]{1,8})\s*\)",
+}
+
+
+def assembler_statements(files: DataFrame) -> DataFrame:
+    """(filename, line, text): the statements of each file with the line on which they begin.
+
+    In fixed format a mark in column 72 goes on at column 16 of the next line, whatever stands before it;
+    a comment with a mark goes on as a comment.  In free format lines stand for themselves.
+    """
+    free = is_free_format(F.col("text"))
+    marked = lambda x: ~free & (F.char_length(x) >= 72) & (F.btrim(F.substr(x, F.lit(72), F.lit(1))) != "")
+    raw = F.split("text", "\n")
+    goes_on = lambda i: F.coalesce((i > 0) & marked(F.get(raw, i - 1)), F.lit(False))
+    piece = lambda x, i: F.when(goes_on(i), F.concat(F.lit("\u0001"), F.substr(x, F.lit(16), F.lit(56)))).when(free, x).otherwise(F.substr(x, F.lit(1), F.lit(71)))
+    joined = F.split(F.regexp_replace(F.array_join(F.transform(raw, piece), "\n"), "[ ]*\n\u0001[ ]*", ""), "\n")
+    numbers = F.filter(F.transform(raw, lambda x, i: F.when(~goes_on(i), i + 1)), lambda n: n.isNotNull())
+    own = files.select("filename", F.explode(F.arrays_zip(numbers.alias("line"), joined.alias("text"))).alias("x")).select("filename", "x.line", F.btrim("x.text").alias("text"))
+    return own.where("text <> '' and text not like '*%' and text not like '.*%'")
+
+
 def assembler(files: DataFrame) -> dict[str, DataFrame]:
-    own = lines(files, "filename").where("text not like '*%'")
-    found = lambda pattern, name: own.select("filename", F.explode(extract_all("text", pattern)).alias(name)).withColumn(name, F.upper(name)).distinct()
-    externals = own.select("filename", F.explode(zipped("text", r"\s(EXTRN|WXTRN)\s+([A-Z0-9@#$,]+)", "kind", "names")).alias("x")).select("filename", F.explode(F.split("x.names", ",")).alias("name"), F.col("x.kind").alias("kind"))
-    io = own.select("filename", F.explode(zipped("text", r"\s(OPEN|CLOSE|GET|PUT|READ|WRITE)\s+\(?([A-Z0-9@#$]+)", "op", "file")).alias("x"))
+    """Relations of assembler sources; ``line`` is the first on which a row's statement begins."""
+    own = assembler_statements(files).withColumn("text", F.btrim(F.regexp_replace("text", r"\s*\*.*$", "")))
+
+    def each(kind: str, *names: str) -> DataFrame:
+        return own.select("filename", "line", F.explode(zipped("text", ASSEMBLER_PATTERNS[kind], *names)).alias("m")).select("filename", "line", *(F.upper(f"m.{n}").alias(n) for n in names))
+
+    externals = each("external", "kind", "names").select("filename", "line", F.explode(F.split("names", ",")).alias("name"), "kind").select("filename", F.btrim("name").alias("name"), "kind", "line").where("name <> ''")
+    io = each("io", "operation", "file").select("filename", F.coalesce(F.nullif("file", F.lit("")), F.lit("UNKNOWN")).alias("file"), "operation", "line")
     return {
         "modules": files.select("filename", module_name(F.col("text")).alias("module")).where("module is not null"),
-        "copybooks": found(r"\sCOPY\s+([A-Z0-9@#$]+)", "copybook"),
-        "program_calls": found(r"=V\(([A-Z0-9@#$]+)\)", "target"),
-        "externals": externals.distinct(),
-        "file_io": io.select("filename", F.col("x.file").alias("file"), F.col("x.op").alias("operation")).distinct(),
+        "copybooks": first_lines(each("copy", "copybook")),
+        "program_calls": first_lines(each("address", "target")),
+        "externals": first_lines(externals),
+        "file_io": first_lines(io),
+        "db2_access": own.where(F.col("text").rlike(ASSEMBLER_PATTERNS["db2"])).select("filename", F.lit("CALL DSNHLI").alias("type"), "line"),
     }
 
 

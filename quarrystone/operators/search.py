@@ -21,7 +21,7 @@ def containing(items: DataFrame, texts: DataFrame, item_id: str, text_id: str, i
     wherever the item occurs, so an equi-join on the longest such word finds every
     occurrence, which is then compared.  Items of fewer than three words have no such
     word: they meet the texts in blocks of at most ``block``.  An empty item is in every
-    text that isn't null; null items and texts are in no result.
+    text that isn't null; null items and texts are in no result, null ids are ids.
     """
     own = items.select(F.col(item_id).alias("i"), F.col(item).alias("item")).where("item is not null")
     docs = texts.select(F.col(text_id).alias("t"), F.col(text).alias("text")).where("text is not null")
@@ -29,7 +29,10 @@ def containing(items: DataFrame, texts: DataFrame, item_id: str, text_id: str, i
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
     long = own.where(F.size(_words("item")) > 2).select("i", "item", longest.alias("word"))
     met = docs.select("t", F.explode(F.array_distinct(_words("text"))).alias("word")).join(long.select("i", "word"), "word").select("t", "i")
-    found = [met.join(docs, "t").join(long.select("i", "item"), "i").where(F.contains("text", F.col("item"))).select("i", "t")]
+    # An id may be null; it is one like any other.
+    with_text = met.join(docs.withColumnRenamed("t", "of"), F.col("t").eqNullSafe(F.col("of"))).drop("of")
+    with_item = with_text.join(long.select(F.col("i").alias("of"), "item"), F.col("i").eqNullSafe(F.col("of")))
+    found = [with_item.where(F.contains("text", F.col("item"))).select("i", "t")]
     short = own.where(F.size(_words("item")) < 3)
     blocks = -(-short.count() // block)
     dealt = short.withColumn("block", F.pmod(F.xxhash64("i", "item"), F.lit(max(1, blocks))))

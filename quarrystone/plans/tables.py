@@ -84,7 +84,7 @@ def keep_last_edge(spark: SparkSession, d: str) -> DataFrame:
     return T.keep_last(rows.distinct(), ["dst"], ["page_id"])
 
 
-@query("node_sanitize", "SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_') AS node FROM pages")
+@query("node_sanitize", "SELECT page_id, 'node' || regexp_replace(url, '[^A-Za-z0-9]', '', 'g') AS node FROM pages")
 def node_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.node_name("url").alias("node"))
 
