@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF, assert_same
 
-from quarrystone.plans import catalogue, document_tables, estate_tables, generated_tables, more_tables, source_tables, summary_tables, tables  # noqa: F401
+from quarrystone.plans import catalogue, document_tables, estate_tables, gathered_tables, generated_tables, more_tables, source_tables, summary_tables, tables  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
