@@ -74,7 +74,7 @@ def test_parameter_relations(spark):
 def test_cobol_files(spark):
     text = "       PROGRAM-ID. A.\n           SELECT CUST-FILE ASSIGN TO CUSTDD.\n           OPEN INPUT CUST-FILE.\n           CLOSE CUST-FILE RPT-FILE.\n"
     found = mainframe.cobol(_files(spark, a=text))
-    assert [tuple(r) for r in found["file_assignments"].collect()] == [("A", "CUST-FILE", "CUSTDD")]
+    assert [tuple(r) for r in found["file_assignments"].collect()] == [("A", "CUST-FILE", "CUSTDD", 2)]
     assert {(r["file"], r["operation"]) for r in found["file_io"].collect()} == {("CUST-FILE", "OPEN INPUT"), ("CUST-FILE", "CLOSE"), ("RPT-FILE", "CLOSE")}
 
 
