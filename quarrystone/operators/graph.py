@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import keep_last
+from quarrystone.sources.shared import use_checkpoints
 
 # How much each kind of edge weighs; the kinds of edges that data accesses, execution and structure are.
 EDGE_WEIGHTS = {"CALL": 3, "INCLUDE": 1, "ACCESS_DB": 2, "ACCESS_FILE": 2, "SUBMIT_JOB": 4, "EXEC_PGM": 5, "EXEC_PROC": 5, "READ_FILE": 2, "WRITE_FILE": 2, "TRIGGER": 5, "EXEC_UTIL": 2, "CONFIGURES": 2}
 DATA_EDGES = ("ACCESS_DB", "ACCESS_FILE", "WRITE_FILE")
+JOB_EDGES = ("TRIGGER", "EXEC_PGM", "EXEC_PROC")
 FLOW_EDGES = ("TRIGGER", "SUBMIT_JOB", "EXEC_PROC", "EXEC_PGM")
 STRUCTURE_EDGES = ("CALL", "ACCESS_DB", "INCLUDE", "ACCESS_FILE", "READ_FILE", "WRITE_FILE")
 NO_FLOW_NODES = ("FILE:", "DD:", "TABLE:", "CPY:")
 DATA_NODES = ("FILE:", "DD:")
 
+
 def weight_of(kind: Column, weights: Mapping[str, int] = EDGE_WEIGHTS) -> Column:
     out = F.lit(1)
     for name, weight in weights.items():
@@ -151,13 +154,27 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
-    """node and least number of steps from ``start``, up to ``steps``."""
-    seen = start.select("node").distinct().withColumn("distance", F.lit(0))
-    for n in range(1, steps + 1):
-        edge = seen.where(F.col("distance") == n - 1)
-        new = edges.join(edge, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = seen.unionByName(new.withColumn("distance", F.lit(n)))
-    return seen
+    """node and least number of steps from ``start``, up to ``steps``; nodes that are null are none.
+
+    The nodes of each step are written to the checkpoint folder before the next, so a plan
+    holds one step whatever their number, and the steps end where no new node is found.
+    """
+    use_checkpoints(edges.sparkSession)
+    links = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
+    levels = [start.select("node").where("node is not null").distinct().checkpoint()]
+    for _ in range(steps):
+        met = links.join(levels[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        new = met.join(reduce(DataFrame.unionByName, levels), "node", "left_anti").checkpoint()
+        if new.isEmpty():
+            break
+        levels.append(new)
+    return reduce(DataFrame.unionByName, [level.withColumn("distance", F.lit(n)) for n, level in enumerate(levels)])
+
+
+def job_dependencies(edges: DataFrame, k: int = 20) -> DataFrame:
+    """The first k edges that start something, by their names: (source, target, relationship)."""
+    own = edges.where(F.col("type").isin(*JOB_EDGES)).orderBy("src", "dst", "type").limit(k)
+    return own.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("type").alias("relationship"))
 
 
 def lineage(writes: DataFrame, reads: DataFrame, key: str, actor: str, order: str) -> DataFrame:

@@ -25,21 +25,29 @@ def _block(query_key: str, vector: str) -> Column:
     return F.collect_list(F.struct(F.col(query_key).alias("q"), F.col(vector).alias("v"))).alias("queries")
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", within: str | None = None) -> DataFrame:
     """The k nearest rows of each query (query_key, vector), of a query set of any size against all rows.
 
     One block of queries goes to every task by broadcast.  More are dealt by a hash into
     blocks of at most ``MOST_QUERIES``, and every block meets every partition of the rows.
+    With ``within``, a column of both, a query meets only rows that are equal in it; null is equal to nothing.
     """
+    if within is not None:
+        queries, vectors = queries.where(F.col(within).isNotNull()), vectors.where(F.col(within).isNotNull())
+    at = [within] if within is not None else []
     n = queries.count()
     if n <= MOST_QUERIES:
-        blocks = F.broadcast(queries.agg(_block(query_key, vector)))
+        blocks = F.broadcast(queries.groupBy(*at).agg(_block(query_key, vector)))
     else:
         dealt = queries.withColumn("__deal", F.pmod(F.xxhash64(query_key), F.lit(-(-n // MOST_QUERIES))))
-        place = F.row_number().over(Window.partitionBy("__deal").orderBy(query_key)) - 1
+        place = F.row_number().over(Window.partitionBy(*at, "__deal").orderBy(query_key)) - 1
         cut = dealt.withColumn("__cut", F.floor(place / MOST_QUERIES))
-        blocks = cut.groupBy("__deal", "__cut").agg(_block(query_key, vector)).select("queries").hint("shuffle_replicate_nl")
-    scored = vectors.select(key, vector).crossJoin(blocks).select(key, F.explode(F.transform("queries", lambda q: F.struct(q["q"].alias(query_key), F.round(F.sqrt(squared_distance(F.col(vector), q["v"])), 4).alias("distance")))).alias("s")).select(key, "s.*")
+        blocks = cut.groupBy(*at, "__deal", "__cut").agg(_block(query_key, vector)).select(*at, "queries")
+        if within is None:
+            blocks = blocks.hint("shuffle_replicate_nl")
+    own = vectors.select(key, vector, *at)
+    met = own.crossJoin(blocks) if within is None else own.join(blocks, within)
+    scored = met.select(key, F.explode(F.transform("queries", lambda q: F.struct(q["q"].alias(query_key), F.round(F.sqrt(squared_distance(F.col(vector), q["v"])), 4).alias("distance")))).alias("s")).select(key, "s.*")
     w = Window.partitionBy(query_key).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -70,7 +78,11 @@ def index_status(index: DataFrame) -> DataFrame:
     return index.groupBy("source_folder").agg(F.count("*").alias("chunks"))
 
 
-def contexts(hits: DataFrame, preview: int = 200) -> DataFrame:
-    """One row for the hits of one search (distance, id, text): the texts in order as context, and their beginnings.  The hits are the k of a search."""
+def contexts(hits: DataFrame, preview: int = 200, by: str | None = None) -> DataFrame:
+    """The texts of a search's hits (distance, id, text) in order as context, and their beginnings: one row, or one for each search where ``by`` names it.
+
+    The hits are the k of each search.  Hits without a text add nothing.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("distance", "id", "text")))
-    return hits.agg(ordered.alias("h")).select(F.array_join(F.transform("h", lambda x: x["text"]), "\n\n").alias("context"), F.transform("h", lambda x: F.substr(x["text"], F.lit(1), F.lit(preview))).alias("previews"))
+    found = hits.where("text is not null").groupBy(*([by] if by else [])).agg(ordered.alias("h"))
+    return found.select(*([by] if by else []), F.array_join(F.transform("h", lambda x: x["text"]), "\n\n").alias("context"), F.transform("h", lambda x: F.substr(x["text"], F.lit(1), F.lit(preview))).alias("previews"))

@@ -14,6 +14,9 @@ from quarrystone.functions.text import keep_last
 LIMITS_MB = {"cobol": 10, "copybook": 5, "jcl": 2, "rexx": 5, "catproc": 2, "proc": 2, "pli": 10}
 DEFAULT_LIMIT_MB = 5
 
+# Limits of parsers in MB, and what an empty file is to them.
+PARSER_LIMITS = {"cobol": (50, "error"), "copybook": (10, "warning")}
+
 # Words of which two make a decoded text plausible, by file type.
 COBOL_WORDS = ("DIVISION", "SECTION", "PROCEDURE", "WORKING-STORAGE", "PERFORM", "MOVE", "IF", "END-IF", "CALL", "COPY")
 COPYBOOK_WORDS = ("PIC", "PICTURE", "OCCURS", "REDEFINES", "VALUE", "COMP", "BINARY", "FILLER", "COPY")
@@ -48,6 +51,19 @@ def oversized(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", reason).where("reason is not null").drop("content")
 
 
+def parser_guard(files: DataFrame) -> DataFrame:
+    """Files (filename, file_type, content) that a parser refuses or warns of: (filename, level, reason).
+
+    Programs and copybooks have limits of their own; an empty copybook is a warning, an empty program an error.
+    """
+    size, kind = F.octet_length("content"), F.lower("file_type")
+    rows = F
+    for name, (mb, level) in PARSER_LIMITS.items():
+        rows = rows.when((kind == name) & (size == 0), F.struct(F.lit(level).alias("level"), F.lit("File is empty").alias("reason")))
+        rows = rows.when((kind == name) & (size > mb * 1024 * 1024), F.struct(F.lit("error").alias("level"), F.lit(f"File exceeds maximum size of {mb} MB").alias("reason")))
+    return files.select("filename", rows.otherwise(F.lit(None)).alias("r")).where("r is not null").select("filename", "r.*")
+
+
 def control_share_ok(text: Column) -> Column:
     head = F.substr(text, F.lit(1), F.lit(1000))
     return F.char_length(head) - F.char_length(F.regexp_replace(head, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")) <= 10

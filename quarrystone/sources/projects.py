@@ -67,3 +67,14 @@ def accepted(uploads: DataFrame, types: Sequence[str]) -> DataFrame:
 def progress(tasks: DataFrame) -> DataFrame:
     """Percent of done tasks by project (project_id, done boolean), one decimal."""
     return tasks.groupBy("project_id").agg(F.count("*").alias("total"), F.count_if("done").alias("done")).withColumn("percent", F.round(100.0 * F.col("done") / F.col("total"), 1))
+
+
+def output_status(projects: DataFrame, outputs: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Whether all required outputs (project_id, output) of each project are there: (project_id, status, progress, outputs).
+
+    COMPLETED and 100 or PROCESSING and 0, with the required ones found, in order of name; without any required nothing is complete.
+    """
+    own = outputs.where(F.col("output").isin(*required)).groupBy("project_id").agg(F.array_sort(F.collect_set("output")).alias("found"))
+    both = projects.select("project_id").join(own, "project_id", "left").withColumn("outputs", F.coalesce("found", F.array().cast("array<string>")))
+    ready = (F.size("outputs") == len(set(required))) & F.lit(bool(required))
+    return both.select("project_id", F.when(ready, "COMPLETED").otherwise("PROCESSING").alias("status"), F.when(ready, 100.0).otherwise(0.0).alias("progress"), "outputs")
