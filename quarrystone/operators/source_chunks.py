@@ -58,8 +58,19 @@ def clean_jcl(text: Column) -> Column:
 
 
 def clean_pli(text: Column) -> Column:
-    plain = F.regexp_replace(without_sequence(text, 6, blank_counts=False), r"(?s)/\*.*?\*/", "")
-    return F.btrim(F.regexp_replace(plain, r"\n\s*\n", "\n"))
+    """Without sequence numbers and the blank after them, where most lines have one; a comment leaves a space."""
+    plain = F.when(has_sequence(text, 6, blank_counts=False), F.regexp_replace(text, r"(?m)^[0-9]{6} (?=[^\n]{2})", "")).otherwise(text)
+    return _squeezed(F.regexp_replace(plain, r"(?s)/\*.*?\*/", " "))
+
+
+def clean_include(text: Column) -> Column:
+    """An included PL/I member: a comment leaves a space, sequence columns stay."""
+    return _squeezed(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "))
+
+
+def _squeezed(text: Column) -> Column:
+    """Without blank lines and without white space at either end."""
+    return F.btrim(F.regexp_replace(text, r"\n\s*\n", "\n"), F.lit(" \t\n\r\f\u000b"))
 
 
 def clean_assembler(text: Column) -> Column:
@@ -181,7 +192,7 @@ CUTTERS: dict[Callable[[DataFrame], DataFrame], Sequence[str]] = {
     cobol: ("cbl", "cob", "cobol"),
     lambda f: whole(f, clean_cobol, "copybook"): ("cpy", "copy"),
     pli: ("pli", "pl1"),
-    lambda f: whole(f, clean_pli, "include"): ("inc", "mac"),
+    lambda f: whole(f, clean_include, "include"): ("inc", "mac"),
     lambda f: whole(f, clean_jcl, "job"): ("jcl", "proc"),
     schedule: ("ca7", "ljob", "job"),
     lambda f: whole(f, clean_rexx, "script"): ("rexx", "rex"),

@@ -6,13 +6,14 @@ import pytest
 from conftest import SF, assert_same
 from pyspark.sql import functions as F
 
-from quarrystone.operators import graph, sections, vectors
+from quarrystone.operators import graph, search, sections, source_chunks, vectors
 from quarrystone.plans import catalogue
+from quarrystone.plans import composed_tables as C
 from quarrystone.plans import written_tables as W
 from quarrystone.sources import files, projects, results, store
 from quarrystone.streaming import ingest
 
-WRITTEN = [n for n, f in catalogue.QUERIES.items() if f.__module__ == W.__name__]
+WRITTEN = [n for n, f in catalogue.QUERIES.items() if f.__module__ in (C.__name__, W.__name__)]
 
 
 @pytest.mark.parametrize("name", WRITTEN)
@@ -185,3 +186,22 @@ def test_compaction(spark, tmp_path):
     assert now(base) == now() == [(1, 6, "new"), (2, 1, "tie"), (3, 0, "c")]
     ingest.compact(spark, target, ["k"], "ts", base)
     assert now(base) == now()
+
+
+def test_containing_takes_rare_words_and_blocks(spark):
+    texts = [(1, "a the b of the c"), (2, "the the the"), (None, "x the b of y"), (4, None), (5, ""), (5, "q the b of z"), (6, "tab\tthe b of\nline")]
+    items = [(1, "the b of"), (2, "x the b of y"), (3, "the"), (None, "the the"), (4, "none of these"), (5, ""), (6, None), (7, "the b of"), (8, "b of\nline")]
+    t, i = spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(items, "i int, text string")
+    want = {(a, b) for a, x in items for b, y in texts if x is not None and y is not None and x in y}
+    for kw in ({}, {"block": 1}, {"block": 1, "most_broadcast": 0}):
+        assert {tuple(r) for r in search.containing(i, t, "i", "t", **kw).collect()} == want
+    assert search.containing(i.limit(0), t, "i", "t").count() == 0 and search.containing(i, t.limit(0), "i", "t").count() == 0
+
+
+def test_clean_pli(spark):
+    rows = [("s", "000100 A/*x*/B;\n000200 C = 1;\n000300 \n000400 END;\n"), ("p", "\n A;/* 1\n2 */\n\n\tB;\n\n"), ("i", "000100 A;\n X = 12345;")]
+    df = spark.createDataFrame(rows, "k string, text string")
+    got = {r["k"]: (r["c"], r["i"]) for r in df.select("k", source_chunks.clean_pli(F.col("text")).alias("c"), source_chunks.clean_include(F.col("text")).alias("i")).collect()}
+    assert got["s"] == ("A B;\nC = 1;\n000300 \nEND;", "000100 A B;\n000200 C = 1;\n000300 \n000400 END;")
+    assert got["p"] == ("A; \n\tB;",) * 2
+    assert got["i"] == ("000100 A;\n X = 12345;",) * 2  # half of the lines have no number
