@@ -3,6 +3,9 @@
 Rules give spans of lines; the lines outside all spans come out of one window over a
 file's spans and lines, ordered by place, with the running maximum of the spans' ends.
 A type without a parser, or whose parser fails, costs only its own files.
+
+Scripts, schedules, declarations and PL/I include members have a status only: any line of
+a script may be a command, and the others are looked through for what they hold.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import first_match, located
-from quarrystone.operators.mainframe import assembler_statements, cobol_lines
+from quarrystone.functions.text import contained, extract_all, first_match, located
+from quarrystone.operators.mainframe import PARAMETER_PATTERNS, SERVICE_VERBS, UTILITIES, assembler_statements, cobol_lines
 from quarrystone.operators.statements import copybooks
 from quarrystone.sources.files import lines
 
@@ -35,6 +38,16 @@ COBOL_RULES = (
     r"(?im)^[ ]*[A-Z0-9][A-Z0-9-]*(?:[ ]+(?:DIVISION|SECTION)[^.\n]*)?[ ]*\.",
     r"(?is)\bEXEC\s.*?END-EXEC\.?",
 )
+# Words that begin a statement of PL/I.
+PLI_VERBS = (
+    "ALLOCATE", "BEGIN", "CALL", "CLOSE", "DCL", "DECLARE", "DEFAULT", "DEFINE", "DELAY", "DELETE", "DISPLAY", "DO", "ELSE", "END", "ENTRY", "EXEC", "EXIT", "FETCH", "FLUSH", "FORMAT", "FREE", "GET", "GO", "GOTO", "IF",
+    "ITERATE", "LEAVE", "LOCATE", "ON", "OPEN", "OTHER", "OTHERWISE", "PACKAGE", "PROC", "PROCEDURE", "PUT", "READ", "RELEASE", "RESIGNAL", "RETURN", "REVERT", "REWRITE", "SELECT", "SIGNAL", "STOP", "THEN", "UNLOCK", "WAIT",
+    "WHEN", "WRITE",
+)
+_PLI_PIECE = r"(?s)/\*.*?(?:\*/|\z)|'[^']*+'?|\"[^\"]*+\"?|[^/'\"]++|/"
+_PLI_NAME = r"[\w$@#]++(?:\s*+\((?:[^();]++|\((?:[^();]++|\([^();]*+\))*+\))*+\))?"
+_PLI_ASSIGNED = rf"{_PLI_NAME}(?:\s*+(?:\.|->|,)\s*+{_PLI_NAME})*+\s*+(?:\*\*|\|\||[-+*/|&])?="
+PLI_RULE = rf"(?i)\u0003(?:{_PLI_NAME}\s*+:\s*+)*+(?:(?:{'|'.join(PLI_VERBS)})(?![\w$@#])|%|\+\+INCLUDE\b|\*PROCESS\b|{_PLI_ASSIGNED}|(?=;))[^;]*+;"
 ASSEMBLER_RULE = r"(?i)^([A-Z0-9_@#$.&]+\s+)?[A-Z@#$][A-Z0-9@#$]*(\s.*)?$"
 
 
@@ -52,6 +65,7 @@ class Language:
 
     ``code`` gives the lines that a rule should match, ``spans`` what the rules matched, ``warnings``
     (filename, line, message), ``fatal`` a message for a file that can't be parsed, ``most_bytes`` its largest size.
+    ``empty`` says whether a blank file is a fatal error, a warning or nothing of note (null).
     """
 
     code: Callable[[DataFrame], DataFrame]
@@ -60,6 +74,7 @@ class Language:
     warnings: Callable[[DataFrame], DataFrame] | None = None
     fatal: Callable[[], Column] | None = None
     most_bytes: int | None = None
+    empty: str | None = None
 
 
 def _cobol_code(files: DataFrame) -> DataFrame:
@@ -106,23 +121,78 @@ def _copybook_warnings(files: DataFrame) -> DataFrame:
     return copybooks(files)["warnings"].select("filename", F.col("line_no").alias("line"), F.col("warning").alias("message"))
 
 
+def _pli_pieces(files: DataFrame) -> DataFrame:
+    """Each text as comments, quoted strings and what lies between them."""
+    return files.select("filename", "text", extract_all(F.translate("text", "\u0003", " "), _PLI_PIECE, 0).alias("pieces"))
+
+
+def _pli_masked(pieces: str) -> Column:
+    """The text without comments, and without semicolons, colons and equals signs in strings; line breaks stay."""
+    quoted = lambda p: F.startswith(p, F.lit("'")) | F.startswith(p, F.lit('"'))
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("/*")), F.regexp_replace(p, r"[^\n]+", " ")).when(quoted(p), F.translate(p, ";:=", "___")).otherwise(p)), "")
+
+
+def _pli_code(files: DataFrame) -> DataFrame:
+    plain = F.split(_pli_masked("pieces"), "\n").alias("plain")
+    both = _pli_pieces(files).select("filename", F.posexplode(F.arrays_zip(plain, F.split("text", "\n").alias("content"))).alias("at", "x"))
+    return both.where(F.btrim("x.plain", F.lit(" \t\r")) != "").select("filename", (F.col("at") + 1).alias("line"), F.btrim("x.content", F.lit(" \t\r")).alias("content"))
+
+
+def _pli_spans(files: DataFrame) -> DataFrame:
+    marked = F.regexp_replace(_pli_masked("pieces"), r"(\A\s*+|;\s*+)(?=\S)", "$1\u0003")
+    src = _pli_pieces(files).select("filename", marked.alias("s"), F.sequence(F.lit(1), F.size(F.split("text", "\n"))).alias("numbers"))
+    return src.select("filename", F.explode(located("s", "numbers", PLI_RULE)).alias("m")).select("filename", "m.line", "m.last_line")
+
+
+def _pli_warnings(files: DataFrame) -> DataFrame:
+    """The comment or string that has no end, with the line on which it begins."""
+    last = _pli_pieces(files).select("filename", "text", F.try_element_at("pieces", F.lit(-1)).alias("p"))
+    size = F.char_length("p")
+    open_quote = lambda q: F.startswith("p", F.lit(q)) & ((size < 2) | ~F.endswith("p", F.lit(q)))
+    message = F.when(F.startswith("p", F.lit("/*")) & ((size < 4) | ~F.endswith("p", F.lit("*/"))), "comment without an end").when(open_quote("'") | open_quote('"'), "string without an end")
+    line = F.size(F.split("text", "\n")) - F.size(F.split("p", "\n")) + 1
+    return last.select("filename", line.alias("line"), message.alias("message")).where("message is not null")
+
+
+def _member_code(files: DataFrame) -> DataFrame:
+    own = lines(files, "filename").select("filename", F.col("line_no").alias("line"), F.btrim("text", F.lit(" \t\r")).alias("content"))
+    return own.where("content <> '' and content not like '*%'")
+
+
+def _member_spans(files: DataFrame) -> DataFrame:
+    """Lines that hold anything a member is looked through for."""
+    upper = ("used", "executed", "job", "procedure")
+    tests = [F.upper("content").rlike(p) if name in upper else F.col("content").rlike(p) for name, p in PARAMETER_PATTERNS.items()]
+    found = reduce(Column.__or__, tests) | F.col("content").rlike(SERVICE_VERBS) | (F.size(contained("content", UTILITIES)) > 0)
+    return _member_code(files).where(found).select("filename", "line", F.col("line").alias("last_line"))
+
+
 def _none(files: DataFrame) -> DataFrame:
     return files.where("false").select("filename", F.lit(0).alias("line"), F.lit(0).alias("last_line"), F.lit("").alias("content"))
 
 
 LANGUAGES = {
-    "cobol": Language(_cobol_code, _cobol_spans, "No statement recognised", fatal=lambda: F.when(first_match("text", r"(?i)(PROGRAM-ID)\.").isNull(), F.lit("no PROGRAM-ID")), most_bytes=50 << 20),
-    "copybook": Language(_none, _none, "", warnings=_copybook_warnings, most_bytes=10 << 20),
+    "cobol": Language(_cobol_code, _cobol_spans, "No statement recognised", fatal=lambda: F.when(first_match("text", r"(?i)(PROGRAM-ID)\.").isNull(), F.lit("no PROGRAM-ID")), most_bytes=50 << 20, empty="fatal"),
+    "copybook": Language(_none, _none, "", warnings=_copybook_warnings, most_bytes=10 << 20, empty="warning"),
     "jcl": Language(_jcl_code, _jcl_spans, "Unknown operation", warnings=_jcl_warnings),
     "assembly": Language(_assembler_code, _assembler_spans, "No instruction recognised"),
+    "pli": Language(_pli_code, _pli_spans, "No statement recognised", warnings=_pli_warnings),
+    "ctl": Language(_member_code, _member_spans, "Nothing recognised"),
+    **{kind: Language(_none, _none, "") for kind in ("inc", "dclgen", "rexx", "ca7")},
 }
 
 _ERRORS = ("filename", "file_type", "error_type", "message", "line", "content")
 
 
+def _blank() -> Column:
+    return F.btrim("text", F.lit(" \t\r\n")) == ""
+
+
 def _fatal(files: DataFrame, language: Language) -> Column:
     """Why a file can't be parsed; null for one that can."""
-    out = F.when(F.col("text").isNull(), F.lit("not decoded")).when(F.btrim("text", F.lit(" \t\n")) == "", F.lit("empty file"))
+    out = F.when(F.col("text").isNull(), F.lit("not decoded"))
+    if language.empty == "fatal":
+        out = out.when(_blank(), F.lit("empty file"))
     if language.most_bytes:
         out = out.when(F.octet_length("text") > language.most_bytes, F.concat(F.lit("larger than "), F.lit(str(language.most_bytes >> 20)), F.lit(" MB")))
     return F.coalesce(out, language.fatal()) if language.fatal else out
@@ -137,6 +207,8 @@ def _of_type(files: DataFrame, kind: str, language: Language) -> DataFrame:
     found = [fatal, left]
     if language.warnings:
         found.append(language.warnings(good).select("filename", F.lit("warning").alias("error_type"), "message", F.col("line").cast("int"), null("string").alias("content")))
+    if language.empty == "warning":
+        found.append(good.where(_blank()).select("filename", F.lit("warning").alias("error_type"), F.lit("File is empty").alias("message"), null("int").alias("line"), null("string").alias("content")))
     return reduce(DataFrame.unionByName, found).select("filename", F.lit(kind).alias("file_type"), *_ERRORS[2:])
 
 

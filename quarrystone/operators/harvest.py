@@ -7,7 +7,7 @@ JSON gives nothing at all.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Where summaries keep what is gathered, words that make a dataset a report or an interface, and how much of it a prompt or table takes.
@@ -15,6 +15,11 @@ RULES, GLOSSARY, DATASETS = "$.business_overview.scope", "$.business_overview.gl
 REPORT_WORDS = ("SYSOUT", ".RPT", ".LIST")
 INTERFACE_USES = ("OLD", "NEW")
 PASSING = "TEMP"
+NARRATIVE, PURPOSE, PROCESSES, ACRONYMS, TERMS = "$.executive_narrative", "$.business_purpose", "$.key_business_processes", "$.harvested_acronyms", "$.glossary"
+NO_OVERVIEW = "Overview unavailable."
+NO_PURPOSE = "The system facilitates core data processing."
+PROCESS_LEAD = "The system encompasses the following core business processes:"
+NO_PROCESSES = ("The system is comprised of ", " processing modules handling batch transactions.")
 MOST_TERMS, MOST_RULES, MOST_ENTRIES = 30, 50, 50
 
 
@@ -63,3 +68,32 @@ def prompt_context(found: dict[str, DataFrame]) -> DataFrame:
 def data_dictionary(fields: DataFrame, keys: tuple[str, ...], most: int = MOST_ENTRIES) -> DataFrame:
     """The first entries by their keys."""
     return fields.orderBy(*keys).limit(most)
+
+
+def introduction(systems: DataFrame, key: str = "project") -> DataFrame:
+    """The introduction that a report gives of each system, in order: (key, section, position, heading, text).
+
+    ``systems`` are (key, body, n_modules), the body being the summary of a system as JSON.  What a
+    summary lacks is replaced by a set sentence; without processes the modules are counted.  Members of a
+    list that aren't objects are left out.  A null body, or one that is no JSON, is a summary that lacks everything.
+    """
+    body = F.try_parse_json("body")
+    text = lambda path: F.try_variant_get(body, path, "string")
+    listed = lambda path: F.coalesce(F.try_variant_get(body, path, "array<variant>"), F.array().cast("array<variant>"))
+    own = systems.select(key, "n_modules", text(NARRATIVE).alias("narrative"), text(PURPOSE).alias("purpose"), listed(PROCESSES).alias("processes"), listed(ACRONYMS).alias("acronyms"), listed(TERMS).alias("terms"))
+    entry = lambda heading, text: F.struct(heading.cast("string").alias("heading"), text.cast("string").alias("text"))
+    none = F.lit(None)
+    paragraphs = F.filter(F.transform(F.split("narrative", "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+    overview = F.when(F.col("narrative") != "", F.transform(paragraphs, lambda x: entry(none, x))).otherwise(F.array(entry(none, F.coalesce("purpose", F.lit(NO_OVERVIEW)))))
+
+    def members(items: str, heading: str, value: str, default: str | None) -> Column:
+        objects = F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+        get = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
+        return F.transform(objects, lambda x: entry(F.coalesce(get(x, heading), F.lit(default or "")), F.coalesce(get(x, value), F.lit(""))))
+
+    counted = F.concat(F.lit(NO_PROCESSES[0]), F.col("n_modules").cast("string"), F.lit(NO_PROCESSES[1]))
+    processes = F.when(F.size("processes") > 0, F.concat(F.array(entry(none, F.lit(PROCESS_LEAD))), members("processes", "process_name", "description", "Process"))).otherwise(F.array(entry(none, counted)))
+    glossary = F.slice(F.when(F.size("acronyms") > 0, members("acronyms", "term", "definition", None)).otherwise(members("terms", "term", "definition", None)), 1, MOST_TERMS)
+    sections = (("overview", overview), ("purpose", F.array(entry(none, F.coalesce("purpose", F.lit(NO_PURPOSE))))), ("processes", processes), ("glossary", glossary))
+    told = F.flatten(F.array(*(F.transform(rows, lambda x, i: F.struct(F.lit(name).alias("section"), (i + 1).alias("position"), x["heading"].alias("heading"), x["text"].alias("text"))) for name, rows in sections)))
+    return own.select(key, F.explode(told).alias("r")).select(key, "r.*")
