@@ -65,12 +65,12 @@ class Language:
 
     ``code`` gives the lines that a rule should match, ``spans`` what the rules matched, ``warnings``
     (filename, line, message), ``fatal`` a message for a file that can't be parsed, ``most_bytes`` its largest size.
-    ``empty`` says whether a blank file is a fatal error, a warning or nothing of note (null).
+    Without ``code`` and ``spans`` a file has a status and warnings only; ``empty`` says whether a blank file is a fatal error, a warning or nothing of note (null).
     """
 
-    code: Callable[[DataFrame], DataFrame]
-    spans: Callable[[DataFrame], DataFrame]
-    message: str
+    code: Callable[[DataFrame], DataFrame] | None = None
+    spans: Callable[[DataFrame], DataFrame] | None = None
+    message: str = ""
     warnings: Callable[[DataFrame], DataFrame] | None = None
     fatal: Callable[[], Column] | None = None
     most_bytes: int | None = None
@@ -167,18 +167,14 @@ def _member_spans(files: DataFrame) -> DataFrame:
     return _member_code(files).where(found).select("filename", "line", F.col("line").alias("last_line"))
 
 
-def _none(files: DataFrame) -> DataFrame:
-    return files.where("false").select("filename", F.lit(0).alias("line"), F.lit(0).alias("last_line"), F.lit("").alias("content"))
-
-
 LANGUAGES = {
     "cobol": Language(_cobol_code, _cobol_spans, "No statement recognised", fatal=lambda: F.when(first_match("text", r"(?i)(PROGRAM-ID)\.").isNull(), F.lit("no PROGRAM-ID")), most_bytes=50 << 20, empty="fatal"),
-    "copybook": Language(_none, _none, "", warnings=_copybook_warnings, most_bytes=10 << 20, empty="warning"),
+    "copybook": Language(warnings=_copybook_warnings, most_bytes=10 << 20, empty="warning"),
     "jcl": Language(_jcl_code, _jcl_spans, "Unknown operation", warnings=_jcl_warnings),
     "assembly": Language(_assembler_code, _assembler_spans, "No instruction recognised"),
     "pli": Language(_pli_code, _pli_spans, "No statement recognised", warnings=_pli_warnings),
     "ctl": Language(_member_code, _member_spans, "Nothing recognised"),
-    **{kind: Language(_none, _none, "") for kind in ("inc", "dclgen", "rexx", "ca7")},
+    **{kind: Language() for kind in ("inc", "dclgen", "rexx", "ca7")},
 }
 
 _ERRORS = ("filename", "file_type", "error_type", "message", "line", "content")
@@ -203,8 +199,10 @@ def _of_type(files: DataFrame, kind: str, language: Language) -> DataFrame:
     null = lambda t: F.lit(None).cast(t)
     fatal = judged.where("why is not null").select("filename", F.lit("fatal").alias("error_type"), F.col("why").alias("message"), null("int").alias("line"), null("string").alias("content"))
     good = judged.where("why is null").select("filename", "text")
-    left = unmatched(language.code(good), language.spans(good)).select("filename", F.lit("unrecognized").alias("error_type"), F.lit(language.message).alias("message"), "line", F.left("content", F.lit(CONTENT)).alias("content"))
-    found = [fatal, left]
+    found = [fatal]
+    if language.code and language.spans:
+        left = unmatched(language.code(good), language.spans(good))
+        found.append(left.select("filename", F.lit("unrecognized").alias("error_type"), F.lit(language.message).alias("message"), "line", F.left("content", F.lit(CONTENT)).alias("content")))
     if language.warnings:
         found.append(language.warnings(good).select("filename", F.lit("warning").alias("error_type"), "message", F.col("line").cast("int"), null("string").alias("content")))
     if language.empty == "warning":

@@ -17,7 +17,7 @@ def test_diagnosed_queries(spark, duck, name):
 
 def _errors(spark, text, kind="pli"):
     files = spark.createDataFrame([("f", kind, text)], "filename string, file_type string, text string")
-    return [(r["error_type"], r["message"], r["line"], r["content"]) for r in diagnostics.parse_errors(files).orderBy("line").collect()]
+    return [(r["error_type"], r["message"], r["line"], r["content"]) for r in diagnostics.parse_errors(files, kinds=[kind]).orderBy("line").collect()]
 
 
 def test_statements_of_pli(spark):
