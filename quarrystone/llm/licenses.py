@@ -3,9 +3,9 @@
 Templates are winnowed once: of every ``WINNOW`` neighbouring hashes of three
 words, the least is kept, in an index of hash to (template, position).  Texts are
 winnowed the same way, so a run of ``SHINGLE + WINNOW - 1`` equal words is always
-seen.  The part of a text that any alignment through a hit can reach is then aligned
-with the template: every local alignment in it, without a band, counts matched words,
-tolerates words that are missing, added or changed, and gives the span.
+seen.  Around the diagonals of the hits, text and template are then aligned in a band, which is
+widened until no alignment outside of it can be better: local alignments count matched words,
+tolerate words that are missing, added or changed, and give the spans.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, in lower
 case, so punctuation and line breaks don't matter.
@@ -33,6 +33,7 @@ from quarrystone.llm.textblocks import Words, scan_words, window_hashes
 SHINGLE = 3
 WINNOW = 2
 COVERAGE = 0.8
+BAND = 16  # diagonals on either side of a hit's that are tried first; a quarter of the template if that is more
 MOST_TEMPLATE_WORDS = 1_000_000  # bound of what every task is given
 
 # The disclaimers of two families of licenses, and widely used license notices and texts.
@@ -156,54 +157,86 @@ class Index:
         self.places = [found[int(k)] for k in self.keys]
 
 
-def _best_alignments(text: np.ndarray, template: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """The best local alignment of the template from each word of the text: score, matched words, first and last+1 word."""
+def _bands(diagonals: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Ranges of diagonals, first and last, that lie within the width of a given one; they don't overlap."""
+    own = np.unique(diagonals)
+    cuts = np.flatnonzero(np.diff(own) > 2 * width) + 1
+    return [(int(part[0]) - width, int(part[-1]) + width) for part in np.split(own, cuts)]
+
+
+def _best_alignments(text: np.ndarray, template: np.ndarray, bands: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """The best local alignment within a band from each word of the text: score, matched words, first and last+1 word.
+
+    A cell is a diagonal of a band, which is the place in the text less that in the template; the bands are rolled
+    down the template side by side.  A word is added on the next diagonal, and missing on the one before.
+    """
     n = len(text)
-    at = np.arange(n, dtype=np.int32)
-    score, matched, first = np.zeros(n, np.int32), np.zeros(n, np.int32), at.copy()
-    best, best_matched, best_end = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-    for want in template:
-        equal = text == want
+    diagonal = np.concatenate([np.arange(a, b + 1) for a, b in bands])
+    at = np.arange(len(diagonal))
+    opens = np.zeros(len(at), bool)
+    opens[np.cumsum([0, *(b - a + 1 for a, b in bands[:-1])])] = True
+    closes = np.append(opens[1:], True)
+    apart = at + (np.cumsum(opens) - 1) * (2 * len(template) + 3)  # no path goes from one band into the next
+    score, matched, first = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), diagonal.copy()
+    best, best_matched, best_end = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for j, want in enumerate(template):
+        place = diagonal + j
+        inside = (place >= 0) & (place < n)
+        equal = inside & (text[np.where(inside, place, 0)] == want)
         # From the word before: matched or changed; a path of score 0 begins anew.
-        d_score, d_matched, d_first = np.zeros(n, np.int32), np.zeros(n, np.int32), at.copy()
-        d_score[1:], d_matched[1:] = score[:-1], matched[:-1]
-        d_first[1:] = np.where(score[:-1] > 0, first[:-1], at[1:])
-        d_score += np.where(equal, 2, -1)
-        d_matched += equal
-        missing = score - 1 > d_score
-        score, matched, first = np.where(missing, score - 1, d_score), np.where(missing, matched, d_matched), np.where(missing, first, d_first)
+        d_score, d_matched, d_first = score + np.where(equal, 2, -1), matched + equal, np.where(score > 0, first, place)
+        m_score = np.where(closes, 0, np.roll(score, -1)) - 1
+        missing = m_score > d_score
+        score, matched, first = np.where(missing, m_score, d_score), np.where(missing, np.roll(matched, -1), d_matched), np.where(missing, np.roll(first, -1), d_first)
         # Added words: each cell is reached from the nearest that is best with the words between taken off.
-        level = score + at
+        level = score + apart
         top = np.maximum.accumulate(level)
         source = np.maximum.accumulate(np.where(level == top, at, 0))
         score, matched, first = score[source] - (at - source), matched[source], first[source]
         gone = score <= 0
-        score[gone], matched[gone], first[gone] = 0, 0, at[gone]
+        score[gone], matched[gone], first[gone] = 0, 0, place[gone]
         ends = np.flatnonzero(equal & (source == at) & (score > 0))
         ends = ends[score[ends] > best[first[ends]]]
         ends = ends[np.argsort(score[ends], kind="stable")]  # of several ends from one word the last, so the best, stays
-        best[first[ends]], best_matched[first[ends]], best_end[first[ends]] = score[ends], matched[ends], ends + 1
+        best[first[ends]], best_matched[first[ends]], best_end[first[ends]] = score[ends], matched[ends], place[ends] + 1
     begins = np.flatnonzero(best)
     return list(zip(best[begins].tolist(), best_matched[begins].tolist(), begins.tolist(), best_end[begins].tolist(), strict=True))
 
 
-def align(text: np.ndarray, template: np.ndarray, places: list[int], coverage: float = COVERAGE) -> list[tuple[int, int, int]]:
+def _common(text: np.ndarray, words: np.ndarray, counts: np.ndarray) -> int:
+    """How many of the template's words, as often as it has them, occur in the text: no alignment matches more."""
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    found = np.bincount(at[words[at] == text], minlength=len(words))
+    return int(np.minimum(found, counts).sum())
+
+
+def align(text: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]], coverage: float = COVERAGE, band: int = BAND) -> list[tuple[int, int, int]]:
     """Alignments that cover enough of the template, none over another: matched words, first and last+1 word of the text, in order.
 
     A match scores 2, a changed, missing or added word costs 1, so pieces are joined
-    where both score more than what lies between them costs.  ``places`` are words of
-    the text with a hit; what is left beside an alignment is aligned again as long as
-    a hit in it isn't covered.
+    where both score more than what lies between them costs.  ``hits`` are (word, diagonal), in
+    order; what is left beside an alignment is aligned again as long as a hit in it isn't covered.
+
+    The alignment is banded: only diagonals within a width of a hit's are tried.  One that leaves the band
+    has more added and missing words than the width, so it scores less than twice the template's words less the
+    width.  What scores as much in the band is therefore the best of all and is taken; else the band is widened, until
+    it takes in every diagonal that an alignment through a hit can reach.
     """
     least = coverage * len(template)
+    widest = 2 * len(template)
+    words, counts = np.unique(template, return_counts=True)
     found: list[tuple[int, int, int]] = []
-    open_ = [(0, len(text))]
+    open_ = [(0, len(text), min(max(band, len(template) // 4), widest))]
     while open_:
-        a, b = open_.pop()
-        if b - a < least or bisect_left(places, a) == bisect_left(places, b):
+        a, b, width = open_.pop()
+        inside = hits[bisect_left(hits, (a,)) : bisect_left(hits, (b,))]
+        if not inside or b - a < least or _common(text[a:b], words, counts) < least:
             continue
+        bands = _bands(np.array([d - a for _, d in inside]), width)
         taken: list[tuple[int, int]] = []
-        for _, matched, begin, end in sorted(_best_alignments(text[a:b], template), key=lambda x: (-x[0], x[2])):
+        for score, matched, begin, end in sorted(_best_alignments(text[a:b], template, bands), key=lambda x: (-x[0], x[2])):
+            if score < widest - width:
+                break
             if matched < least:
                 continue
             k = bisect_left(taken, (begin, end))
@@ -213,23 +246,25 @@ def align(text: np.ndarray, template: np.ndarray, places: list[int], coverage: f
             found.append((matched, a + begin, a + end))
         edges = [0, *(x for span in taken for x in span), b - a]
         if taken:
-            open_ += [(a + x, a + y) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+            open_ += [(a + x, a + y, width) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+        elif width < widest:
+            open_.append((a, b, min(4 * width, widest)))
     return sorted(found, key=lambda x: x[1])
 
 
-def _regions(places: list[tuple[int, int]], n: int, template: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Parts of a text of n words that hold every alignment through a hit (word, diagonal), with the hits' words.
+def _regions(places: list[tuple[int, int]], n: int, template: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Parts of a text of n words that hold every alignment through a hit (word, diagonal), with the hits in them.
 
     An alignment's added words are fewer than twice the template's, or its score would not be above 0.
     """
-    spans = sorted((max(0, d - 2 * template), min(n, d + 3 * template), w) for w, d in places)
-    lo, hi, inside = spans[0][0], spans[0][1], [spans[0][2]]
-    for a, b, w in spans[1:]:
+    spans = sorted((max(0, d - 2 * template), min(n, d + 3 * template), w, d) for w, d in places)
+    lo, hi, inside = spans[0][0], spans[0][1], [spans[0][2:]]
+    for a, b, *hit in spans[1:]:
         if a > hi:
             yield lo, hi, sorted(inside)
             lo, inside = a, []
         hi = max(hi, b)
-        inside.append(w)
+        inside.append(tuple(hit))
     yield lo, hi, sorted(inside)
 
 
@@ -251,7 +286,7 @@ def _matches(words: Words, index: Index) -> Iterator[tuple[int, str, int, int, f
     for (row, template), places in sorted(hits.items()):
         text, want = words.hash[starts[row] : words.row_end[row]], index.words[template]
         for lo, hi, inside in _regions(places, len(text), len(want)):
-            for matched, begin, end in align(text[lo:hi], want, [w - lo for w in inside]):
+            for matched, begin, end in align(text[lo:hi], want, [(w - lo, d - lo) for w, d in inside]):
                 b, e = int(words.start[starts[row] + lo + begin]), int(words.end[starts[row] + lo + end - 1])
                 yield row, index.names[template], matched, len(want), matched / len(want), b, e
 

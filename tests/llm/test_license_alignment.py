@@ -68,7 +68,7 @@ def test_best_alignments_against_the_plain_recurrence():
         want = rng.integers(0, 6, rng.integers(3, 9))
         text = rng.integers(0, 6, rng.integers(3, 16))
         brute = _brute(text.tolist(), want.tolist())
-        found = licenses._best_alignments(text.astype(np.uint64), want.astype(np.uint64))
+        found = licenses._best_alignments(text.astype(np.uint64), want.astype(np.uint64), [(-len(want), len(text))])
         assert max(x[0] for x in found) == max(x[0] for x in brute.values()) if found else not any(x[0] for x in brute.values())
         for score, matched, begin, end in found:
             assert 0 < score <= brute[begin][0] and matched <= len(want) and begin < end
@@ -78,3 +78,32 @@ def test_whole_texts(spark):
     for name in ("MIT text", "BSD-3-Clause text", "ISC text", "Zlib text", "Unlicense text"):
         found = _found(spark, "intro words\n" + licenses.TEMPLATES[name] + "\nand more")
         assert (name, 1.0) in [(n, c) for n, c, _ in found], name
+
+
+def test_bands_against_all_diagonals():
+    """Notices with words changed, added in one place or taken away, between words of their own kind."""
+    rng = np.random.default_rng(5)
+    n_found = n_wide = 0
+    for _ in range(300):
+        size = int(rng.integers(8, 60))
+        want = rng.integers(0, 40, size).astype(np.uint64)
+        parts = [rng.integers(0, 50, rng.integers(0, 40)).astype(np.uint64)]
+        for _ in range(int(rng.integers(1, 4))):
+            copy = want.copy()
+            copy[rng.random(size) < rng.choice([0, 0.1])] = 99
+            cut = int(rng.integers(0, size))
+            added = rng.integers(0, 60, rng.choice([0, 3, size // 2, size])).astype(np.uint64)
+            parts += [copy[:cut], added, copy[cut + int(rng.choice([0, size // 8])) :], rng.integers(0, 50, rng.integers(0, 40)).astype(np.uint64)]
+        text = np.concatenate(parts)
+        runs = {tuple(want[i : i + 3].tolist()): i for i in range(size - 2)}
+        hits = [(w, w - runs[key]) for w in range(len(text) - 2) if (key := tuple(text[w : w + 3].tolist())) in runs]
+        whole = licenses.align(text, want, hits, band=2 * size)
+        assert licenses.align(text, want, hits, band=1) == licenses.align(text, want, hits) == whole
+        n_found += len(whole)
+        n_wide += sum(end - begin > 1.4 * size for _, begin, end in whole)
+    assert n_found > 300 and n_wide > 20
+
+
+def test_bands_do_not_touch():
+    assert licenses._bands(np.array([30, 5, 6, 30, 10]), 2) == [(3, 12), (28, 32)]
+    assert licenses._bands(np.array([0, 5]), 2) == [(-2, 2), (3, 7)] and licenses._bands(np.array([0, 4]), 2) == [(-2, 6)]
