@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.tables import two_columns
@@ -40,6 +40,7 @@ LANES = 128
 SHINGLE = 3
 RANGE_ROWS = 1000
 MOST_CUTS = 4096  # bound of the quantiles that one aggregate finds
+SAMPLED_IDS = 1 << 20  # ids from which one aggregate learns where to cut, about
 MOST_RANGES = 1 << 21  # bound of the starts that every task is given: 16 MB
 FLUSH_ROWS, FLUSH_CHARS = 500, 1 << 22
 
@@ -128,18 +129,24 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return src.mapInArrow(run, f"{id_col} {src.dtypes[0][1]}, fingerprint string")
 
 
-def range_starts(ids: DataFrame, ranges: int, most_cuts: int = MOST_CUTS) -> np.ndarray:
-    """First ids of about so many ranges of equal numbers of rows of (id), without nulls.
+def range_starts(ids: DataFrame, n_rows: int, ranges: int, most_cuts: int = MOST_CUTS, sampled: int = SAMPLED_IDS) -> np.ndarray:
+    """First ids of about so many ranges of equal numbers of rows of (id), which are ``n_rows``, without nulls.
 
     One aggregate cuts all ids; past ``most_cuts`` each range is cut again by an
-    aggregate of its own group, so that no task has to find all the quantiles.
+    aggregate of its own group, so that no task has to find all the quantiles.  Only where to cut
+    is learned from about ``sampled`` ids an aggregate, picked by their hash; every row is dealt, and rows of one id
+    make one range, however many they are.
     """
-    cuts = lambda n: F.percentile_approx("id", [i / n for i in range(n)], 100_000)
     coarse = min(ranges, most_cuts)
-    first = ids.agg(F.min("id").alias("low"), cuts(coarse).alias("p")).first()
+
+    def cuts(n: int, rows: int) -> Column:
+        picked = F.when(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sampled))) == 0, F.col("id"))
+        return F.percentile_approx(picked, [i / n for i in range(n)], 10 * most_cuts)
+
+    first = ids.agg(F.min("id").alias("low"), cuts(coarse, n_rows).alias("p")).first()
     if first["low"] is None:
         return np.zeros(0, np.int64)
-    starts = np.unique(np.array([first["low"], *first["p"]], np.int64))
+    starts = np.unique(np.array([first["low"], *(first["p"] or [])[1:]], np.int64))
     fine = min(most_cuts, -(-ranges // len(starts)))
     if fine > 1:
 
@@ -148,7 +155,7 @@ def range_starts(ids: DataFrame, ranges: int, most_cuts: int = MOST_CUTS) -> np.
                 part = np.searchsorted(starts, batch.column(0).to_numpy(zero_copy_only=False), side="right")
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0)], ["part", "id"])
 
-        again = ids.mapInArrow(place, "part int, id long").groupBy("part").agg(cuts(fine).alias("p")).select(F.explode("p").alias("id")).distinct()
+        again = ids.mapInArrow(place, "part int, id long").groupBy("part").agg(cuts(fine, n_rows // len(starts)).alias("p")).select(F.explode(F.slice("p", 2, most_cuts)).alias("id")).distinct()
         starts = np.union1d(starts, np.array([r["id"] for r in again.collect()], np.int64))
     return starts
 
@@ -157,7 +164,8 @@ def with_neighbours(df: DataFrame, id_col: str, text_col: str, range_rows: int =
     """Rows dealt by ranges of ids and sorted, each range followed by the next one's first row (``head``)."""
     src = two_columns(df.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
     ids = src.select(F.col(id_col).alias("id")).where("id is not null")
-    starts = range_starts(ids, int(min(MOST_RANGES, max(1, ids.count() // range_rows))), most_cuts)
+    n_rows = ids.count()
+    starts = range_starts(ids, n_rows, int(min(MOST_RANGES, max(1, n_rows // range_rows))), most_cuts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -50,11 +50,25 @@ def test_long_lists_are_ranked_in_cuts(spark):
 
 def test_ranges_found_in_two_steps(spark):
     ids = spark.range(0, 40_000, 4).selectExpr("id * id id").repartition(5)
-    one, two = fingerprint.range_starts(ids, 60), fingerprint.range_starts(ids, 60, most_cuts=8)
+    one, two = fingerprint.range_starts(ids, 10_000, 60), fingerprint.range_starts(ids, 10_000, 60, most_cuts=8)
     assert one[0] == two[0] == 0 and 50 <= len(one) <= 60 and 50 <= len(two) <= 72
     of = np.searchsorted(two, np.arange(0, 40_000, 4, dtype=np.int64) ** 2, side="right")
     assert np.bincount(of)[1:].max() < 3 * 10_000 / 60
-    assert len(fingerprint.range_starts(ids.limit(0), 60)) == 0
+    assert len(fingerprint.range_starts(ids.limit(0), 0, 60)) == 0
+
+
+def test_ranges_from_sampled_ids(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(0, 40_000, 4).selectExpr("id * id id").repartition(5)
+    starts = fingerprint.range_starts(ids, 10_000, 40, sampled=1000)
+    assert starts[0] == 0 and 30 <= len(starts) <= 40
+    of = np.searchsorted(starts, np.arange(0, 40_000, 4, dtype=np.int64) ** 2, side="right")
+    assert np.bincount(of)[1:].max() < 4 * 10_000 / 40
+    # A third of the rows have one id, and of few ids none may be picked: no row is lost for it.
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("a text").alias("text"))
+    few = fingerprint.range_starts(hot.selectExpr("doc_id id"), 3000, 30, most_cuts=4, sampled=1)
+    assert few[0] == 1 and len(few) <= 30
 
 
 def test_later_rules_are_not_computed(spark):
