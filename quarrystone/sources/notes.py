@@ -43,6 +43,21 @@ def read_notes(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return spark.read.schema(f"{NOTES[kind]}, noted_at timestamp").parquet(f"{root}/{kind}")
 
 
+def guide(spark: SparkSession, root: str, name: str, missing: str, title: str = "", empty: str | None = None) -> DataFrame:
+    """The text of a guide in a folder, under its title: one row (content).
+
+    Without such a file the row says what is ``missing``; a blank file says ``empty``, if that is given.
+    """
+    file = spark.read.format("binaryFile").option("pathGlobFilter", name).load(root)
+    if not file.inputFiles():  # files without bytes are listed, but give no row
+        return spark.range(1).select(F.lit(missing).alias("content"))
+    content = F.coalesce(F.max(F.decode("content", "UTF-8")), F.lit("")).alias("content")
+    told = F.concat(F.lit(f"=== {title} ===\n\n" if title else ""), "content")
+    if empty is not None:
+        told = F.when(F.btrim("content", F.lit(" \t\r\n")) == "", F.lit(empty)).otherwise(told)
+    return file.agg(content).select(told.alias("content"))
+
+
 def chain_steps(chains: DataFrame) -> DataFrame:
     """The steps of job chains, numbered from 1: (chain, n, job, description); a step without a job is Unknown."""
     one = chains.select("chain", F.posexplode("steps").alias("at", "s"))

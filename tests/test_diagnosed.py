@@ -6,6 +6,7 @@ from conftest import SF, assert_same
 from quarrystone.operators import diagnostics, harvest
 from quarrystone.plans import catalogue
 from quarrystone.plans import diagnosed_tables as D
+from quarrystone.sources import notes
 
 
 @pytest.mark.parametrize("name", [n for n, f in catalogue.QUERIES.items() if f.__module__ == D.__name__])
@@ -53,3 +54,11 @@ def test_introduction_of_odd_summaries(spark):
     assert got[1] == lacking(3) and got[2] == lacking(0)
     assert got[3] == [("purpose", 1, None, ""), ("processes", 1, None, harvest.PROCESS_LEAD)]
     assert [r for r in got[4] if r[0] == "glossary"] == [("glossary", i + 1, f"t{i}", "") for i in range(30)]
+
+
+def test_guides(spark, tmp_path):
+    (tmp_path / "style.md").write_text("# Näme\nit\n", encoding="utf-8")
+    (tmp_path / "blank.md").write_text("")
+    read = lambda name, **more: [r["content"] for r in notes.guide(spark, str(tmp_path), name, "none", **more).collect()]
+    assert read("style.md", title="Style") == ["=== Style ===\n\n# Näme\nit\n"] and read("style.md", empty="blank") == ["# Näme\nit\n"]
+    assert read("blank.md", empty="blank") == ["blank"] and read("blank.md") == [""] and read("other.md", empty="blank") == ["none"]
