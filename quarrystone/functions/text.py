@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def extract_all(text: Column | str, pattern: str, group: int = 1) -> Column:
     """All matches of one group, in order."""
     return F.regexp_extract_all(col(text), F.lit(pattern), F.lit(group))
@@ -30,7 +35,7 @@ def zipped(text: Column | str, pattern: str, *names: str) -> Column:
 
 def _marked_lines(marked: Column, mark: str) -> Column:
     """The index of the line of each mark, in order."""
-    count = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(mark), F.lit("")))
+    count = lambda x: F.when(F.contains(x, F.lit(mark)), F.char_length(x) - F.char_length(F.replace(x, F.lit(mark), F.lit("")))).otherwise(0)
     return F.flatten(F.transform(F.split(marked, "\n"), lambda x, i: F.array_repeat(i, count(x))))
 
 
@@ -41,12 +46,15 @@ def located(text: Column | str, numbers: Column | str, pattern: str, *names: str
     have been dropped or joined; lines joined to another belong to it.  Matches are marked
     in the text, and a line has as many of them as marks: no offset is counted.
     """
-    plain = F.translate(col(text), "\u0001\u0002", "  ")
-    marked = F.regexp_replace(plain, pattern, "\u0001$0\u0002")
-    first = F.transform(_marked_lines(marked, "\u0001"), lambda i: F.get(col(numbers), i))
     after = lambda i: F.get(col(numbers), i + 1) - 1
-    last = F.transform(_marked_lines(marked, "\u0002"), lambda i: F.coalesce(after(i), F.get(col(numbers), i)))
-    return F.arrays_zip(*(extract_all(plain, pattern, i + 1).alias(n) for i, n in enumerate(names)), first.alias("line"), last.alias("last_line"))
+
+    def found(plain: Column) -> Column:
+        first = lambda marked: F.transform(_marked_lines(marked, "\u0001"), lambda i: F.get(col(numbers), i))
+        last = lambda marked: F.transform(_marked_lines(marked, "\u0002"), lambda i: F.coalesce(after(i), F.get(col(numbers), i)))
+        groups = [extract_all(plain, pattern, i + 1).alias(n) for i, n in enumerate(names)]
+        return once(F.regexp_replace(plain, pattern, "\u0001$0\u0002"), lambda marked: F.arrays_zip(*groups, first(marked).alias("line"), last(marked).alias("last_line")))
+
+    return once(F.translate(col(text), "\u0001\u0002", "  "), found)
 
 
 def sorted_distinct(values: Column | str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import contained, extract_all, first_match, located
-from quarrystone.operators.mainframe import PARAMETER_PATTERNS, SERVICE_VERBS, UTILITIES, assembler_statements, cobol_lines
+from quarrystone.operators.mainframe import PARAMETER_PATTERNS, SERVICE_VERBS, UTILITIES, assembler_statements, cobol_code
 from quarrystone.operators.statements import copybooks
 from quarrystone.sources.files import lines
 
@@ -78,15 +78,13 @@ class Language:
 
 
 def _cobol_code(files: DataFrame) -> DataFrame:
-    src = files.select("filename", cobol_lines(F.col("text")).alias("src"))
-    own = src.select("filename", F.explode(F.arrays_zip(F.col("src.numbers").alias("line"), F.split("src.s", "\n").alias("content"))).alias("x"))
+    own = cobol_code(files).select("filename", F.explode(F.arrays_zip(F.col("numbers").alias("line"), F.split("s", "\n").alias("content"))).alias("x"))
     return own.select("filename", "x.line", F.btrim("x.content").alias("content")).where("content <> ''")
 
 
 def _cobol_spans(files: DataFrame) -> DataFrame:
-    src = files.select("filename", cobol_lines(F.col("text")).alias("src")).select("filename", "src.s", "src.numbers")
     found = F.concat(*(located("s", "numbers", rule) for rule in COBOL_RULES))
-    return src.select("filename", F.explode(found).alias("m")).select("filename", "m.line", "m.last_line")
+    return cobol_code(files).select("filename", F.explode(found).alias("m")).select("filename", "m.line", "m.last_line")
 
 
 def _jcl_code(files: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import extract_all, first_match, keep_first, located, zipped
-from quarrystone.operators.mainframe import cobol_lines, cobol_source, table_declarations
+from quarrystone.operators.mainframe import cobol_code, cobol_source, table_declarations
 from quarrystone.sources.files import lines
 
 _WORD = r"[A-Za-z][A-Za-z0-9_-]*"
@@ -23,16 +23,18 @@ def _optional_upper(c: Column | str) -> Column:
 
 def cobol_statements(files: DataFrame) -> dict[str, DataFrame]:
     """Statements beyond calls and data access, by kind, with their first line; ``seq`` counts those of a file and kind from 0."""
-    src = files.select("filename", cobol_lines(F.col("text")).alias("src")).select("filename", "src.s", "src.numbers")
+    src = cobol_code(files)
 
     def each(pattern: str, *names: str) -> DataFrame:
         return src.select("filename", F.posexplode(located("s", "numbers", pattern, *names)).alias("seq", "m")).withColumn("line", F.col("m.line"))
 
     cics = each(rf"(?is)EXEC\s+CICS\s+([A-Za-z]+)(.*?)END-EXEC", "verb", "rest")
     xml = each(rf"(?is)XML\s+PARSE\s+({_WORD})(.*?)END-XML", "document", "rest")
-    generated = each(rf"(?i)JSON\s+GENERATE\s+({_WORD})\s+FROM\s+({_WORD})", "target", "source")
-    parsed = each(rf"(?i)JSON\s+PARSE\s+({_WORD})\s+INTO\s+({_WORD})", "source", "target")
-    json = [x.select("filename", "seq", F.lit(kind).alias("type"), F.upper("m.source").alias("source"), F.upper("m.target").alias("target"), "line") for kind, x in (("GENERATE", generated), ("PARSE", parsed))]
+    # Both kinds in one pass over the texts.
+    of_kind = lambda kind: lambda m, seq: F.struct(seq.alias("seq"), F.lit(kind).alias("type"), F.upper(m["source"]).alias("source"), F.upper(m["target"]).alias("target"), m["line"].alias("line"))
+    written = F.transform(located("s", "numbers", rf"(?i)JSON\s+GENERATE\s+({_WORD})\s+FROM\s+({_WORD})", "target", "source"), of_kind("GENERATE"))
+    read = F.transform(located("s", "numbers", rf"(?i)JSON\s+PARSE\s+({_WORD})\s+INTO\s+({_WORD})", "source", "target"), of_kind("PARSE"))
+    json = src.select("filename", F.explode(F.concat(written, read)).alias("m")).select("filename", "m.*")
     invoke = each(rf'(?i)INVOKE\s+({_WORD})\s+"([^"]+)"', "object", "method")
     evaluate = each(rf"(?is)EVALUATE\s+({_WORD})(.*?)END-EVALUATE", "subject", "body")
     # A branch counts where another WHEN follows and nothing in between has the letter W.
@@ -43,7 +45,7 @@ def cobol_statements(files: DataFrame) -> dict[str, DataFrame]:
     return {
         "cics": cics.select("filename", "seq", F.upper("m.verb").alias("command"), F.concat_ws(" ", F.lit("EXEC CICS"), "m.verb", F.nullif(F.regexp_replace("m.rest", r"^\s+|\s+$", ""), F.lit("")), F.lit("END-EXEC")).alias("statement"), "line"),
         "xml_parse": xml.select("filename", "seq", F.upper("m.document").alias("document"), F.upper(first_match("m.rest", rf"(?i)PROCESSING\s+PROCEDURE\s+({_WORD})")).alias("procedure"), "line"),
-        "json": json[0].unionByName(json[1]),
+        "json": json,
         "invoke": invoke.select("filename", "seq", F.upper("m.object").alias("object"), F.col("m.method").alias("method"), "line"),
         "evaluate": evaluate.select("filename", "seq", F.upper("m.subject").alias("subject"), F.nullif(branches, F.lit(0)).alias("when_count"), "line"),
         "nested_programs": programs.where("seq > 0").select("filename", "seq", F.upper("m.program").alias("program"), "line"),
