@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import keep_last
 from quarrystone.sources.shared import use_checkpoints
 
 # How much each kind of edge weighs; the kinds of edges that data accesses, execution and structure are.
@@ -36,7 +35,8 @@ def _edges(parts: Sequence[DataFrame]) -> DataFrame:
     """Edges of (src, dst, type, seq): names trimmed and in upper case, none blank and none to itself; of several between two nodes the last one stays."""
     every = reduce(DataFrame.unionByName, parts).withColumn("src", F.upper(F.btrim("src"))).withColumn("dst", F.upper(F.btrim("dst")))
     every = every.where("src <> '' and dst <> '' and src <> dst")
-    return keep_last(every.distinct(), ["src", "dst"], ["seq", "type"]).withColumn("weight", weight_of(F.col("type"))).drop("seq")
+    last = every.groupBy("src", "dst").agg(F.max(F.struct("seq", "type")).alias("last"))
+    return last.select("src", "dst", "last.type").withColumn("weight", weight_of(F.col("type")))
 
 
 def edges_from(relations: Mapping[str, tuple[DataFrame, str, str, Column | str]]) -> DataFrame:
@@ -156,11 +156,12 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
     """node and least number of steps from ``start``, up to ``steps``; nodes that are null are none.
 
+    The links are written to the checkpoint folder once, so no step composes them anew.
     The nodes of each step are written to the checkpoint folder before the next, so a plan
     holds one step whatever their number, and the steps end where no new node is found.
     """
     use_checkpoints(edges.sparkSession)
-    links = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
+    links = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").checkpoint()
     levels = [start.select("node").where("node is not null").distinct().checkpoint()]
     for _ in range(steps):
         met = links.join(levels[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()

@@ -21,3 +21,19 @@ def test_programs_are_read_once(spark):
     assert {tuple(r) for r in out["unresolved_calls"].select("variable", "line").collect()} == {("W", 4)}
     assert {tuple(r) for r in out["sql_tables"].select("table", "operation").collect()} == {("T", "READ"), ("U", "READ")}
     assert _passes(statements.cobol_statements(_files(spark, text))["json"]) == 1
+
+
+def test_edges_need_one_aggregate(spark):
+    rows = spark.range(3).select(F.lit("a").alias("s"), F.lit("b").alias("t"))
+    edges = graph.edges_from({"CALL": (rows, "s", "t", ""), "INCLUDE": (rows, "s", "t", "")})
+    assert {tuple(r) for r in edges.select("src", "dst", "type", "weight").collect()} == {("A", "B", "INCLUDE", 1)}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1
+
+
+def test_links_are_composed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    told = F.udf(lambda x: seen.add(1) or x, "string")
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "src string, dst string").select("src", told("dst").alias("dst"))
+    assert graph.reachable(edges, spark.createDataFrame([("0",)], "node string"), 6).count() == 7
+    assert seen.value < 20
