@@ -111,8 +111,7 @@ def generated_jcl_includes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("generated_jcl_calls", _ITEMS + " SELECT 'J' || l_orderkey AS job, 'S' || l_linenumber AS step, CASE WHEN l_returnflag = 'A' THEN 'P' || l_suppkey END AS program, CASE WHEN l_returnflag <> 'A' THEN 'PROC' || l_suppkey END AS proc FROM i")
 def generated_jcl_calls(spark: SparkSession, d: str) -> DataFrame:
-    out = mainframe.jcl(jobs(spark, d))
-    return out["program_calls"].unionByName(out["proc_calls"], allowMissingColumns=True)
+    return mainframe.jcl(jobs(spark, d))["calls"]
 
 
 # ---- Assembler modules -----------------------------------------------------

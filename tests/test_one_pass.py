@@ -37,3 +37,10 @@ def test_links_are_composed_once(spark):
     edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "src string, dst string").select("src", told("dst").alias("dst"))
     assert graph.reachable(edges, spark.createDataFrame([("0",)], "node string"), 6).count() == 7
     assert seen.value < 20
+
+
+def test_jobs_are_read_once(spark):
+    text = "//J JOB 1\n//S1 EXEC PGM=A,REGION=0M\n//S2 EXEC B\n//S3 EXEC\n"
+    out = mainframe.jcl(_files(spark, text))["calls"]
+    assert _passes(out) == 1
+    assert {tuple(r) for r in out.collect()} == {("J", "S1", "A", None), ("J", "S2", None, "B")}
