@@ -33,6 +33,19 @@ def zipped(text: Column | str, pattern: str, *names: str) -> Column:
     return F.arrays_zip(*arrays)
 
 
+def carried(values: Column) -> Column:
+    """Each value of an array of strings, or in the place of a null the last one before it."""
+    none = F.lit(None).cast("string")
+
+    def filled(values: Column) -> Column:
+        there = F.filter(F.transform(values, lambda v, i: F.when(v.isNotNull(), F.struct(i.alias("at"), v.alias("v")))), lambda x: x.isNotNull())
+        until = lambda found, k: F.coalesce(F.get(found, k)["at"], F.size(values))
+        runs = lambda found: F.transform(found, lambda x, k: F.array_repeat(x["v"], until(found, k + 1) - x["at"]))
+        return once(there, lambda found: F.concat(F.array_repeat(none, until(found, F.lit(0))), F.flatten(runs(found))))
+
+    return once(values, filled)
+
+
 def _marked_lines(marked: Column, mark: str) -> Column:
     """The index of the line of each mark, in order."""
     count = lambda x: F.when(F.contains(x, F.lit(mark)), F.char_length(x) - F.char_length(F.replace(x, F.lit(mark), F.lit("")))).otherwise(0)
@@ -57,6 +70,12 @@ def located(text: Column | str, numbers: Column | str, pattern: str, *names: str
     return once(F.translate(col(text), "\u0001\u0002", "  "), found)
 
 
+def covered(text: Column, *patterns: str) -> Column:
+    """The index of each line on which a part of a match lies, once for each match there."""
+    lines = lambda marked: F.flatten(F.zip_with(_marked_lines(marked, "\u0001"), _marked_lines(marked, "\u0002"), lambda a, b: F.sequence(a, b)))
+    return once(F.translate(text, "\u0001\u0002", "  "), lambda plain: F.concat(*(once(F.regexp_replace(plain, p, "\u0001$0\u0002"), lines) for p in patterns)))
+
+
 def sorted_distinct(values: Column | str) -> Column:
     return F.array_sort(F.array_distinct(col(values)))
 

@@ -67,6 +67,7 @@ EDGE_RULES = (
     ("rexx", "calls", "filename", "program", "'CALL'", "", ""),
     ("rexx", "submissions", "filename", "job", "'SUBMIT_JOB'", "", ""),
     ("rexx", "datasets", "filename", "dataset", "'ACCESS_FILE'", "", "FILE:"),
+    ("jcl", "links", "job", "target", "kind", "", ""),
     ("jcl", "program_calls", "job", "program", "'EXEC_PGM'", "", ""),
     ("jcl", "proc_calls", "job", "proc", "'EXEC_PROC'", "", ""),
     ("jcl", "files", "job", "dataset", "if(mode = 'OUTPUT', 'WRITE_FILE', 'READ_FILE')", "", "FILE:"),
@@ -75,13 +76,16 @@ EDGE_RULES = (
     ("parmlib", "programs", "filename", "program", "if(purpose = 'UTILITY', 'EXEC_UTIL', 'CONFIGURES')", "", ""),
     ("copybooks", "references", "filename", "copybook", "'INCLUDE'", "", ""),
 )
+#: Relations that another one, where it is parsed, gives in one pass.
+GIVEN_BY_LINKS = ("program_calls", "proc_calls", "files")
 
 
 def edges_of(parsed: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
     """The edges of everything parsed: language -> relation -> rows; what is missing adds none."""
     parts = []
     for n, (language, relation, src, dst, kind, before, prefix) in enumerate(EDGE_RULES):
-        rows = parsed.get(language, {}).get(relation)
+        own = parsed.get(language, {})
+        rows = None if relation in GIVEN_BY_LINKS and "links" in own else own.get(relation)
         if rows is not None:
             parts.append(rows.select(F.concat(F.lit(before), F.col(src)).alias("src"), F.concat(F.lit(prefix), F.col(dst)).alias("dst"), F.expr(kind).alias("type"), F.lit(n).alias("seq")))
     return _edges(parts)

@@ -44,3 +44,20 @@ def test_jobs_are_read_once(spark):
     out = mainframe.jcl(_files(spark, text))["calls"]
     assert _passes(out) == 1
     assert {tuple(r) for r in out.collect()} == {("J", "S1", "A", None), ("J", "S2", None, "B")}
+
+
+def test_edges_of_jobs_are_read_once(spark):
+    text = "//J JOB 1\n//S1 EXEC PGM=A,\n//   REGION=0M\n//D DD DSN=X.Y,DISP=(NEW,\n// CATLG)\n//K JOB 2\n//E DD DSN=X.Z\n// EXEC B\n"
+    jobs = mainframe.jcl(_files(spark, text))
+    edges = graph.edges_of({"jcl": jobs})
+    assert _passes(edges) == 1
+    assert {tuple(r) for r in edges.select("src", "dst", "type").collect()} == {("J", "A", "EXEC_PGM"), ("J", "FILE:X.Y", "WRITE_FILE"), ("K", "FILE:X.Z", "READ_FILE"), ("K", "B", "EXEC_PROC")}
+    plan = jobs["include_groups"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    kept = mainframe.jcl_statements(_files(spark, text)).where("filename = 'f0'").orderBy("line_no").select("job", "step", "line_no").collect()
+    assert [tuple(r) for r in kept] == [("J", None, 1), ("J", "S1", 2), ("J", "S1", 4), ("K", "S1", 6), ("K", "S1", 7), ("K", "S1", 8)]
+
+
+def test_statements_of_modules_cut_a_text_once(spark):
+    plan = mainframe.assembler_statements(_files(spark, "A CSECT\n").withColumn("text", F.concat("text", "filename")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") <= 4  # none of them within a line
