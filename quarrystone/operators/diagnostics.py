@@ -1,7 +1,8 @@
 """What a run over source files tells of them: status, fatal errors, warnings and lines that no rule matched.
 
-Rules give spans of lines; the lines outside all spans come out of one window over a
-file's spans and lines, ordered by place, with the running maximum of the spans' ends.
+Rules give spans of lines; for the languages here, the lines outside all spans are told apart
+within each text, in one pass that also finds its warnings and whether it can be parsed at all.
+For spans in a table of their own, they come out of one window over a file's spans and lines.
 A type without a parser, or whose parser fails, costs only its own files.
 
 Scripts, schedules, declarations and PL/I include members have a status only: any line of
@@ -17,10 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import contained, extract_all, first_match, located
-from quarrystone.operators.mainframe import PARAMETER_PATTERNS, SERVICE_VERBS, UTILITIES, assembler_statements, cobol_code
+from quarrystone.functions.text import contained, covered, extract_all, first_match, once
+from quarrystone.operators.mainframe import PARAMETER_PATTERNS, SERVICE_VERBS, UTILITIES, assembler_code, cobol_lines
 from quarrystone.operators.statements import copybooks
-from quarrystone.sources.files import lines
 
 CONTENT = 100  # characters of a line that a report shows
 
@@ -65,7 +65,8 @@ class Language:
 
     ``code`` gives the lines that a rule should match, ``spans`` what the rules matched, ``warnings``
     (filename, line, message), ``fatal`` a message for a file that can't be parsed, ``most_bytes`` its largest size.
-    Without ``code`` and ``spans`` a file has a status and warnings only; ``empty`` says whether a blank file is a fatal error, a warning or nothing of note (null).
+    ``found`` gives unmatched lines and warnings of a text in one expression, an array of (error_type, message, line, content), in place of tables.
+    Without any of these a file has a status and warnings only; ``empty`` says whether a blank file is a fatal error, a warning or nothing of note (null).
     """
 
     code: Callable[[DataFrame], DataFrame] | None = None
@@ -75,103 +76,103 @@ class Language:
     fatal: Callable[[], Column] | None = None
     most_bytes: int | None = None
     empty: str | None = None
+    found: Callable[[], Column] | None = None
 
 
-def _cobol_code(files: DataFrame) -> DataFrame:
-    own = cobol_code(files).select("filename", F.explode(F.arrays_zip(F.col("numbers").alias("line"), F.split("s", "\n").alias("content"))).alias("x"))
-    return own.select("filename", "x.line", F.btrim("x.content").alias("content")).where("content <> ''")
+def _entry(kind: str, message: Column | str, line: Column | None = None, content: Column | None = None) -> Column:
+    null = lambda c, t: (F.lit(None) if c is None else c).cast(t)
+    return F.struct(F.lit(kind).alias("error_type"), (F.lit(message) if isinstance(message, str) else message).alias("message"), null(line, "int").alias("line"), null(None if content is None else F.left(content, F.lit(CONTENT)), "string").alias("content"))
 
 
-def _cobol_spans(files: DataFrame) -> DataFrame:
-    found = F.concat(*(located("s", "numbers", rule) for rule in COBOL_RULES))
-    return cobol_code(files).select("filename", F.explode(found).alias("m")).select("filename", "m.line", "m.last_line")
+def _unmatched_in(plain: Column, content: Column, marked: Column, rules: tuple[str, ...], number: Callable[[Column], Column], message: str, blank: str) -> Column:
+    """Lines of ``plain`` that aren't blank and on which no match lies, with what ``content`` has there."""
+    where = F.filter(F.transform(plain, lambda x, i: F.when(F.btrim(x, F.lit(blank)) != "", i)), lambda i: i.isNotNull())
+    return F.transform(F.array_except(where, covered(marked, *rules)), lambda i: _entry("unrecognized", message, number(i), F.btrim(F.get(content, i), F.lit(blank))))
 
 
-def _jcl_code(files: DataFrame) -> DataFrame:
-    """Statements, not comments, data in the stream or lines that go on from the one before."""
-    own = lines(files, "filename").where("text like '//%' and text not like '//*%'").select("filename", F.col("line_no").alias("line"), F.rtrim(F.substr("text", F.lit(1), F.lit(72))).alias("content"))
-    before = F.lag("content").over(Window.partitionBy("filename").orderBy("line"))
-    return own.withColumn("before", before).where("content <> '//' and not coalesce(before like '%,', false)").drop("before")
+def _cobol_found() -> Column:
+    lines_ = lambda src: once(F.split(src["s"], "\n"), lambda c: _unmatched_in(c, c, src["s"], COBOL_RULES, lambda i: F.get(src["numbers"], i), "No statement recognised", " "))
+    return once(cobol_lines(F.col("text")), lines_)
 
 
-def _jcl_spans(files: DataFrame) -> DataFrame:
-    operation = F.upper(F.regexp_extract("content", r"^//\S*\s+(\S+)", 1))
-    return _jcl_code(files).where(operation.isin(*JCL_OPERATIONS)).select("filename", "line", F.col("line").alias("last_line"))
+def _jcl_found() -> Column:
+    """Of statements, not comments, data in the stream or lines that go on from the one before."""
+    cut = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.rtrim(F.substr(x, F.lit(1), F.lit(72))).alias("t")))
+    own = F.filter(cut, lambda l: F.startswith(l["t"], F.lit("//")) & ~F.startswith(l["t"], F.lit("//*")))
+    operation = lambda t: F.upper(F.regexp_extract(t, r"^//\S*\s+(\S+)", 1))
 
+    def begun(own: Column) -> Column:
+        goes_on = lambda i: (i > 0) & F.endswith(F.get(own, i - 1)["t"], F.lit(","))
+        return F.filter(F.transform(own, lambda l, i: F.when((l["t"] != "//") & ~F.coalesce(goes_on(i), F.lit(False)), F.struct(l["line"], l["t"], operation(l["t"]).alias("op")))), lambda x: x.isNotNull())
 
-def _jcl_warnings(files: DataFrame) -> DataFrame:
-    operation = F.upper(F.regexp_extract("content", r"^//\S*\s+(\S+)", 1))
-    so_far = Window.partitionBy("filename").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = _jcl_code(files).withColumn("op", operation).withColumn("steps", F.count_if(F.col("op") == "EXEC").over(so_far))
-    label = F.regexp_extract("content", r"^//(\S*)", 1)
-    return own.where("op = 'DD' and steps = 0").select("filename", "line", F.concat(F.lit("DD statement before any EXEC: "), label).alias("message"))
+    def told(code: Column) -> Column:
+        step = F.array_position(F.transform(code, lambda x: x["op"]), "EXEC").cast("int")
+        early = F.filter(F.when(step > 0, F.slice(code, F.lit(1), step - 1)).otherwise(code), lambda x: x["op"] == "DD")
+        unknown = F.filter(code, lambda x: ~x["op"].isin(*JCL_OPERATIONS))
+        return F.concat(F.transform(unknown, lambda x: _entry("unrecognized", "Unknown operation", x["line"], x["t"])), F.transform(early, lambda x: _entry("warning", F.concat(F.lit("DD statement before any EXEC: "), F.regexp_extract(x["t"], r"^//(\S*)", 1)), x["line"])))
 
+    return once(own, lambda own: once(begun(own), told))
 
-def _assembler_code(files: DataFrame) -> DataFrame:
-    return assembler_statements(files).select("filename", "line", F.col("text").alias("content"))
 
-
-def _assembler_spans(files: DataFrame) -> DataFrame:
-    return _assembler_code(files).where(F.col("content").rlike(ASSEMBLER_RULE)).select("filename", "line", F.col("line").alias("last_line"))
+def _assembler_found() -> Column:
+    return F.transform(F.filter(assembler_code(F.col("text")), lambda x: ~x["text"].rlike(ASSEMBLER_RULE)), lambda x: _entry("unrecognized", "No instruction recognised", x["line"], x["text"]))
 
 
 def _copybook_warnings(files: DataFrame) -> DataFrame:
     return copybooks(files)["warnings"].select("filename", F.col("line_no").alias("line"), F.col("warning").alias("message"))
 
 
-def _pli_pieces(files: DataFrame) -> DataFrame:
-    """Each text as comments, quoted strings and what lies between them."""
-    return files.select("filename", "text", extract_all(F.translate("text", "\u0003", " "), _PLI_PIECE, 0).alias("pieces"))
-
-
-def _pli_masked(pieces: str) -> Column:
+def _pli_masked(pieces: Column) -> Column:
     """The text without comments, and without semicolons, colons and equals signs in strings; line breaks stay."""
     quoted = lambda p: F.startswith(p, F.lit("'")) | F.startswith(p, F.lit('"'))
     return F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit("/*")), F.regexp_replace(p, r"[^\n]+", " ")).when(quoted(p), F.translate(p, ";:=", "___")).otherwise(p)), "")
 
 
-def _pli_code(files: DataFrame) -> DataFrame:
-    plain = F.split(_pli_masked("pieces"), "\n").alias("plain")
-    both = _pli_pieces(files).select("filename", F.posexplode(F.arrays_zip(plain, F.split("text", "\n").alias("content"))).alias("at", "x"))
-    return both.where(F.btrim("x.plain", F.lit(" \t\r")) != "").select("filename", (F.col("at") + 1).alias("line"), F.btrim("x.content", F.lit(" \t\r")).alias("content"))
+def _pli_open(pieces: Column) -> Column:
+    """The comment or string that has no end, with the line on which it begins."""
 
+    def told(p: Column) -> Column:
+        size = F.char_length(p)
+        open_quote = lambda q: F.startswith(p, F.lit(q)) & ((size < 2) | ~F.endswith(p, F.lit(q)))
+        message = F.when(F.startswith(p, F.lit("/*")) & ((size < 4) | ~F.endswith(p, F.lit("*/"))), "comment without an end").when(open_quote("'") | open_quote('"'), "string without an end")
+        line = F.size(F.split("text", "\n")) - F.size(F.split(p, "\n")) + 1
+        return F.filter(F.array(_entry("warning", message, line)), lambda x: x["message"].isNotNull())
 
-def _pli_spans(files: DataFrame) -> DataFrame:
-    marked = F.regexp_replace(_pli_masked("pieces"), r"(\A\s*+|;\s*+)(?=\S)", "$1\u0003")
-    src = _pli_pieces(files).select("filename", marked.alias("s"), F.sequence(F.lit(1), F.size(F.split("text", "\n"))).alias("numbers"))
-    return src.select("filename", F.explode(located("s", "numbers", PLI_RULE)).alias("m")).select("filename", "m.line", "m.last_line")
+    return once(F.try_element_at(pieces, F.lit(-1)), told)
 
 
-def _pli_warnings(files: DataFrame) -> DataFrame:
-    """The comment or string that has no end, with the line on which it begins."""
-    last = _pli_pieces(files).select("filename", "text", F.try_element_at("pieces", F.lit(-1)).alias("p"))
-    size = F.char_length("p")
-    open_quote = lambda q: F.startswith("p", F.lit(q)) & ((size < 2) | ~F.endswith("p", F.lit(q)))
-    message = F.when(F.startswith("p", F.lit("/*")) & ((size < 4) | ~F.endswith("p", F.lit("*/"))), "comment without an end").when(open_quote("'") | open_quote('"'), "string without an end")
-    line = F.size(F.split("text", "\n")) - F.size(F.split("p", "\n")) + 1
-    return last.select("filename", line.alias("line"), message.alias("message")).where("message is not null")
+def _pli_found() -> Column:
+    """Texts are cut into comments, quoted strings and what lies between them."""
 
+    def told(pieces: Column) -> Column:
+        marked = lambda plain: F.regexp_replace(plain, r"(\A\s*+|;\s*+)(?=\S)", "$1\u0003")
+        left = lambda x: _unmatched_in(x["plain"], x["content"], x["marked"], (PLI_RULE,), lambda i: i + 1, "No statement recognised", " \t\r")
+        parts = lambda plain: F.struct(F.split(plain, "\n").alias("plain"), F.split("text", "\n").alias("content"), marked(plain).alias("marked"))
+        return F.concat(once(_pli_masked(pieces), lambda plain: once(parts(plain), left)), _pli_open(pieces))
 
-def _member_code(files: DataFrame) -> DataFrame:
-    own = lines(files, "filename").select("filename", F.col("line_no").alias("line"), F.btrim("text", F.lit(" \t\r")).alias("content"))
-    return own.where("content <> '' and content not like '*%'")
+    return once(extract_all(F.translate("text", "\u0003", " "), _PLI_PIECE, 0), told)
 
 
-def _member_spans(files: DataFrame) -> DataFrame:
-    """Lines that hold anything a member is looked through for."""
+def _member_found() -> Column:
+    """Lines that hold nothing a member is looked through for."""
     upper = ("used", "executed", "job", "procedure")
-    tests = [F.upper("content").rlike(p) if name in upper else F.col("content").rlike(p) for name, p in PARAMETER_PATTERNS.items()]
-    found = reduce(Column.__or__, tests) | F.col("content").rlike(SERVICE_VERBS) | (F.size(contained("content", UTILITIES)) > 0)
-    return _member_code(files).where(found).select("filename", "line", F.col("line").alias("last_line"))
+
+    def plain(x: Column) -> Column:
+        tests = [F.upper(x).rlike(p) if name in upper else x.rlike(p) for name, p in PARAMETER_PATTERNS.items()]
+        return ~(reduce(Column.__or__, tests) | x.rlike(SERVICE_VERBS) | (F.size(contained(x, UTILITIES)) > 0))
+
+    own = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.btrim(x, F.lit(" \t\r")).alias("content")))
+    left = F.filter(own, lambda x: (x["content"] != "") & ~F.startswith(x["content"], F.lit("*")) & plain(x["content"]))
+    return F.transform(left, lambda x: _entry("unrecognized", "Nothing recognised", x["line"], x["content"]))
 
 
 LANGUAGES = {
-    "cobol": Language(_cobol_code, _cobol_spans, "No statement recognised", fatal=lambda: F.when(first_match("text", r"(?i)(PROGRAM-ID)\.").isNull(), F.lit("no PROGRAM-ID")), most_bytes=50 << 20, empty="fatal"),
+    "cobol": Language(found=_cobol_found, fatal=lambda: F.when(first_match("text", r"(?i)(PROGRAM-ID)\.").isNull(), F.lit("no PROGRAM-ID")), most_bytes=50 << 20, empty="fatal"),
     "copybook": Language(warnings=_copybook_warnings, most_bytes=10 << 20, empty="warning"),
-    "jcl": Language(_jcl_code, _jcl_spans, "Unknown operation", warnings=_jcl_warnings),
-    "assembly": Language(_assembler_code, _assembler_spans, "No instruction recognised"),
-    "pli": Language(_pli_code, _pli_spans, "No statement recognised", warnings=_pli_warnings),
-    "ctl": Language(_member_code, _member_spans, "Nothing recognised"),
+    "jcl": Language(found=_jcl_found),
+    "assembly": Language(found=_assembler_found),
+    "pli": Language(found=_pli_found),
+    "ctl": Language(found=_member_found),
     **{kind: Language() for kind in ("inc", "dclgen", "rexx", "ca7")},
 }
 
@@ -193,18 +194,19 @@ def _fatal(files: DataFrame, language: Language) -> Column:
 
 
 def _of_type(files: DataFrame, kind: str, language: Language) -> DataFrame:
-    judged = files.withColumn("why", _fatal(files, language))
     null = lambda t: F.lit(None).cast(t)
-    fatal = judged.where("why is not null").select("filename", F.lit("fatal").alias("error_type"), F.col("why").alias("message"), null("int").alias("line"), null("string").alias("content"))
-    good = judged.where("why is null").select("filename", "text")
-    found = [fatal]
-    if language.code and language.spans:
-        left = unmatched(language.code(good), language.spans(good))
+    told = [language.found()] if language.found else []
+    if language.empty == "warning":
+        told.append(F.filter(F.array(_entry("warning", "File is empty")), lambda _: _blank()))
+    none = F.filter(F.array(_entry("fatal", "")), lambda _: F.lit(False))
+    rows = once(_fatal(files, language), lambda why: F.when(why.isNotNull(), F.array(_entry("fatal", why))).otherwise(F.concat(none, *told)))
+    found = [files.select("filename", F.explode(rows).alias("e")).select("filename", "e.*")]
+    good = lambda: files.where(_fatal(files, language).isNull()).select("filename", "text")
+    if language.code:
+        left = unmatched(language.code(good()), language.spans(good()))
         found.append(left.select("filename", F.lit("unrecognized").alias("error_type"), F.lit(language.message).alias("message"), "line", F.left("content", F.lit(CONTENT)).alias("content")))
     if language.warnings:
-        found.append(language.warnings(good).select("filename", F.lit("warning").alias("error_type"), "message", F.col("line").cast("int"), null("string").alias("content")))
-    if language.empty == "warning":
-        found.append(good.where(_blank()).select("filename", F.lit("warning").alias("error_type"), F.lit("File is empty").alias("message"), null("int").alias("line"), null("string").alias("content")))
+        found.append(language.warnings(good()).select("filename", F.lit("warning").alias("error_type"), "message", F.col("line").cast("int"), null("string").alias("content")))
     return reduce(DataFrame.unionByName, found).select("filename", F.lit(kind).alias("file_type"), *_ERRORS[2:])
 
 
@@ -250,3 +252,13 @@ def parse_summary(results: DataFrame, errors: DataFrame) -> DataFrame:
     told = by_file.groupBy("file_type").agg(F.count("*").alias("files_with_errors"), *(F.sum(k).alias(k) for k in ("fatal", "warning", "unrecognized")))
     joined = files.alias("f").join(told.alias("e"), F.col("f.file_type").eqNullSafe(F.col("e.file_type")), "left")
     return joined.select("f.*", *(F.coalesce(f"e.{k}", F.lit(0)).alias(k) for k in ("files_with_errors", "fatal", "warning", "unrecognized")))
+
+
+def summary_of(files: DataFrame, errors: DataFrame) -> DataFrame:
+    """``parse_summary`` of files and their errors: each text is read once for its errors, and files meet them as counts, in one aggregate by file."""
+    kinds = ("fatal", "warning", "unrecognized")
+    listed = files.select("file_type", "filename", F.lit(1).alias("n"), *(F.lit(0).alias(k) for k in kinds))
+    told = errors.select("file_type", "filename", F.lit(0).alias("n"), *((F.col("error_type") == k).cast("int").alias(k) for k in kinds))
+    by_file = listed.unionByName(told).groupBy("file_type", "filename").agg(*(F.sum(c).alias(c) for c in ("n", *kinds)))
+    failed = F.when((F.col("fatal") > 0) & F.col("filename").isNotNull(), F.col("n")).otherwise(0)
+    return by_file.groupBy("file_type").agg(F.sum("n").alias("total_files"), F.sum(F.col("n") - failed).alias("successful"), F.sum(failed).alias("failed"), F.count_if(F.col("fatal") + F.col("warning") + F.col("unrecognized") > 0).alias("files_with_errors"), *(F.sum(k).alias(k) for k in kinds)).where("total_files > 0")

@@ -57,8 +57,7 @@ def parse_errors_more(spark: SparkSession, d: str) -> DataFrame:
 )
 def parse_summary_more(spark: SparkSession, d: str) -> DataFrame:
     files = _run(spark, d)
-    errors = diagnostics.parse_errors(files)
-    return diagnostics.parse_summary(diagnostics.parse_results(files, errors), errors)
+    return diagnostics.summary_of(files, diagnostics.parse_errors(files))
 
 
 @query(

@@ -225,8 +225,7 @@ def parse_results(spark: SparkSession, d: str) -> DataFrame:
 )
 def parse_summary(spark: SparkSession, d: str) -> DataFrame:
     files = _run(spark, d)
-    errors = diagnostics.parse_errors(files)
-    return diagnostics.parse_summary(diagnostics.parse_results(files, errors), errors)
+    return diagnostics.summary_of(files, diagnostics.parse_errors(files))
 
 
 # ---- Trees and ordered sets ------------------------------------------------

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarrystone.operators import graph, mainframe, statements
+from quarrystone.operators import diagnostics, graph, mainframe, statements
 
 
 def _passes(df):
@@ -61,3 +61,13 @@ def test_edges_of_jobs_are_read_once(spark):
 def test_statements_of_modules_cut_a_text_once(spark):
     plan = mainframe.assembler_statements(_files(spark, "A CSECT\n").withColumn("text", F.concat("text", "filename")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(text") <= 4  # none of them within a line
+
+
+def test_diagnostics_read_each_text_once(spark):
+    texts = {"cobol": "       PROGRAM-ID. P.\n           WOBBLE IT.\n", "jcl": "//J JOB\n//X NOPE\n//D DD A\n", "assembly": "A CSECT\n 9+\n", "pli": " FROB IT;\n X = 'open\n", "ctl": "plain words\n"}
+    for kind, text in texts.items():
+        files = _files(spark, text).withColumn("file_type", F.lit(kind))
+        errors = diagnostics.parse_errors(files, kinds=[kind])
+        assert _passes(errors) == 1 and "Window" not in errors._jdf.queryExecution().optimizedPlan().toString()
+        want = diagnostics.parse_summary(diagnostics.parse_results(files, errors), errors).collect()
+        assert diagnostics.summary_of(files, errors).collect() == want and want[0]["unrecognized"] == 2 * (2 if kind == "pli" else 1)
