@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import extract_all, first_match, truncated
+from quarrystone.functions.text import carried, extract_all, first_match, once, truncated
 from quarrystone.operators.chunks import sliding
 from quarrystone.sources.files import lines
 
@@ -106,6 +106,36 @@ def _cut(marked: DataFrame, first_kind: str, first_name: str) -> DataFrame:
     return grouped.select("filename", "chunk", F.coalesce("kind", F.lit(first_kind)).alias("kind"), F.coalesce("name", F.lit(first_name)).alias("name"), "start_line", "end_line", text.alias("text")).where(F.btrim("text", F.lit(" \t\n")) != "")
 
 
+def _cut_within(marks: Column, first_kind: str, first_name: str) -> Column:
+    """Chunks of an array of lines (text, kind, name), as ``_cut`` gives them, cut within the array."""
+    at = F.filter(F.transform(marks, lambda m, i: F.when(m["kind"].isNotNull(), i)), lambda i: i.isNotNull())
+    before = F.filter(F.array(F.lit(-1)), lambda _: F.get(marks, F.lit(0))["kind"].isNull())
+
+    def cut(at: Column) -> Column:
+        def chunk(start: Column, i: Column) -> Column:
+            first = F.greatest(start, F.lit(0))
+            end = F.coalesce(F.get(at, i + 1), F.size(marks))
+            text = F.array_join(F.transform(F.slice(marks, first + 1, end - first), lambda m: m["text"]), "\n")
+            number = i + F.when(F.get(at, F.lit(0)) == -1, 0).otherwise(1)
+            own = lambda c, other: F.when(start == -1, F.lit(other)).otherwise(F.get(marks, first)[c])
+            return F.struct(number.cast("long").alias("chunk"), own("kind", first_kind).alias("kind"), own("name", first_name).alias("name"), (first + 1).alias("start_line"), end.alias("end_line"), text.alias("text"))
+
+        return F.filter(F.transform(at, chunk), lambda c: F.btrim(c["text"], F.lit(" \t\n")) != "")
+
+    return once(F.concat(before, at), cut)
+
+
+def _each_or_whole(files: DataFrame, clean: Callable[[Column], Column], cut: Callable[[Column], Column]) -> DataFrame:
+    """The chunks that ``cut`` gives of the lines of a cleaned text, or else the text as one chunk, in one pass over the files."""
+
+    def chunks(text: Column) -> Column:
+        one = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit("whole").alias("kind"), F.col("filename").alias("name"), F.lit(1).alias("start_line"), F.size(F.split(text, "\n")).alias("end_line"), text.alias("text"))
+        rest = F.filter(F.array(one), lambda c: F.btrim(c["text"]) != "")
+        return once(once(F.split(text, "\n"), cut), lambda found: F.when(F.size(found) > 0, found).otherwise(rest))
+
+    return files.where("text is not null").select("filename", F.explode(once(clean(F.col("text")), chunks)).alias("c")).select("filename", "c.*").select(*COLUMNS)
+
+
 def _rest_whole(chunks: DataFrame, files: DataFrame, clean: Callable[[Column], Column], kind: str) -> DataFrame:
     rest = whole(files, clean, kind).join(chunks.select("filename").distinct(), "filename", "left_anti")
     return chunks.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
@@ -117,14 +147,20 @@ def _cleaned_lines(files: DataFrame, clean: Callable[[Column], Column]) -> DataF
 
 def cobol(files: DataFrame) -> DataFrame:
     """Divisions, and the paragraphs of the procedure division after its header; a file without divisions is one chunk."""
-    own = _cleaned_lines(files, clean_cobol).withColumn("division", F.upper(first_match("text", r"(?i)^\s*(\w+)\s+DIVISION\b")))
-    own = own.withColumn("within", F.last("division", ignorenulls=True).over(Window.partitionBy("filename").orderBy("line_no")))
-    word = F.upper(first_match("text", r"(?i)^\s*([A-Z0-9][A-Z0-9_-]*)\s*\.\s*$"))
-    paragraph = F.when((F.col("within") == "PROCEDURE") & F.col("division").isNull() & word.rlike("[A-Z]") & ~word.isin(*NO_PARAGRAPHS), word)
-    marked = own.withColumn("kind", F.when(F.col("division") == "PROCEDURE", "division_header").when(F.col("division").isNotNull(), "division").when(paragraph.isNotNull(), "paragraph")).withColumn("name", F.coalesce("division", paragraph))
-    found = _cut(marked, "header", "HEADER")
-    divided = own.where("division is not null").select("filename").distinct()
-    return _rest_whole(found.join(divided, "filename", "left_semi"), files, clean_cobol, "whole")
+    division = lambda x: F.upper(first_match(x, r"(?i)^\s*(\w+)\s+DIVISION\b"))
+    word = lambda x: F.upper(first_match(x, r"(?i)^\s*([A-Z0-9][A-Z0-9_-]*)\s*\.\s*$"))
+
+    def marked(x: Column) -> Column:
+        named = lambda w: F.when((x["within"] == "PROCEDURE") & w.rlike("[A-Z]") & ~w.isin(*NO_PARAGRAPHS), w)
+        header = F.struct(x["text"].alias("text"), F.when(x["division"] == "PROCEDURE", "division_header").otherwise("division").alias("kind"), x["division"].alias("name"))
+        paragraph = once(named(word(x["text"])), lambda w: F.struct(x["text"].alias("text"), F.when(w.isNotNull(), "paragraph").alias("kind"), w.alias("name")))
+        return F.when(x["division"].isNotNull(), header).otherwise(paragraph)
+
+    def cut(ls: Column) -> Column:
+        divided = lambda ds: F.when(F.exists(ds, lambda d: d.isNotNull()), once(F.transform(F.arrays_zip(ls.alias("text"), ds.alias("division"), carried(ds).alias("within")), marked), lambda m: _cut_within(m, "header", "HEADER")))
+        return once(F.transform(ls, division), divided)
+
+    return _each_or_whole(files, clean_cobol, cut)
 
 
 def pli(files: DataFrame) -> DataFrame:
@@ -163,21 +199,25 @@ def assembler(files: DataFrame, least: int = 4) -> DataFrame:
 
 def parameters(files: DataFrame) -> DataFrame:
     """Sections at header comments; members without any are cut into groups of KEY=VALUE lines, which end at a comment or two blank lines."""
-    own = _cleaned_lines(files, clean_parameters)
-    comment = F.col("text").rlike(r"^\s*\*")
-    header = F.col("text").rlike(r"^\s*\*{3,}") | (comment & F.upper("text").rlike("|".join(HEADER_WORDS)))
-    title = F.btrim("text", F.lit("* \t"))
-    name = F.when(title == "", "Parameter Group").otherwise(truncated(title, 50))
-    own = own.withColumn("header", header)
-    titled = own.where("header").select("filename").distinct()
-    by_header = _cut(own.join(titled, "filename", "left_semi").select("filename", "line_no", F.when(F.col("header"), "parameter_group").alias("kind"), F.when(F.col("header"), name).alias("name"), "text"), "header", "HEADER")
-    order = Window.partitionBy("filename").orderBy("line_no")
-    blank = F.btrim("text") == ""
-    plain = own.join(titled, "filename", "left_anti").withColumn("gap", comment | (blank & F.coalesce(F.lag(blank).over(order), F.lit(False))))
-    plain = plain.withColumn("kind", F.when(F.col("gap"), "parameter_group")).withColumn("name", F.lit(None).cast("string"))
-    groups = _cut(plain, "parameter_group", "Parameter Group").withColumn("keys", extract_all("text", r"(?m)^\s*([A-Za-z][A-Za-z0-9_]*)\s*="))
-    named = groups.where(F.size("keys") > 0).withColumn("name", truncated(F.array_join(F.slice("keys", 1, 3), ", "), 50))
-    return _rest_whole(by_header.select(*COLUMNS).unionByName(named.select(*COLUMNS)), files, clean_parameters, "whole")
+    comment = lambda x: x.rlike(r"^\s*\*")
+    header = lambda x: x.rlike(r"^\s*\*{3,}") | (comment(x) & F.upper(x).rlike("|".join(HEADER_WORDS)))
+    blank = lambda x: F.btrim(x) == ""
+    none = F.lit(None).cast("string")
+
+    def titled(x: Column) -> Column:
+        name = lambda title: F.when(title == "", "Parameter Group").otherwise(truncated(title, 50))
+        return F.when(header(x), F.struct(x.alias("text"), F.lit("parameter_group").alias("kind"), once(F.btrim(x, F.lit("* \t")), name).alias("name"))).otherwise(F.struct(x.alias("text"), none.alias("kind"), none.alias("name")))
+
+    def groups(ls: Column) -> Column:
+        gap = lambda x, i: comment(x) | (blank(x) & F.coalesce((i > 0) & blank(F.get(ls, i - 1)), F.lit(False)))
+        found = once(F.transform(ls, lambda x, i: F.struct(x.alias("text"), F.when(gap(x, i), "parameter_group").alias("kind"), none.alias("name"))), lambda m: _cut_within(m, "parameter_group", "Parameter Group"))
+        keyed = lambda c, keys: F.when(F.size(keys) > 0, c.withField("name", truncated(F.array_join(F.slice(keys, 1, 3), ", "), 50)))
+        return F.filter(F.transform(found, lambda c: once(extract_all(c["text"], r"(?m)^\s*([A-Za-z][A-Za-z0-9_]*)\s*="), lambda keys: keyed(c, keys))), lambda c: c.isNotNull())
+
+    def cut(ls: Column) -> Column:
+        return once(F.transform(ls, titled), lambda m: F.when(F.exists(m, lambda x: x["kind"].isNotNull()), _cut_within(m, "header", "HEADER")).otherwise(groups(ls)))
+
+    return _each_or_whole(files, clean_parameters, cut)
 
 
 def pages(files: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:

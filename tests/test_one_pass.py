@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarrystone.operators import diagnostics, graph, mainframe, statements
+from quarrystone.operators import diagnostics, graph, mainframe, source_chunks, statements
 
 
 def _passes(df):
@@ -71,3 +71,16 @@ def test_diagnostics_read_each_text_once(spark):
         assert _passes(errors) == 1 and "Window" not in errors._jdf.queryExecution().optimizedPlan().toString()
         want = diagnostics.parse_summary(diagnostics.parse_results(files, errors), errors).collect()
         assert diagnostics.summary_of(files, errors).collect() == want and want[0]["unrecognized"] == 2 * (2 if kind == "pli" else 1)
+
+
+def test_chunks_are_cut_in_one_pass(spark):
+    cobol = "note\n IDENTIFICATION DIVISION.\n PROCEDURE DIVISION.\n GO.\n     STOP RUN.\n\n EXIT.\n"
+    members = {"a": "x\n* CATALOG\nA=1\n", "b": "A=1\nB=2\n\n\nC=3\n", "c": "plain\n", "d": "  "}
+    files = _files(spark, cobol)
+    out = source_chunks.cobol(files)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert _passes(out) == 1 and "Window" not in plan and "Join" not in plan
+    own = [tuple(r) for r in out.where("filename = 'f0'").orderBy("chunk").select("chunk", "kind", "name", "start_line", "end_line").collect()]
+    assert own == [(0, "header", "HEADER", 1, 1), (1, "division", "IDENTIFICATION", 2, 2), (2, "division_header", "PROCEDURE", 3, 3), (3, "paragraph", "GO", 4, 8)]
+    got = source_chunks.parameters(spark.createDataFrame(list(members.items()), "filename string, text string")).orderBy("filename", "chunk").select("filename", "chunk", "kind", "name", "start_line", "end_line").collect()
+    assert [tuple(r) for r in got] == [("a", 0, "header", "HEADER", 1, 1), ("a", 1, "parameter_group", "CATALOG", 2, 4), ("b", 0, "parameter_group", "A, B", 1, 3), ("b", 1, "parameter_group", "C", 4, 6), ("c", 0, "whole", "c", 1, 2)]
