@@ -105,12 +105,13 @@ def first_lines(df: DataFrame, line: str = "line") -> DataFrame:
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], value: str, order: Column | str, name: str) -> DataFrame:
-    """The distinct values of each key in the order in which they are first seen.
+    """The distinct values of each key in the order in which they are first seen; values without a position come last, values at one position by their order.
 
     The least position of every value is aggregated before the shuffle, so a key's list is as long as its distinct values and not as its rows.
+    A key whose values are all null has an empty list.
     """
-    least = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__at"))
-    ranked = F.array_sort(F.collect_list(F.struct("__at", value)))
+    least = df.groupBy(*keys, value).agg(F.min(order).alias("__at"))
+    ranked = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col("__at").isNull().alias("__none"), "__at", value))))
     return least.groupBy(*keys).agg(F.transform(ranked, lambda x: x[value]).alias(name))
 
 

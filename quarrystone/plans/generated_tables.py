@@ -258,5 +258,5 @@ def record_trees(spark: SparkSession, d: str) -> DataFrame:
 def operations_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """What each supplier does under each flag, in the order of first sight."""
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.concat("l_linestatus", "l_linenumber").alias("op"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
-    return T.first_seen(rows, ["l_suppkey", "l_returnflag"], "op", "at", "operations").withColumn("operations", F.array_join("operations", " "))
+    return T.first_seen(rows, ["l_suppkey", "l_returnflag"], "op", "at", "operations").withColumn("operations", F.when(F.size("operations") > 0, F.array_join("operations", " ")))
 
